@@ -1,39 +1,14 @@
-"""Registered queries: one per operator, each a ``(spark, sf_dir) ->
-DataFrame`` callable, with an optional DuckDB oracle SQL string that must
-return the same rows (same column names)."""
+"""Gate queries G1-G23 and the flagship verdict mix."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
 from mailsift.operators import gate as G
 from mailsift.plans import sqlgen as S
-from mailsift.plans.fixtures import mail_messages, table, with_mail
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
-
-# ----------------------------------------------------------------- shared bases
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mail_messages(table(spark, sf_dir, "documents"))
-
-
-def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.run_gate(messages(spark, sf_dir))
+from mailsift.plans.fixtures import with_mail
+from mailsift.plans.registry import gated, register
 
 
 def _gate_sql(body: str, extra: str = "") -> str:

@@ -107,3 +107,40 @@ def gate_ctes(source: str = "mail") -> str:
             f"gated as (select *, case when score_h >= 70 then 'spam' when score_h <= 20 then 'not_spam' "
             f"else 'ambiguous' end as verdict, score_h >= 70 as skip_llm, "
             f"case when score_h >= 70 then spam_key else 'SPAM_MARKETING' end as sub_action_key from gate)")
+
+
+def normalize_ws(e: str) -> str:
+    s = f"regexp_replace({e}, '\\r\\n|\\r', chr(10), 'g')"
+    s = f"regexp_replace({s}, '[\\t\\x0B\\f]', ' ', 'g')"
+    s = f"regexp_replace({s}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    s = f"regexp_replace({s}, '[ ' || chr(160) || ']{{2,}}', ' ', 'g')"
+    return strip(s)
+
+
+def strip_tags(e: str) -> str:
+    s = f"regexp_replace({e}, '(?s)<!--.*?-->|<!(?i:doctype)[^>]*>', '', 'g')"
+    for tag in ("script", "style", "noscript"):
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    return f"regexp_replace({s}, '(?:<[^>]*>)+', chr(10), 'g')"
+
+
+def cap(e: str, n: int, suffix: str) -> str:
+    return f"case when length({e}) > {n} then substr({e}, 1, {n}) || {lit(suffix)} else {e} end"
+
+
+def links(e: str) -> str:
+    return ordered_distinct(all_matches(e, P.URL_RE))
+
+
+def money(e: str) -> str:
+    return ordered_distinct(f"list_transform({all_matches(e, P.MONEY_RE)}, lambda m: {strip('m')})")
+
+
+def time_phrases(e: str, limit: int = P.TIME_PHRASE_LIMIT) -> str:
+    found = f"list_transform({all_matches(e, P.TIME_PHRASE_RE)}, lambda m: {strip('m')})"
+    return f"{ci_distinct(found)}[1:{limit}]"
+
+
+def subject_topic(e: str) -> str:
+    pat = lit(r"(?i)^(?:\s*(?:re|fwd|fw)\s*:\s*)+")
+    return strip(f"regexp_replace({strip(f'coalesce({e}, {chr(39) * 2})')}, {pat}, '')")
