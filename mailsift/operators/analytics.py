@@ -133,17 +133,17 @@ def request_counts(requests: DataFrame, endpoint: str = "endpoint") -> DataFrame
 
 # ----------------------------------------------------------------------- Q12
 def gate_effectiveness(gated: DataFrame, bin_h: int = 10) -> DataFrame:
-    """Q12: share skipped, per-signal fire counts, score histogram as
-    (metric, value) rows. Every part is a partial aggregation."""
-    skip = gated.agg(F.avg(F.col("skip_llm").cast("double")).alias("value")).select(
-        F.lit("skip_share").alias("metric"), "value")
-    fired = (gated.select(F.explode("fired").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-             .select(F.concat(F.lit("fired:"), F.col("s")).alias("metric"), F.col("c").cast("double").alias("value")))
-    hist = (gated.groupBy((F.floor(F.col("score_h") / bin_h) * bin_h).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-            .select(F.concat(F.lit("score_bin:"), F.lpad(F.col("b").cast("string"), 3, "0")).alias("metric"),
-                    F.col("c").cast("double").alias("value")))
-    verdicts = (gated.groupBy("verdict").agg(F.count(F.lit(1)).alias("c"))
-                .select(F.concat(F.lit("verdict:"), F.col("verdict")).alias("metric"),
-                        F.col("c").cast("double").alias("value")))
-    return skip.unionByName(fired).unionByName(hist).unionByName(verdicts)
-
+    """Q12: share skipped, per-signal fire counts, score histogram and
+    verdict mix as (metric, value) rows, in one scan: each message emits its
+    metric keys, then one partial aggregation counts them."""
+    m = lambda name, v: F.struct(name.alias("metric"), v.cast("double").alias("v"))
+    keys = F.concat(
+        F.array(m(F.lit("skip_share"), F.col("skip_llm").cast("int")),
+                m(F.concat(F.lit("score_bin:"), F.lpad((F.floor(F.col("score_h") / bin_h) * bin_h)
+                                                       .cast("string"), 3, "0")), F.lit(1)),
+                m(F.concat(F.lit("verdict:"), F.col("verdict")), F.lit(1))),
+        F.transform("fired", lambda s: m(F.concat(F.lit("fired:"), s), F.lit(1))))
+    agg = (gated.select(F.explode(keys).alias("k")).groupBy(F.col("k.metric").alias("metric"))
+           .agg(F.sum("k.v").alias("s"), F.count(F.lit(1)).alias("c")))
+    return agg.select("metric", F.when(F.col("metric") == "skip_share", F.col("s") / F.col("c"))
+                      .otherwise(F.col("c").cast("double")).alias("value"))

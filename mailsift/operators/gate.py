@@ -180,10 +180,19 @@ def spam_insights(caught: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, run_ts:
     )
 
 
+def iso_utc(ts: Column) -> Column:
+    """``isoformat()`` of an aware UTC datetime (fraction only when
+    non-zero)."""
+    frac = F.unix_micros(ts) % 1_000_000
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(frac != 0, F.concat(F.lit("."), F.lpad(frac.cast("string"), 6, "0"))).otherwise(F.lit("")),
+                    F.lit("+00:00"))
+
+
 def debug_struct(cfg: TriageConfig, run_ts: Column) -> Column:
     """Run time, versions and the gate summary."""
     return F.struct(
-        F.date_format(run_ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("analysis_timestamp"),
+        iso_utc(run_ts).alias("analysis_timestamp"),
         F.lit(cfg.model_version).alias("model_version"),
         F.lit(cfg.prompt_version).alias("prompt_version"),
         F.struct(F.col("verdict").alias("verdict"), F.round(F.col("score_h") / F.lit(100.0), 3).alias("score"),

@@ -130,3 +130,78 @@ def with_mail(sql_body: str, extra_ctes: str = "") -> str:
     if extra_ctes:
         ctes += ", " + extra_ctes
     return "with " + ctes + "\n" + sql_body
+
+
+def _cat_case(col: str) -> str:
+    from mailsift.functions.patterns import TAXONOMY
+    return "case " + col + " % 12 " + " ".join(
+        f"when {i} then '{c}'" for i, (c, _) in enumerate(TAXONOMY)) + " end"
+
+
+def _key_case(col: str) -> str:
+    from mailsift.functions.patterns import TAXONOMY
+    return "case " + col + " % 12 " + " ".join(
+        f"when {i} then '{keys[1] if len(keys) > 1 else keys[0]}'" for i, (_, keys) in enumerate(TAXONOMY)) + " end"
+
+
+# Model output text per message, varied by doc_id (plain, fenced,
+# malformed, missing field, category outside the domain, confidence above 1,
+# untidy key, unordered ranks, duplicate evidence, blank task type, numeric
+# string). One expression text that Spark (``expr``) and DuckDB both run.
+_MODEL_JSON = (
+    "'{\"major_category\": \"' || (case when doc_id % 11 = 3 then 'urgent_stuff' else " + _cat_case("doc_id")
+    + " end) || '\", \"sub_action_key\": \"' || (case when doc_id % 11 = 5 then ' schedule-confirm time! ' else "
+    + _key_case("doc_id") + " end) || '\", ' "
+    "|| (case when doc_id % 11 = 2 then '' else '\"explicit_task\": ' || (case when doc_id % 2 = 0 then 'true' "
+    "else 'false' end) || ', ' end) "
+    "|| '\"confidence\": ' || (case when doc_id % 11 = 4 then '1.5' when doc_id % 11 = 9 then '\"0.55\"' "
+    "else '0.' || cast(5 + doc_id % 5 as string) end) || ', ' "
+    "|| '\"suggested_reply_action\": ' || (case when doc_id % 3 = 0 then '[\"Confirm\", \"Decline\"]' else '[]' end)"
+    " || ', \"task_proposal\": ' || (case when doc_id % 4 = 0 then '{\"type\": \"' || (case when doc_id % 11 = 8 "
+    "then '  ' else 'reply' end) || '\", \"title\": \"  Follow up item ' || cast(doc_id as string) || '  \", "
+    "\"description\": \" Reply to sender \", \"priority\": \"' || (case doc_id % 7 when 0 then 'High ' when 1 then "
+    "'low' when 2 then 'urgent' else 'medium' end) || '\", \"status\": \"done\", \"due_at\": null}' else 'null' end)"
+    " || ', \"recommended_actions\": ' || (case when doc_id % 11 = 6 then '[{\"key\": \" reply \", \"label\": "
+    "\"Reply \", \"kind\": \"primary\", \"rank\": 2}, {\"key\": \"archive\", \"label\": \"Archive\", \"kind\": "
+    "\"weird\", \"rank\": 1}, {\"key\": \"snooze\", \"label\": \"Snooze\", \"rank\": 2}]' else '[{\"key\": "
+    "\"reply\", \"label\": \"Reply\", \"kind\": \"PRIMARY\", \"rank\": 1}, {\"key\": \"archive\", \"label\": "
+    "\"Archive\", \"kind\": \"SECONDARY\", \"rank\": 2}]' end) "
+    "|| ', \"urgency_signals\": {\"urgency\": \"' || (case doc_id % 5 when 0 then ' High' when 1 then 'low' "
+    "when 2 then 'CRITICAL' when 3 then 'soon' else 'medium' end) || '\", \"deadline_detected\": ' || (case when "
+    "deadline_text is null then 'false' else 'true' end) || ', \"deadline_text\": ' || (case when deadline_text "
+    "is null then 'null' else '\"' || deadline_text || '\"' end) || ', \"reply_by\": null, \"reason\": "
+    "\" Needs a reply \"}' "
+    "|| ', \"extracted_summary\": {\"ask\": \" Please confirm item ' || cast(doc_id as string) || ' \", "
+    "\"success_criteria\": \"Confirmed \", \"missing_info\": [\" \", \"budget\", \"owner \", \"date\", \"scope\"]}' "
+    "|| ', \"entities\": {\"people\": [' || (case when doc_id % 3 = 1 then '{\"email\": \"' || upper(from_email) "
+    "|| '\", \"role\": \"\"}' when doc_id % 3 = 2 then '{\"email\": \"pat@example.com\", \"role\": \"cc\"}' "
+    "else '' end) || '], \"dates\": [' || (case when deadline_text is null then '' else '{\"text\": \"' || "
+    "deadline_text || '\", \"type\": \"deadline\"}' end) || (case when doc_id % 6 = 1 then (case when "
+    "deadline_text is null then '' else ', ' end) || '{\"text\": \"kickoff\", \"iso\": "
+    "\"2024-02-01T10:00:00+00:00\", \"type\": \"meeting\"}' else '' end) || '], \"money\": [], \"docs\": [], "
+    "\"meeting\": null}' "
+    "|| ', \"evidence\": ' || (case when doc_id % 11 = 7 then '[\"Please confirm\", \"please   confirm\", \" \", "
+    "\"Second point\", \"Third\", \"Fourth\"]' else '[\"Asked to confirm\"]' end) || '}'")
+
+MODEL_TEXT_EXPR = (
+    "case when doc_id % 11 = 0 then '```json' || chr(10) || " + _MODEL_JSON + " || chr(10) || '```' "
+    "when doc_id % 11 = 1 then substr(" + _MODEL_JSON + ", 1, 60) else " + _MODEL_JSON + " end")
+MODEL_OUTPUT_COLS = [
+    "message_id",
+    MODEL_TEXT_EXPR + " as raw_text",
+    "cast(length(body_text) % 997 + 300 as bigint) as input_tokens",
+    "cast(200 + doc_id % 50 as bigint) as output_tokens",
+    "'msg_' || cast(doc_id as string) as response_id",
+    "'model' as provider",
+]
+MODEL_OUTPUT_WHERE = "doc_id % 23 <> 7"
+
+
+def model_output(mail: DataFrame) -> DataFrame:
+    """One model answer per message (a few missing), derived from the
+    mail view row by row."""
+    return mail.filter(MODEL_OUTPUT_WHERE).selectExpr(*MODEL_OUTPUT_COLS)
+
+
+MODEL_OUTPUT_SQL = ("model_output as (select " + ", ".join(MODEL_OUTPUT_COLS) + " from mail where "
+                    + MODEL_OUTPUT_WHERE + ")")

@@ -1,0 +1,81 @@
+"""The whole triage job: messages -> gate -> {gate spam insights | model
+answers -> parse -> contract -> repair} -> insights + errors.
+
+Plan notes: the gate is the only CPU-heavy step; its result is projected to
+the narrow columns later steps need (bodies dropped) and persisted, so the
+two branches share one gate pass. The only shuffle is the key join to the
+model answers (sort-merge on message_id, or broadcast when AQE sees a small
+side)."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from mailsift.config import DEFAULT_CONFIG, TriageConfig
+from mailsift.operators import gate as G
+from mailsift.operators import model_io as M
+from mailsift.operators import repair as R
+
+INSIGHT_COLS = ["message_id", "thread_id", "provider", "major_category", "sub_action_key", "explicit_task",
+                "confidence", "suggested_reply_action", "task_proposal", "recommended_actions", "urgency_signals",
+                "extracted_summary", "entities", "evidence", "debug"]
+MSG_COLS = ["provider", "message_id", "thread_id", "subject", "from_name", "from_email", "sent_at",
+            "sent_offset_min", "internal_date"]
+GATE_COLS = ["score_h", "score", "verdict", "skip_llm", "sub_action_key", "fired", "gate_evidence"]
+
+
+def gate_stage(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, persist: bool = True) -> DataFrame:
+    g = G.run_gate(msgs, cfg).select(*[c for c in MSG_COLS if c in msgs.columns], *GATE_COLS)
+    return g.persist(StorageLevel.MEMORY_AND_DISK) if persist else g
+
+
+def model_stage(rest: DataFrame, answers: DataFrame, cfg: TriageConfig, run_ts: Column):
+    """(repaired model rows, error rows) for the messages the gate passed."""
+    rest = rest.withColumnRenamed("sub_action_key", "gate_sub_action_key").withColumnRenamed(
+        "provider", "msg_provider")
+    joined, missing = M.attach(rest, answers)
+    parsed = M.parse_model_text(joined)
+    valid, invalid = M.validate(parsed)
+    repaired = R.repair(valid, cfg, run_ts)
+    out = repaired.select(
+        "message_id", "thread_id", F.coalesce(F.col("model_provider"), F.lit("model")).alias("provider"),
+        "major_category", "sub_action_key", F.coalesce(F.col("explicit_task"), F.lit(False)).alias("explicit_task"),
+        "confidence", "suggested_reply_action", "task_proposal", "recommended_actions", "urgency_signals",
+        "extracted_summary", "entities", "evidence", G.debug_struct(cfg, run_ts).alias("debug"),
+        "input_tokens", "output_tokens", "response_id", "reply_by_bad_time", "reply_by_unparsed")
+    errors = missing.select("message_id", F.lit("model").alias("stage"), "error").unionByName(
+        invalid.select("message_id", F.lit("model").alias("stage"),
+                       F.substring(F.concat(F.lit("invalid_model_output: "), F.array_join("violations", "; ")),
+                                   1, 500).alias("error")))
+    return out, errors
+
+
+def finish(ins: DataFrame, run_ts: Column) -> DataFrame:
+    """Derived flags and denormalized hot fields."""
+    u = F.col("urgency_signals.urgency")
+    return ins.withColumns({
+        "reply_required": R.reply_required(u, F.col("suggested_reply_action")),
+        "is_actionable": R.is_actionable(F.col("major_category"), F.col("explicit_task"), u,
+                                         F.col("suggested_reply_action")),
+        "task_type": F.col("task_proposal.type"),
+        "reason": F.col("extracted_summary.ask"),
+        "predicted_at": run_ts,
+    })
+
+
+def triage(msgs: DataFrame, answers: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG,
+           run_ts: Column | None = None, persist: bool = True):
+    """Returns (insights, errors). Every input message ends in exactly one
+    of them."""
+    run_ts = run_ts if run_ts is not None else F.current_timestamp()
+    gated = gate_stage(msgs, cfg, persist)
+    caught, rest = G.route(gated)
+    spam = G.spam_insights(caught, cfg, run_ts).select(
+        *INSIGHT_COLS, F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
+        F.lit(None).cast("string").alias("response_id"), F.lit(False).alias("reply_by_bad_time"),
+        F.lit(False).alias("reply_by_unparsed"))
+    model, errors = model_stage(rest, answers, cfg, run_ts)
+    insights = finish(spam.unionByName(model), run_ts)
+    return insights, errors
