@@ -178,12 +178,14 @@ STAGES = [clock_stage, day_stage, wall_stage, out_stage]
 
 def infer_columns(df, text, base_ts, base_offset_min, name: str = "_dt"):
     """Scalar form: adds struct column ``name`` with fields ts, iso,
-    date_iso, zone_name, has_time, bad_time, unparsed (one projection per
-    stage)."""
-    df = df.withColumn(name, zone_stage(text, base_ts, base_offset_min))
-    for st in STAGES:
-        df = df.withColumn(name, st(F.col(name)))
-    return df
+    date_iso, zone_name, has_time, bad_time, unparsed.
+
+    The stages run inside ``transform`` over a one-element array: a lambda
+    evaluates each stage once, whereas stacked projections would be
+    collapsed by the optimizer and re-inline every stage's fields at each
+    use (the plan then grows with every stage)."""
+    arr = infer_array(F.array(_c(text)), _c(base_ts), _c(base_offset_min))
+    return df.withColumn(name, F.try_element_at(arr, F.lit(1)))
 
 
 def infer_array(texts: Column, base_ts: Column, base_offset_min: Column) -> Column:

@@ -156,3 +156,16 @@ def strip_fence(x) -> Column:
 def collapse_snippet(x, n: int = P.SNIPPET_CHARS) -> Column:
     s = py_strip(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?U)\s+", " "))
     return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("…"))).otherwise(s)
+
+
+def keep_rows(df, cond: str):
+    """Row filter on a computed flag that stays above the projection
+    computing it.
+
+    A plain ``filter`` on an aliased column is rewritten by predicate
+    pushdown into a copy of the alias' whole expression tree below the
+    projection (the JSON parse or the regex signals would run twice, and the
+    plan text grows with every nested alias). Routing each row through a
+    0-or-1 element array and ``inline`` keeps one evaluation."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.inline(F.filter(F.array(row), lambda r: F.coalesce(r[cond], F.lit(False)))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailsift.config import DEFAULT_CONFIG, TriageConfig
 from mailsift.functions import patterns as P
-from mailsift.functions.text import py_strip, rx_find, rx_first
+from mailsift.functions.text import keep_rows, py_strip, rx_find, rx_first
 
 SIGNAL_NAMES = [n for n, _ in P.SIGNALS]
 
@@ -146,7 +146,8 @@ def signal_summary(signals: Column) -> Column:
 def route(gated: DataFrame):
     """(caught, remaining). Caught rows end at the gate; the rest go on,
     ambiguous ones carrying their hints."""
-    return gated.filter(F.col("skip_llm")), gated.filter(~F.col("skip_llm"))
+    rest = gated.withColumn("_pass", ~F.col("skip_llm"))
+    return keep_rows(gated, "skip_llm"), keep_rows(rest, "_pass").drop("_pass")
 
 
 def spam_insights(caught: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, run_ts: Column | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
-from mailsift.functions.text import strip_fence
+from mailsift.functions.text import keep_rows, strip_fence
 from mailsift.operators.gate import ENTITIES_TYPE, TASK_TYPE
 
 ACTION_TYPE = "array<struct<key:string,label:string,kind:string,rank:int>>"
@@ -112,8 +112,10 @@ def contract_violations() -> Column:
 
 def validate(parsed: DataFrame):
     """M2: (valid rows, invalid rows with ``violations``)."""
-    v = parsed.withColumn("violations", contract_violations())
-    return v.filter(F.size("violations") == 0).drop("violations"), v.filter(F.size("violations") > 0)
+    v = parsed.withColumn("violations", contract_violations()).withColumn("_ok", F.size("violations") == 0)
+    bad = v.withColumn("_bad", ~F.col("_ok"))
+    return (keep_rows(v, "_ok").drop("violations", "_ok"),
+            keep_rows(bad, "_bad").drop("_ok", "_bad"))
 
 
 def attach(msgs: DataFrame, model: DataFrame, key: str = "message_id"):

@@ -184,8 +184,9 @@ _MODEL_JSON = (
     "\"Second point\", \"Third\", \"Fourth\"]' else '[\"Asked to confirm\"]' end) || '}'")
 
 MODEL_TEXT_EXPR = (
-    "case when doc_id % 11 = 0 then '```json' || chr(10) || " + _MODEL_JSON + " || chr(10) || '```' "
-    "when doc_id % 11 = 1 then substr(" + _MODEL_JSON + ", 1, 60) else " + _MODEL_JSON + " end")
+    "(case when doc_id % 11 = 0 then '```json' || chr(10) else '' end) || substr(" + _MODEL_JSON
+    + ", 1, case when doc_id % 11 = 1 then 60 else 1000000 end) || (case when doc_id % 11 = 0 then chr(10) || '```' "
+    "else '' end)")
 MODEL_OUTPUT_COLS = [
     "message_id",
     MODEL_TEXT_EXPR + " as raw_text",
