@@ -206,3 +206,113 @@ def model_output(mail: DataFrame) -> DataFrame:
 
 MODEL_OUTPUT_SQL = ("model_output as (select " + ", ".join(MODEL_OUTPUT_COLS) + " from mail where "
                     + MODEL_OUTPUT_WHERE + ")")
+
+
+# ---------------------------------------------------------------------------
+# Raw nested messages (provider JSON), derived row by row from the mail
+# view: base64url bodies in a MIME tree 1-4 levels deep, header lists with
+# mixed case, padding, repeats, a quoted sender, group syntax, Cc, a Date
+# with several offsets (or none), and bad shapes (missing id / payload /
+# mimeType / header value, malformed JSON, bad base64, bad UTF-8).
+def _jstr(c: Column) -> Column:
+    """A JSON string literal for a string column (null -> null)."""
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1))
+
+
+def _b64url(binary: Column) -> Column:
+    return F.regexp_replace(F.translate(F.base64(binary), "+/", "-_"), "=+$|[\r\n]", "")
+
+
+def _leaf(part_id: str, mime: Column, data: Column | None, extra: str = "", headers: Column | None = None,
+          mime_ok: Column | None = None) -> Column:
+    body = (F.concat(F.lit('{"size":'), F.coalesce(F.length(data), F.lit(0)).cast("string"), F.lit(',"data":'),
+                     _jstr(data), F.lit("}")) if data is not None else F.lit('{"size":0}'))
+    mt = F.concat(F.lit('"mimeType":'), _jstr(mime), F.lit(","))
+    if mime_ok is not None:
+        mt = F.when(mime_ok, mt).otherwise(F.lit(""))
+    return F.concat(F.lit('{"partId":"' + part_id + '",'), mt, F.lit('"headers":'),
+                    headers if headers is not None else F.lit("[]"), F.lit(',"body":'), body, F.lit(extra + "}"))
+
+
+def _node(part_id: str, mime: str, children: list[Column], mime_ok: Column | None = None,
+          headers: Column | None = None) -> Column:
+    mt = F.lit('"mimeType":"' + mime + '",')
+    if mime_ok is not None:
+        mt = F.when(mime_ok, mt).otherwise(F.lit(""))
+    return F.concat(F.lit('{"partId":"' + part_id + '",'), mt, F.lit('"headers":'),
+                    headers if headers is not None else F.lit("[]"),
+                    F.lit(',"body":{"size":0},"parts":['), F.concat_ws(",", *children), F.lit("]}"))
+
+
+def raw_messages(mail: DataFrame) -> DataFrame:
+    """(position, value) JSON text rows; position = doc_id."""
+    d = F.col("doc_id")
+    m = lambda k: d % k
+    bad = m(97)
+    html_only = m(21) == 10
+    blank_plain = m(29) == 5
+    html = F.when(blank_plain & F.col("body_html").isNull(),
+                  F.concat(F.lit("<p>"), F.substring("body_text", 1, 200), F.lit("</p>"))).otherwise(F.col("body_html"))
+    plain_bytes = (F.when(blank_plain, F.encode(F.lit("   "), "UTF-8"))
+                   .when(m(37) == 9, F.concat(F.encode("body_text", "UTF-8"), F.unhex(F.lit("FF"))))
+                   .otherwise(F.encode("body_text", "UTF-8")))
+    enc = _b64url(plain_bytes)
+    # junk characters inside the data: decoders skip them
+    pdata = F.when(m(31) == 7, F.concat(F.substring(enc, 1, 4), F.lit("!!\n"), F.substring(enc, 5, 100000000))) \
+             .otherwise(enc)
+    headers_json = _headers_json(mail)
+    root_ok = bad != 33
+    has_html = html.isNotNull()
+    plain = lambda h=None, ok=None: _leaf("P", F.lit("text/plain"), pdata, headers=h, mime_ok=ok)
+    hleaf = F.when(has_html, _leaf("H", F.lit("text/html"), _b64url(F.encode(html, "UTF-8"))))
+    alt_kids = [F.when(~html_only, plain()), hleaf]
+    alt = _node("A", "multipart/alternative", alt_kids)
+    pdf = _leaf("F", F.lit("application/pdf"), None, ',"filename":"a.pdf"')
+    img = _leaf("I", F.lit("image/png"), F.lit("iVBORw0KGgo"))
+    depth = F.greatest(m(4) + 1, F.when(has_html | html_only, F.lit(2)).otherwise(F.lit(1)))
+    payload = (F.when(depth == 1, plain(headers_json, root_ok))
+               .when(depth == 2, _node("", "multipart/alternative", alt_kids, root_ok, headers_json))
+               .when(depth == 3, _node("", "multipart/mixed", [alt, pdf], root_ok, headers_json))
+               .otherwise(_node("", "multipart/mixed", [_node("R", "multipart/related", [alt, img], bad != 66)],
+                                root_ok, headers_json)))
+    internal = F.when(m(43) == 17, F.lit("not-a-number")).otherwise(F.col("internal_date_ms").cast("string"))
+    snippet = F.concat(F.lit("  "), F.substring("body_text", 1, 60), F.lit("  "))
+    value = F.concat(
+        F.lit("{"), F.when(bad != 11, F.concat(F.lit('"id":'), _jstr(F.col("message_id")), F.lit(","))).otherwise(""),
+        F.lit('"threadId":'), _jstr(F.col("thread_id")), F.lit(',"labelIds":["INBOX"],"snippet":'), _jstr(snippet),
+        F.lit(',"internalDate":'), _jstr(internal), F.lit(',"sizeEstimate":'), F.length("body_text").cast("string"),
+        F.when(bad != 22, F.concat(F.lit(',"payload":'), payload)).otherwise(""), F.lit("}"))
+    value = F.when(bad == 55, F.substring(value, 1, 40)).otherwise(value)
+    return mail.select(d.alias("position"), value.alias("value"))
+
+
+def _headers_json(mail: DataFrame) -> Column:
+    d = F.col("doc_id")
+    m = lambda k: d % k
+    sent = F.timestamp_millis(F.col("internal_date_ms") - 300000)
+    off = F.when(m(5) == 1, F.lit(-480)).when(m(5) == 2, F.lit(330)).when(m(5) == 4, F.lit(-300)).otherwise(F.lit(0))
+    local = sent + F.make_interval(mins=off)
+    off_s = F.concat(F.when(off < 0, F.lit("-")).otherwise(F.lit("+")),
+                     F.lpad(F.floor(F.abs(off) / 60).cast("string"), 2, "0"),
+                     F.lpad((F.abs(off) % 60).cast("string"), 2, "0"))
+    date_v = F.concat(F.date_format(local, "EEE, d MMM yyyy HH:mm:ss "), off_s,
+                      F.when(m(5) == 4, F.lit(" (EST)")).otherwise(F.lit("")))
+    name = lambda canon: F.when(m(2) == 0, F.lit(canon)).otherwise(F.lit(canon.upper() if len(canon) < 5  # noqa
+                                                                          else canon.lower()))
+    pad = lambda c: F.when(m(6) == 2, F.concat(F.lit(" "), c, F.lit(" "))).otherwise(c)
+    hdr = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
+    from_v = F.concat(F.lit('"'), F.col("from_name"), F.lit('" <'), F.col("from_email"), F.lit(">"))
+    headers = F.array(
+        hdr(name("From"), from_v), hdr(pad(name("To")), F.col("h_to")),
+        hdr(pad(name("Subject")), pad(F.col("subject"))),
+        F.when(m(10) == 3, hdr(F.lit("Subject"), F.lit("Duplicate subject"))),
+        F.when(m(5) != 3, hdr(name("Date"), date_v)),
+        hdr(F.lit("Message-ID"), F.concat(F.lit("<"), d.cast("string"), F.lit("@example.com>"))),
+        F.when(m(8) == 3, hdr(F.lit("Cc"), F.lit("Ann Lee <ann@example.com>, bob@example.com"))),
+        F.when(F.col("h_reply_to").isNotNull(), hdr(F.lit("Reply-To"), F.col("h_reply_to"))),
+        F.when(F.col("h_list_unsubscribe").isNotNull(), hdr(name("List-Unsubscribe"), F.col("h_list_unsubscribe"))),
+        F.when(F.col("h_precedence").isNotNull(), hdr(F.lit("Precedence"), F.col("h_precedence"))),
+        F.when(F.col("h_auto_submitted").isNotNull(), hdr(F.lit("Auto-Submitted"), F.col("h_auto_submitted"))))
+    hjson = F.to_json(F.filter(headers, lambda h: h.isNotNull() & h["value"].isNotNull()))
+    # one header without its value (contract violation)
+    return F.when(m(97) == 44, F.regexp_replace(hjson, r',"value":"<[0-9]+@example\.com>"', "")).otherwise(hjson)
