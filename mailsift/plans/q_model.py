@@ -339,3 +339,113 @@ def q06_inbox_reply_required(spark, sf_dir):
 def q06_inbox_by_category(spark, sf_dir):
     ins, _ = triaged(spark, sf_dir)
     return ins.groupBy("major_category", "sub_action_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------- S4-S9, Q2, Q8 (tables)
+from mailsift.operators import tables as TB  # noqa: E402
+
+
+def _ins_rows(spark, sf_dir):
+    ins, _ = triaged(spark, sf_dir)
+    return TB.insight_rows(ins, "drakko.gmail_insights.v3")
+
+
+@register("s04_upsert", _ins(
+    "select message_id as email_message_id, '2024-02-01 00:00:00' as predicted_at, "
+    "'2024-01-31 00:00:00' as created_at, major_category from ins"))
+def s04_upsert(spark, sf_dir):
+    """The stored version (an earlier run) merged with this run's rows:
+    replaced columns come from the new run, ``created_at`` stays."""
+    new = _ins_rows(spark, sf_dir)
+    old = new.withColumns({"predicted_at": F.lit("2024-01-31 00:00:00").cast("timestamp"),
+                           "created_at": F.lit("2024-01-31 00:00:00").cast("timestamp")})
+    m = TB.upsert(old, new)
+    return m.select("email_message_id", F.date_format("predicted_at", "yyyy-MM-dd HH:mm:ss").alias("predicted_at"),
+                    F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "major_category")
+
+
+@register("s05_status_update", _ins(
+    "select m.message_id as provider_message_id, case when i.message_id is null then 'pending' else 'processed' "
+    "end as processing_status, case when i.message_id is null then null when i.major_category = 'spam' then false "
+    "else coalesce(i.explicit_task, false) or i.urgency in ('critical', 'high') or i.n_replies > 0 end "
+    "as is_actionable from mail m left join ins i on i.message_id = m.message_id"))
+def s05_status_update(spark, sf_dir):
+    ins, _ = triaged(spark, sf_dir)
+    store = TB.message_store(messages(spark, sf_dir).withColumn("position", F.col("doc_id")))
+    s = TB.status_update(store, ins)
+    return s.select("provider_message_id", "processing_status", "is_actionable")
+
+
+def _tasks_sql() -> str:
+    hint = f"coalesce(nullif({S.strip('coalesce(task0.type, ' + chr(39) * 2 + ')')}, ''), 'task')"
+    pr = f"lower({S.strip('coalesce(nullif(task0.priority, ' + chr(39) * 2 + '), ' + chr(39) + 'medium' + chr(39) + ')')})"
+    return ("tk as (select thread_id as provider_thread_id, " + hint + " as task_id_hint, message_id, "
+            f"{S.strip('coalesce(task0.title, ' + chr(39) * 2 + ')')} as title, "
+            f"case when {pr} in ('low', 'medium', 'high', 'critical') then {pr} else 'medium' end as priority, "
+            "'open' as status from repaired where task0 is not null), "
+            "tasks as (select provider_thread_id, task_id_hint, arg_max(message_id, message_id) as email_message_id, "
+            "arg_max(title, message_id) as title, arg_max(priority, message_id) as priority, "
+            "arg_max(status, message_id) as status from tk group by 1, 2)")
+
+
+def _tasks_q(body: str) -> str:
+    return with_mail(body, S.model_ctes() + ", " + _all_insights_sql() + ", " + _tasks_sql())
+
+
+@register("s06_tasks", _tasks_q("select * from tasks"))
+def s06_tasks(spark, sf_dir):
+    ins, _ = triaged(spark, sf_dir)
+    return TB.tasks(ins).select("provider_thread_id", "task_id_hint", "email_message_id", "title", "priority",
+                                "status")
+
+
+@register("q08_open_tasks", _tasks_q(
+    "select provider_thread_id, status, count(*) as n from tasks where status = 'open' group by 1, 2"))
+def q08_open_tasks(spark, sf_dir):
+    ins, _ = triaged(spark, sf_dir)
+    t = TB.tasks(ins)
+    return t.filter(F.col("status") == "open").groupBy("provider_thread_id", "status").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("q02_message_insight_task", _tasks_q(
+    "select m.message_id, i.major_category, t.task_id_hint from mail m join ins i on i.message_id = m.message_id "
+    "left join tasks t on t.provider_thread_id = m.thread_id"))
+def q02_message_insight_task(spark, sf_dir):
+    ins, _ = triaged(spark, sf_dir)
+    t = TB.tasks(ins).select(F.col("provider_thread_id").alias("thread_id"), "task_id_hint")
+    msgs = messages(spark, sf_dir).select("message_id", "thread_id")
+    j = A.message_insight_task(msgs, ins.select("message_id", "major_category"), t)
+    return j.select("message_id", "major_category", "task_id_hint")
+
+
+@register("s07_item_results", _m(
+    "select message_id, doc_id as \"index\", 'success' as status, true as has_output, cast(null as varchar) as error "
+    "from mail where message_id in (select message_id from gated where skip_llm union all select message_id "
+    "from repaired) union all select e.message_id, m.doc_id, 'error', false, e.error from (select message_id, "
+    "'no_model_output' as error from rest where message_id not in (select message_id from model_output) union all "
+    "select message_id, substr('invalid_model_output: ' || array_to_string(violations, '; '), 1, 500) from joined "
+    "where len(violations) > 0) e join mail m on m.message_id = e.message_id"))
+def s07_item_results(spark, sf_dir):
+    ins, err = triaged(spark, sf_dir)
+    pos = messages(spark, sf_dir).select("message_id", F.col("doc_id").alias("position"))
+    r = TB.item_results(ins, err, pos)
+    return r.select("message_id", "index", "status", F.col("output").isNotNull().alias("has_output"), "error")
+
+
+@register("s08_error_sink", _m(
+    "select message_id as input_message_id, cast(null as integer) as status_code, 'no_model_output' as error "
+    "from rest where message_id not in (select message_id from model_output) union all select message_id, null, "
+    "substr('invalid_model_output: ' || array_to_string(violations, '; '), 1, 500) from joined "
+    "where len(violations) > 0"))
+def s08_error_sink(spark, sf_dir):
+    ins, err = triaged(spark, sf_dir)
+    pos = messages(spark, sf_dir).select("message_id", F.col("doc_id").alias("position"))
+    _, bad = TB.split_results(TB.item_results(ins, err, pos))
+    return bad
+
+
+@register("s09_output_contract", _ins("select message_id, '' as violations from ins"))
+def s09_output_contract(spark, sf_dir):
+    ins, _ = triaged(spark, sf_dir)
+    return ins.select("message_id", F.array_join(TB.output_violations(), "; ").alias("violations"))
