@@ -45,4 +45,4 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every query module so its registrations run."""
-    from mailsift.plans import q_analytics, q_gate, q_model, q_sources, q_text  # noqa: F401
+    from mailsift.plans import q_analytics, q_gate, q_model, q_sources, q_stream, q_text  # noqa: F401
