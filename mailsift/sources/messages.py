@@ -32,14 +32,19 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFra
         return lines.select(F.monotonically_increasing_id().alias("position"), "value")
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"),
                                                          py_strip(F.col("value")).alias("t"))
-    arr = files.filter(F.col("t").startswith("[")).select(
+    lines = F.filter(F.split("t", "\n"), lambda x: F.length(py_strip(x)) > 0)
+    # JSON lines when every non-blank line is an object on its own;
+    # otherwise the file is one (possibly pretty-printed) object
+    is_lines = F.forall(lines, lambda x: F.coalesce(
+        F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False)))
+    files = files.withColumn("_kind", F.when(F.col("t").startswith("["), F.lit("array"))
+                             .when(is_lines, F.lit("lines")).otherwise(F.lit("single")))
+    arr = files.filter(F.col("_kind") == "array").select(
         "_file", F.posexplode(F.coalesce(F.try_variant_get(F.try_parse_json("t"), "$", "array<variant>"),
                                          F.array().cast("array<variant>"))).alias("i", "v")) \
         .select("_file", "i", F.to_json("v").alias("value"))
-    single = files.filter(~F.col("t").startswith("[") & F.try_parse_json("t").isNotNull()).select(
-        "_file", F.lit(0).alias("i"), F.col("t").alias("value"))
-    multi = files.filter(~F.col("t").startswith("[") & F.try_parse_json("t").isNull()).select(
-        "_file", F.posexplode(F.filter(F.split("t", "\n"), lambda s: F.length(py_strip(s)) > 0)).alias("i", "value"))
+    single = files.filter(F.col("_kind") == "single").select("_file", F.lit(0).alias("i"), F.col("t").alias("value"))
+    multi = files.filter(F.col("_kind") == "lines").select("_file", F.posexplode(lines).alias("i", "value"))
     allr = arr.unionByName(single).unionByName(multi)
     return allr.select(F.concat_ws("#", "_file", F.col("i").cast("string")).alias("source_ref"),
                        F.monotonically_increasing_id().alias("position"), "value")
