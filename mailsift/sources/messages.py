@@ -127,17 +127,25 @@ def flatten_parts(raw: Column, max_depth: int = DEFAULT_CONFIG.max_depth) -> tup
 
 
 # ------------------------------------------------------------------------- P5
-def best_bodies(parts) -> tuple[Column, Column]:
-    """P5: (body_text, body_html). Plain parts with data joined by a blank
-    line (blank ones skipped); only when no plain part has data, the text
-    is derived from the joined HTML. HTML is kept whenever present."""
+def part_texts(parts) -> tuple[Column, Column]:
+    """Decoded texts of the text/plain and text/html parts that carry data,
+    in pre-order."""
     p = F.col(parts) if isinstance(parts, str) else parts
 
     def texts(mt):
         sel = F.filter(p, lambda x: (F.lower(F.coalesce(x["mime_type"], F.lit(""))) == mt)
                        & (F.coalesce(F.length(x["data"]), F.lit(0)) > 0))
         return F.transform(sel, lambda x: b64url_text(x["data"]))
-    plain, html = texts("text/plain"), texts("text/html")
+    return texts("text/plain"), texts("text/html")
+
+
+def best_bodies(plain, html) -> tuple[Column, Column]:
+    """P5: (body_text, body_html) from decoded part texts. Plain parts with
+    data joined by a blank line (blank ones skipped); only when no plain
+    part has data, the text is derived from the joined HTML. HTML is kept
+    whenever present."""
+    plain = F.col(plain) if isinstance(plain, str) else plain
+    html = F.col(html) if isinstance(html, str) else html
     nonblank = lambda a: F.filter(a, lambda t: F.length(py_strip(t)) > 0)
     html_joined = F.when(F.size(html) > 0, F.array_join(nonblank(html), "\n\n"))
     text = (F.when(F.size(plain) > 0, F.array_join(nonblank(plain), "\n\n"))
@@ -234,11 +242,13 @@ def normalize(valid: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame
     """The normalized message row (13 fields plus the header map and
     the sender offset), from rows that passed S2."""
     r = F.col("raw")
-    H = header_map("headers_list")
-    x = valid.withColumn("headers", H)
+    plain_t, html_t = part_texts("parts")
+    # one projection decodes every text part once; the next reads them
+    x = valid.select("*", header_map("headers_list").alias("headers"), plain_t.alias("_plain"),
+                     html_t.alias("_html"))
     frm = F.try_element_at(parse_addresses(F.coalesce(F.col("headers")["from"], F.lit(""))), F.lit(1))
     sent, off = parse_date(F.col("headers")["date"])
-    text, html = best_bodies("parts")
+    text, html = best_bodies("_plain", "_html")
     return x.select(
         "position",
         F.coalesce(F.try_variant_get(r, "$.provider", "string"), F.lit(cfg.provider)).alias("provider"),
