@@ -12,11 +12,13 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class TriageConfig:
-    # Fixed values that must equal the reference's defaults.
+    # Body cap, prompt version and thresholds equal the
+    # matched behaviour's defaults; model_version and contract are deployment
+    # labels (set them to what downstream readers expect).
     max_body_chars: int = 12000
-    model_version: str = "drakko-email-v3"
+    model_version: str = "email-triage-v3"
     prompt_version: str = "triage-v3-2026-02"
-    contract: str = "drakko.gmail_insights.v3"
+    contract: str = "gmail_insights.v3"
     spam_threshold_h: int = 70      # score >= 0.70 -> spam (hundredths)
     not_spam_threshold_h: int = 20  # score <= 0.20 -> not_spam (hundredths)
     provider: str = "gmail"

@@ -254,7 +254,7 @@ def r19_denormalize(spark, sf_dir):
 
 
 @register("r16_debug", _m(
-    "select message_id, 'drakko-email-v3' as model_version, 'triage-v3-2026-02' as prompt_version, verdict, "
+    "select message_id, 'email-triage-v3' as model_version, 'triage-v3-2026-02' as prompt_version, verdict, "
     "round(score_h / 100.0, 3) as score, fired_csv as fired, '2024-02-01T00:00:00+00:00' as analysis_timestamp "
     "from repaired"))
 def r16_debug(spark, sf_dir):
@@ -342,12 +342,13 @@ def q06_inbox_by_category(spark, sf_dir):
 
 
 # --------------------------------------------------------- S4-S9, Q2, Q8 (tables)
+from mailsift.config import DEFAULT_CONFIG  # noqa: E402
 from mailsift.operators import tables as TB  # noqa: E402
 
 
 def _ins_rows(spark, sf_dir):
     ins, _ = triaged(spark, sf_dir)
-    return TB.insight_rows(ins, "drakko.gmail_insights.v3")
+    return TB.insight_rows(ins, DEFAULT_CONFIG.contract)
 
 
 @register("s04_upsert", _ins(
