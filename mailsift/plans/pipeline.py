@@ -26,13 +26,22 @@ MSG_COLS = ["provider", "message_id", "thread_id", "subject", "from_name", "from
 GATE_COLS = ["score_h", "score", "verdict", "skip_llm", "sub_action_key", "fired", "gate_evidence"]
 
 
-def gate_stage(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, persist: bool = True) -> DataFrame:
-    g = G.run_gate(msgs, cfg).select(*[c for c in MSG_COLS if c in msgs.columns], *GATE_COLS)
+BODY_COLS = ["to", "cc", "snippet", "body_text", "body_html"]
+
+
+def gate_stage(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, persist: bool = True,
+               keep_bodies: bool = False) -> DataFrame:
+    keep = MSG_COLS + (BODY_COLS if keep_bodies else [])
+    g = G.run_gate(msgs, cfg).select(*[c for c in keep if c in msgs.columns], *GATE_COLS)
     return g.persist(StorageLevel.MEMORY_AND_DISK) if persist else g
 
 
-def model_stage(rest: DataFrame, answers: DataFrame, cfg: TriageConfig, run_ts: Column):
-    """(repaired model rows, error rows) for the messages the gate passed."""
+def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column):
+    """(repaired model rows, error rows) for the messages the gate passed.
+    ``answers`` is a table of model answers, or a ``Scorer`` (U1) that is
+    handed the JSON context (T11) of each message and returns answers."""
+    if callable(answers):
+        answers = answers(contexts(rest, cfg))
     rest = rest.withColumnRenamed("sub_action_key", "gate_sub_action_key").withColumnRenamed(
         "provider", "msg_provider")
     joined, missing = M.attach(rest, answers)
@@ -52,6 +61,18 @@ def model_stage(rest: DataFrame, answers: DataFrame, cfg: TriageConfig, run_ts:
     return out, errors
 
 
+def contexts(rest: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame:
+    """T11 context per message for a scorer: (message_id, context)."""
+    from mailsift.functions.context import context_signals, json_context
+    need = ["to", "cc", "snippet", "body_text", "body_html"]
+    base = rest
+    for c in need:
+        if c not in base.columns:
+            base = base.withColumn(c, F.lit(None).cast("array<string>" if c in ("to", "cc") else "string"))
+    base = base.withColumn("body_text", F.coalesce("body_text", F.lit("")))
+    return base.select("*", *context_signals(cfg)).select("message_id", json_context(cfg).alias("context"))
+
+
 def finish(ins: DataFrame, run_ts: Column) -> DataFrame:
     """Derived flags and denormalized hot fields."""
     u = F.col("urgency_signals.urgency")
@@ -65,12 +86,13 @@ def finish(ins: DataFrame, run_ts: Column) -> DataFrame:
     })
 
 
-def triage(msgs: DataFrame, answers: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG,
+def triage(msgs: DataFrame, answers, cfg: TriageConfig = DEFAULT_CONFIG,
            run_ts: Column | None = None, persist: bool = True):
     """Returns (insights, errors). Every input message ends in exactly one
-    of them."""
+    of them. ``answers``: a table of model answers or a scorer (U1); bodies
+    are carried past the gate only for a scorer, which needs the context."""
     run_ts = run_ts if run_ts is not None else F.current_timestamp()
-    gated = gate_stage(msgs, cfg, persist)
+    gated = gate_stage(msgs, cfg, persist, keep_bodies=callable(answers))
     caught, rest = G.route(gated)
     spam = G.spam_insights(caught, cfg, run_ts).select(
         *INSIGHT_COLS, F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),

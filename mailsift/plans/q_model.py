@@ -153,11 +153,11 @@ def r04_reply_by(spark, sf_dir):
 
 
 def _task_sql() -> str:
-    pr = f"lower({S.strip('coalesce(nullif(task0.priority, ' + chr(39) * 2 + '), ' + chr(39) + 'medium' + chr(39) + ')')})"
+    pr = f"lower({S.strip("coalesce(nullif(task0.priority, ''), 'medium')")})"
     return _m(
-        f"select message_id, nullif({S.strip('coalesce(task0.type, ' + chr(39) * 2 + ')')}, '') as type, "
-        f"{S.strip('coalesce(task0.title, ' + chr(39) * 2 + ')')} as title, "
-        f"{S.strip('coalesce(task0.description, ' + chr(39) * 2 + ')')} as description, "
+        f"select message_id, nullif({S.sc('task0.type')}, '') as type, "
+        f"{S.sc('task0.title')} as title, "
+        f"{S.sc('task0.description')} as description, "
         f"case when {pr} in ('low', 'medium', 'high', 'critical') then {pr} else 'medium' end as priority, "
         f"'open' as status, case when not {S.nb('task0.due_at')} and {S.nb('reply_by_c')} then reply_by_c "
         f"else task0.due_at end as due_at from repaired where task0 is not null")
@@ -177,7 +177,7 @@ def _actions_sql() -> str:
         "select message_id, coalesce(string_agg(k || ':' || l || ':' || kd || ':' || cast(rk as varchar), '|' "
         "order by rk), '') as actions from (select message_id, k, l, kd, row_number() over "
         "(partition by message_id order by rank, pos) as rk from (select message_id, "
-        f"{S.strip('coalesce(a.key, ' + chr(39) * 2 + ')')} as k, {S.strip('coalesce(a.label, ' + chr(39) * 2 + ')')} as l, "
+        f"{S.sc('a.key')} as k, {S.sc('a.label')} as l, "
         f"case when {kind} in ('PRIMARY', 'SECONDARY', 'DANGER') then {kind} else 'SECONDARY' end as kd, "
         "coalesce(a.rank, 1) as rank, pos from (select message_id, unnest(recommended_actions) as a, "
         "generate_subscripts(recommended_actions, 1) as pos from repaired))) group by message_id "
@@ -192,9 +192,9 @@ def r06_rerank_actions(spark, sf_dir):
 
 
 @register("r07_summary_clean", _m(
-    f"select message_id, {S.strip('coalesce(s.ask, ' + chr(39) * 2 + ')')} as ask, "
-    f"{S.strip('coalesce(s.success_criteria, ' + chr(39) * 2 + ')')} as success_criteria, "
-    f"array_to_string(list_filter(list_transform(coalesce(s.missing_info, []), lambda x: {S.strip('coalesce(x, ' + chr(39) * 2 + ')')}), "
+    f"select message_id, {S.sc('s.ask')} as ask, "
+    f"{S.sc('s.success_criteria')} as success_criteria, "
+    f"array_to_string(list_filter(list_transform(coalesce(s.missing_info, []), lambda x: {S.sc('x')}), "
     "lambda x: length(x) > 0)[1:3], '|') as missing_info from repaired"))
 def r07_summary_clean(spark, sf_dir):
     s = F.col("extracted_summary")
@@ -246,8 +246,8 @@ def r17_r18_flags(spark, sf_dir):
 
 
 @register("r19_denormalize", _m(
-    f"select message_id, nullif({S.strip('coalesce(task0.type, ' + chr(39) * 2 + ')')}, '') as task_type, "
-    f"{S.strip('coalesce(s.ask, ' + chr(39) * 2 + ')')} as reason, len(evidence_c) as n_evidence from repaired"))
+    f"select message_id, nullif({S.sc('task0.type')}, '') as task_type, "
+    f"{S.sc('s.ask')} as reason, len(evidence_c) as n_evidence from repaired"))
 def r19_denormalize(spark, sf_dir):
     return model_rows(spark, sf_dir).select("message_id", "task_type", "reason",
                                             F.size("evidence").alias("n_evidence"))
@@ -378,10 +378,10 @@ def s05_status_update(spark, sf_dir):
 
 
 def _tasks_sql() -> str:
-    hint = f"coalesce(nullif({S.strip('coalesce(task0.type, ' + chr(39) * 2 + ')')}, ''), 'task')"
-    pr = f"lower({S.strip('coalesce(nullif(task0.priority, ' + chr(39) * 2 + '), ' + chr(39) + 'medium' + chr(39) + ')')})"
+    hint = f"coalesce(nullif({S.sc('task0.type')}, ''), 'task')"
+    pr = f"lower({S.strip("coalesce(nullif(task0.priority, ''), 'medium')")})"
     return ("tk as (select thread_id as provider_thread_id, " + hint + " as task_id_hint, message_id, "
-            f"{S.strip('coalesce(task0.title, ' + chr(39) * 2 + ')')} as title, "
+            f"{S.sc('task0.title')} as title, "
             f"case when {pr} in ('low', 'medium', 'high', 'critical') then {pr} else 'medium' end as priority, "
             "'open' as status from repaired where task0 is not null), "
             "tasks as (select provider_thread_id, task_id_hint, arg_max(message_id, message_id) as email_message_id, "
@@ -450,3 +450,52 @@ def s08_error_sink(spark, sf_dir):
 def s09_output_contract(spark, sf_dir):
     ins, _ = triaged(spark, sf_dir)
     return ins.select("message_id", F.array_join(TB.output_violations(), "; ").alias("violations"))
+
+
+# ------------------------------------------------------------------ R13, R14, U1
+def _dates_ctes() -> str:
+    ctes, last = S.infer_ctes("dts", "dtext", "epoch_ms(internal_date_ms)", "dd")
+    return ", ".join([
+        "dts as (select message_id, internal_date_ms, d.text as dtext, d.iso as diso, pos from (select message_id, "
+        "internal_date_ms, unnest(e.dates) as d, generate_subscripts(e.dates, 1) as pos from repaired))",
+        ctes,
+        f"dd7 as (select *, case when {S.nb('diso')} then diso when dd_iso is not null then (case when dd_has_time "
+        f"then dd_iso else dd_date_iso end) end as iso_f, case when {S.nb('diso')} then (case when "
+        f"try_cast(diso as timestamptz) is not null then diso end) when dd_has_time and dd_iso is not null then dd_iso "
+        f"end as best, case when not {S.nb('diso')} then dd_zone_name end as zone from {last})",
+        "dagg as (select message_id, string_agg(dtext || '=' || coalesce(iso_f, ''), '|' order by pos) as dates, "
+        "arg_min(best, pos) filter (where best is not null) as best, arg_min(zone, pos) filter (where best is not null) "
+        "as zone from dd7 group by message_id)",
+    ])
+
+
+def _dq(body: str) -> str:
+    return with_mail(body, S.model_ctes() + ", " + _dates_ctes())
+
+
+@register("r13_fill_dates", _dq(
+    "select r.message_id, coalesce(a.dates, '') as dates from repaired r left join dagg a on a.message_id = r.message_id"))
+def r13_fill_dates(spark, sf_dir):
+    d = F.transform("entities.dates", lambda x: F.concat(x["text"], F.lit("="), F.coalesce(x["iso"], F.lit(""))))
+    return model_rows(spark, sf_dir).select("message_id", F.array_join(d, "|").alias("dates"))
+
+
+@register("r14_fill_meeting", _dq(
+    f"select r.message_id, case when w then {S.subject_topic('subject')} end as topic, case when w then a.best end "
+    "as start_at, case when w then a.zone end as tz from (select *, major_category = 'schedule_and_time' or "
+    "starts_with(upper(key_n), 'SCHEDULE_') as w from repaired) r left join dagg a on a.message_id = r.message_id"))
+def r14_fill_meeting(spark, sf_dir):
+    m = F.col("entities.meeting")
+    return model_rows(spark, sf_dir).select("message_id", m["topic"].alias("topic"), m["start_at"].alias("start_at"),
+                                            m["tz"].alias("tz"))
+
+
+@register("u01_replay_scorer", __import__("mailsift.plans.registry", fromlist=["ORACLES"]).ORACLES["full_triage"])
+def u01_replay_scorer(spark, sf_dir):
+    """The same triage with the answers behind a scorer function that
+    receives each message's JSON context (T11)."""
+    ins, _ = triage(messages(spark, sf_dir), M.replay_scorer(answers(spark, sf_dir)), run_ts=run_ts(),
+                    persist=False)
+    return ins.select("message_id", "provider", "major_category", "sub_action_key", "confidence",
+                      F.col("urgency_signals.urgency").alias("urgency"),
+                      F.col("urgency_signals.reply_by").alias("reply_by"), "is_actionable")

@@ -107,7 +107,7 @@ def p05_best_body_html_only(spark, sf_dir):
 
 
 def _runlog_sql() -> str:
-    snip = f"{S.strip('regexp_replace(substr(body_text, 1, 60), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}"
+    snip = S.strip(r"regexp_replace(substr(body_text, 1, 60), '\s+', ' ', 'g')")
     date_v = ("case when doc_id % 5 = 3 then '(no date)' else strftime(epoch_ms(internal_date_ms - 300000) + "
               f"to_minutes({_OFF}), '%a, %-d %b %Y %H:%M:%S ') || case when {_OFF} < 0 then '-' else '+' end || "
               f"lpad(cast(abs({_OFF}) // 60 as varchar), 2, '0') || lpad(cast(abs({_OFF}) % 60 as varchar), 2, '0') "
@@ -147,3 +147,40 @@ def s03_message_store(spark, sf_dir):
     twice = n.unionByName(n.withColumn("position", F.col("position") + F.lit(10 ** 12)))
     st = TB.message_store(twice, F.lit(None).cast("string"))
     return st.select("provider", "provider_message_id", "provider_thread_id", "subject", "processing_status")
+
+
+@register("p03_base64url_decode", with_mail(
+    "select doc_id as position, case when doc_id % 29 = 5 then '   ' when doc_id % 37 = 9 then body_text || "
+    "chr(65533) else body_text end as text from mail where doc_id % 97 not in (22, 55) and doc_id % 21 <> 10 "
+    "and not (doc_id % 97 = 33 and doc_id % 4 = 0 and body_html is null and doc_id % 29 <> 5)"))
+def p03_base64url_decode(spark, sf_dir):
+    """P3 on the text/plain part of every parseable message (junk
+    characters, missing padding and bad UTF-8 included)."""
+    r = raw(spark, sf_dir).filter(F.col("raw").isNotNull())
+    parts, _ = SM.flatten_parts(F.col("raw"))
+    plain = F.filter(parts, lambda p: (p["mime_type"] == "text/plain") & p["data"].isNotNull())
+    return r.select("position", SM.b64url_text(F.try_element_at(plain, F.lit(1))["data"]).alias("text")) \
+        .filter(F.size(plain) > 0)
+
+
+@register("s01_read_messages")
+def s01_read_messages(spark, sf_dir):
+    """The derived messages written as JSON-array files, single-object
+    files and JSON-lines files, read back with format detection per file
+    (rows check: one row per message)."""
+    import os
+    import uuid
+    from mailsift.config import shared_dir
+    base = shared_dir(spark, f"s01-{uuid.uuid4().hex[:12]}")
+    rm = raw(spark, sf_dir).filter(F.col("raw").isNotNull()).select("position", "value")
+    # JSON lines: one message per line
+    rm.filter(F.col("position") % 3 == 0).select("value").write.text(os.path.join(base, "lines"))
+    # arrays: messages grouped into arrays of about 50, one array per line-free file
+    arr = (rm.filter(F.col("position") % 3 == 1).groupBy(F.floor(F.col("position") / 150).alias("g"))
+           .agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")))
+    # one array per file: each group is written by one task into its own folder
+    arr.select("g", "value").write.partitionBy("g").text(os.path.join(base, "arrays"))
+    rm.filter(F.col("position") % 3 == 2).select("value").write.text(os.path.join(base, "more_lines"))
+    got = SM.read_messages(spark, os.path.join(base, "*"), fmt="auto")
+    return SM.parse_raw(got).select(F.try_variant_get("raw", "$.id", "string").alias("message_id"),
+                                    (F.col("raw").isNotNull()).alias("parsed"))

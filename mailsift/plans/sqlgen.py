@@ -14,6 +14,11 @@ def strip(e: str) -> str:
     return f"trim({e}, {_SPACE_SQL})"
 
 
+def sc(e: str) -> str:
+    """Python ``(x or "").strip()`` on a nullable string."""
+    return strip(f"coalesce({e}, '')")
+
+
 def lit(s: str) -> str:
     return P.sql_str(s)
 
@@ -143,7 +148,7 @@ def time_phrases(e: str, limit: int = P.TIME_PHRASE_LIMIT) -> str:
 
 def subject_topic(e: str) -> str:
     pat = lit(r"(?i)^(?:\s*(?:re|fwd|fw)\s*:\s*)+")
-    return strip(f"regexp_replace({strip(f'coalesce({e}, {chr(39) * 2})')}, {pat}, '')")
+    return strip(f"regexp_replace({sc(e)}, {pat}, '')")
 
 
 # ------------------------------------------------------------------ dates
@@ -300,7 +305,7 @@ def model_ctes() -> str:
         f"{key_norm('sub_action_key')} as key_n, {spam} as is_spam, "
         f"case when {spam} then null else u.deadline_text end as dl_text, "
         f"case when {spam} then null else u.reply_by end as reply_by0, "
-        f"{strip(f'case when {spam} then {lit(P.SPAM_REASON_MODEL)} else coalesce(u.reason, {chr(39) * 2}) end')} as reason_c, "
+        f"{sc(f'case when {spam} then {lit(P.SPAM_REASON_MODEL)} else u.reason end')} as reason_c, "
         f"case when {urg} in ('low', 'medium', 'high', 'critical') then {urg} else 'medium' end as urgency_c, "
         f"case when {spam} then false else explicit_task end as explicit_c, "
         f"case when {spam} then [] else suggested_reply_action end as replies_c, "

@@ -30,8 +30,8 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFra
         lines = spark.read.text(path).withColumn("_file", F.input_file_name())
         lines = lines.filter(F.length(py_strip(F.col("value"))) > 0)
         return lines.select(F.monotonically_increasing_id().alias("position"), "value")
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"),
-                                                         py_strip(F.col("value")).alias("t"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.input_file_name().alias("_file"), py_strip(F.col("value")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(py_strip(x)) > 0)
     # JSON lines when every non-blank line is an object on its own;
     # otherwise the file is one (possibly pretty-printed) object
