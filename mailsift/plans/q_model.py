@@ -31,7 +31,8 @@ def parsed(spark, sf_dir):
 
 
 def triaged(spark, sf_dir):
-    return triage(messages(spark, sf_dir), answers(spark, sf_dir), run_ts=run_ts(), persist=False)
+    # the narrow gate output is persisted: both branches read one gate pass
+    return triage(messages(spark, sf_dir), answers(spark, sf_dir), run_ts=run_ts(), persist=True)
 
 
 def model_rows(spark, sf_dir):
