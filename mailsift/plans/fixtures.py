@@ -216,7 +216,8 @@ MODEL_OUTPUT_SQL = ("model_output as (select " + ", ".join(MODEL_OUTPUT_COLS) +
 # mimeType / header value, malformed JSON, bad base64, bad UTF-8).
 def _jstr(c: Column) -> Column:
     """A JSON string literal for a string column (null -> null)."""
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1))
+    j = F.to_json(F.struct(c.alias("v")))  # {"v":"..."}
+    return F.when(c.isNull(), F.lit("null")).otherwise(j.substr(F.lit(6), F.length(j) - F.lit(6)))
 
 
 def _b64url(binary: Column) -> Column:
