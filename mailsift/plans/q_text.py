@@ -132,10 +132,27 @@ def t10_plain_context(spark, sf_dir):
     return m.select("message_id", C.plain_context().alias("context"))
 
 
-@register("t11_json_context")
+def _t11_sql() -> str:
+    b = S.cap(S.strip("coalesce(body_text, '')"), 12000, P.TRUNCATED_SUFFIX)
+    links = f"{S.links(f'coalesce(nullif(body_html, {chr(39) * 2}), b)')}[1:10]"
+    base = ("'provider': 'gmail', 'messageId': message_id, 'threadId': thread_id, 'subject': subject, "
+            "'from': {'name': from_name, 'email': from_email}, "
+            "'to': case when contains(h_to, '@') then [h_to] else []::varchar[] end, 'cc': []::varchar[], "
+            "'sentAt': null::varchar, 'snippet': '', 'bodyText': b")
+    sig = (f"'timePhrases': {S.time_phrases('b')}, 'links': {links}, 'moneyStrings': {S.money('b')}[1:10], "
+           f"'hasUnsubscribeSignal': {S.find('b', P.UNSUBSCRIBE_RE)}")
+    hints = ", 'gateVerdict': 'ambiguous', 'gateScore': round(score_h / 100.0, 3), " \
+            "'gateFiredSignals': string_split(fired_csv, ',')"
+    return with_mail(
+        f"select message_id, case when verdict = 'ambiguous' then to_json({{{base}, 'signals': {{{sig}{hints}}}}}) "
+        f"else to_json({{{base}, 'signals': {{{sig}}}}}) end as context from (select *, {b} as b from gated "
+        "where not skip_llm)", S.gate_ctes())
+
+
+@register("t11_json_context", _t11_sql())
 def t11_json_context(spark, sf_dir):
-    """JSON context for every message the gate passes on (rows check: JSON
-    spacing differs between engines)."""
+    """JSON context for every message the gate passes on (what a scorer
+    receives)."""
     g = gated(spark, sf_dir).filter(~F.col("skip_llm"))
     return g.select("*", *C.context_signals()).select("message_id", C.json_context().alias("context"))
 

@@ -262,8 +262,9 @@ def evidence_clean(lst: str) -> str:
     return f"{ci_distinct(a)}[1:3]"
 
 
-def model_ctes() -> str:
-    """CTEs over ``mail``: model_output, gate, parse, contract, R1-R7."""
+def model_ctes(source: str = "mail", pre: str = "") -> str:
+    """CTEs over ``mail``: model_output, gate (over ``source``, which
+    ``pre`` may define), parse, contract, R1-R7."""
     from mailsift.plans.fixtures import MODEL_OUTPUT_SQL
     cats = ", ".join(f"'{c}'" for c in P.CATEGORIES)
     rules = [
@@ -285,9 +286,9 @@ def model_ctes() -> str:
     urg0 = f"case when {spam} then 'low' else coalesce(nullif(u.urgency, ''), 'medium') end"
     urg = f"lower({strip(urg0)})"
     rb_ctes, rb_last = infer_ctes("rep1", "dl_text", "epoch_ms(internal_date_ms)", "rb")
-    return ", ".join([
+    return ", ".join([c for c in [pre] if c] + [
         MODEL_OUTPUT_SQL,
-        gate_ctes(),
+        gate_ctes(source),
         f"mo as (select *, {fence_strip('raw_text')} as txt from model_output)",
         f"pj as (select *, case when json_valid(txt) and json_type(txt) = 'OBJECT' then from_json(txt, '{_SPEC}') end as p from mo)",
         "parsed as (select message_id, raw_text, input_tokens, output_tokens, response_id, p is not null as parse_ok, "
@@ -298,7 +299,7 @@ def model_ctes() -> str:
         "from pj)",
         "viol as (select *, list_filter([" + ", ".join(rules) + "], lambda x: x is not null) as violations from parsed)",
         "rest as (select * from gated where not skip_llm)",
-        "joined as (select r.message_id as message_id, r.thread_id, r.subject, r.from_email, r.internal_date_ms, "
+        "joined as (select r.message_id as message_id, r.doc_id, r.thread_id, r.subject, r.from_email, r.internal_date_ms, "
         "r.verdict, r.score_h, r.fired_csv, v.* exclude (message_id) from rest r join viol v on r.message_id = v.message_id)",
         "valid as (select * from joined where len(violations) = 0)",
         f"rep1 as (select *, coalesce(least(greatest(confidence, 0.0), 1.0), 0.0) as conf_c, "
