@@ -87,14 +87,44 @@ def p02_header_lookup(spark, sf_dir):
     return r.select("position", SM.header_lookup(h, "subject").alias("subject")).filter(F.col("subject").isNotNull())
 
 
-@register("p04_mime_parts")
+def _parts_sql() -> str:
+    html = "(body_html is not null or doc_id % 29 = 5)"
+    plain = "(doc_id % 21 <> 10)"
+    depth = f"greatest(doc_id % 4 + 1, case when {html} or doc_id % 21 = 10 then 2 else 1 end)"
+    root = ("case when doc_id % 97 = 33 then null when d = 1 then 'text/plain' when d = 2 then "
+            "'multipart/alternative' else 'multipart/mixed' end")
+    hp = "case when p then '1' else '0' end"     # html index under its parent
+    rows = [
+        f"select position, '' as path, {root} as mime_type, d = 1 as has_data from t",
+        "select position, '0', 'text/plain', true from t where d = 2 and p",
+        f"select position, {hp}, 'text/html', true from t where d = 2 and h",
+        "select position, '0', 'multipart/alternative', false from t where d = 3",
+        "select position, '0.0', 'text/plain', true from t where d = 3 and p",
+        f"select position, '0.' || {hp}, 'text/html', true from t where d = 3 and h",
+        "select position, '1', 'application/pdf', false from t where d = 3",
+        "select position, '0', case when doc_id % 97 = 66 then null else 'multipart/related' end, false "
+        "from t where d = 4",
+        "select position, '0.0', 'multipart/alternative', false from t where d = 4",
+        "select position, '0.0.0', 'text/plain', true from t where d = 4 and p",
+        f"select position, '0.0.' || {hp}, 'text/html', true from t where d = 4 and h",
+        "select position, '0.1', 'image/png', true from t where d = 4",
+    ]
+    return with_mail(
+        "select position, row_number() over (partition by position order by path) - 1 as ord, path, mime_type, "
+        "has_data from (" + " union all ".join(rows) + ")",
+        f"t as (select doc_id, doc_id as position, {depth} as d, {plain} as p, {html} as h from mail "
+        "where doc_id % 97 not in (22, 55))")
+
+
+@register("p04_mime_parts", _parts_sql())
 def p04_mime_parts(spark, sf_dir):
-    """P4 as a parts table (rows check): one row per MIME part in pre-order."""
+    """P4 as a parts table: one row per MIME part in pre-order."""
     r = raw(spark, sf_dir)
     parts, _ = SM.flatten_parts(F.col("raw"))
     return r.select("position", F.posexplode(parts).alias("ord", "p")).select(
         "position", "ord", F.array_join(F.transform("p.path", lambda i: i.cast("string")), ".").alias("path"),
-        F.col("p.mime_type").alias("mime_type"), (F.length("p.data") > 0).alias("has_data"))
+        F.col("p.mime_type").alias("mime_type"),
+        F.coalesce(F.length("p.data") > 0, F.lit(False)).alias("has_data"))
 
 
 @register("p05_best_body_html_only", with_mail(
@@ -163,7 +193,9 @@ def p03_base64url_decode(spark, sf_dir):
         .filter(F.size(plain) > 0)
 
 
-@register("s01_read_messages")
+@register("s01_read_messages", with_mail(
+    "select case when doc_id % 97 = 11 then null else message_id end as message_id, true as parsed from mail "
+    "where doc_id % 97 <> 55"))
 def s01_read_messages(spark, sf_dir):
     """The derived messages written as JSON-array files, single-object
     files and JSON-lines files, read back with format detection per file
