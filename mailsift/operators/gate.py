@@ -98,13 +98,13 @@ def spam_sub_action(body_text="body_text") -> Column:
              .otherwise(F.lit("SPAM_MARKETING")))
 
 
-def run_gate(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, keep: list | None = None) -> DataFrame:
+def run_gate(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame:
     """G1-G21 on a normalized message frame. Adds ``signals`` (array of
     name/weight/fired/detail in evaluation order), ``score_h`` (hundredths,
     clamped to 0..100), ``score``, ``verdict``, ``skip_llm``,
     ``sub_action_key``, ``fired`` (names) and ``gate_evidence``."""
     sig = signal_columns()
-    base_cols = [c for c in msgs.columns]
+    base_cols = list(msgs.columns)
     stage1 = msgs.select(*base_cols,
                          *[f.alias(f"_f_{n}") for n, (f, _) in sig.items()],
                          *[d.alias(f"_d_{n}") for n, (_, d) in sig.items()],

@@ -15,7 +15,6 @@ from mailsift.config import DEFAULT_CONFIG, TriageConfig
 from mailsift.functions.text import html_to_text, keep_rows, py_strip
 
 HEADER_TYPE = "array<struct<name:string,value:string>>"
-PART_TYPE = "array<struct<path:array<int>,mime_type:string,data:string,attachment_id:string,filename:string>>"
 
 
 # ------------------------------------------------------------------------- S1
