@@ -500,3 +500,40 @@ def u01_replay_scorer(spark, sf_dir):
     return ins.select("message_id", "provider", "major_category", "sub_action_key", "confidence",
                       F.col("urgency_signals.urgency").alias("urgency"),
                       F.col("urgency_signals.reply_by").alias("reply_by"), "is_actionable")
+
+
+# ------------------------------------------------------------ R8, R10, Q6 status
+def _deadline_ctes():
+    return S.infer_ctes("mail", "deadline_text", "epoch_ms(internal_date_ms)", "rb")
+
+
+@register("r08_infer_zone", with_mail("select message_id, rb_zone as zone from {} where deadline_text is not null"
+                                      .format(_deadline_ctes()[1]), _deadline_ctes()[0]))
+def r08_infer_zone(spark, sf_dir):
+    """Zone of each deadline phrase (word in table order, else the base
+    offset's zone)."""
+    from mailsift.functions.dates import zone_stage
+    m = messages(spark, sf_dir).filter(F.col("deadline_text").isNotNull())
+    return m.select("message_id", zone_stage(F.col("deadline_text"), F.col("internal_date"), F.lit(0))["zone"]
+                    .alias("zone"))
+
+
+@register("r10_time_of_day", with_mail(
+    "select message_id, rb_hour as hour, rb_minute as minute, rb_bad as bad_time from {} "
+    "where deadline_text is not null".format(_deadline_ctes()[1]), _deadline_ctes()[0]))
+def r10_time_of_day(spark, sf_dir):
+    """Hour and minute of each deadline phrase (noon, midnight, eod,
+    12-hour, in-range 24-hour)."""
+    from mailsift.functions.dates import time_of_day
+    m = messages(spark, sf_dir).filter(F.col("deadline_text").isNotNull())
+    h, mi, bad = time_of_day(F.col("deadline_text"))
+    return m.select("message_id", h.alias("hour"), mi.alias("minute"), bad.alias("bad_time"))
+
+
+@register("q06_inbox_by_status", _ins(
+    "select case when i.message_id is null then 'pending' else 'processed' end as processing_status, count(*) as n "
+    "from mail m left join ins i on i.message_id = m.message_id group by 1"))
+def q06_inbox_by_status(spark, sf_dir):
+    ins, _ = triaged(spark, sf_dir)
+    store = TB.message_store(messages(spark, sf_dir).withColumn("position", F.col("doc_id")))
+    return TB.status_update(store, ins).groupBy("processing_status").agg(F.count(F.lit(1)).alias("n"))

@@ -216,3 +216,50 @@ def s01_read_messages(spark, sf_dir):
     got = SM.read_messages(spark, os.path.join(base, "*"), fmt="auto")
     return SM.parse_raw(got).select(F.try_variant_get("raw", "$.id", "string").alias("message_id"),
                                     (F.col("raw").isNotNull()).alias("parsed"))
+
+
+# --------------------------------------------------- P6-P9 as their own queries
+def _p(body: str) -> str:
+    return with_mail(body + f" from mail where {_VALID}")
+
+
+@register("p06_addresses", _p(
+    "select message_id, from_name, from_email, case when contains(h_to, '@') then h_to else '' end as to_list, "
+    "case when doc_id % 8 = 3 then 'ann@example.com|bob@example.com' else '' end as cc_list"))
+def p06_addresses(spark, sf_dir):
+    """From (quoted display name), To (group syntax dropped), Cc list."""
+    n = normalized(spark, sf_dir)
+    return n.select("message_id", "from_name", "from_email", F.array_join("to", "|").alias("to_list"),
+                    F.array_join("cc", "|").alias("cc_list"))
+
+
+@register("p07_date_header", _p(
+    "select message_id, case when doc_id % 5 = 3 then null else strftime(epoch_ms(internal_date_ms - 300000), "
+    f"'%Y-%m-%d %H:%M:%S') end as sent_at, case when doc_id % 5 = 3 then null else {_OFF} end as offset_min"))
+def p07_date_header(spark, sf_dir):
+    """Date header -> instant + sender offset (weekday, comment, no
+    header)."""
+    n = normalized(spark, sf_dir)
+    return n.select("message_id", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent_at"),
+                    F.col("sent_offset_min").alias("offset_min"))
+
+
+@register("p08_internal_date", _p(
+    "select message_id, case when doc_id % 43 = 17 then null else strftime(epoch_ms(internal_date_ms), "
+    "'%Y-%m-%d %H:%M:%S') end as internal_date"))
+def p08_internal_date(spark, sf_dir):
+    """Epoch-ms string -> timestamp; not a number -> null."""
+    n = normalized(spark, sf_dir)
+    return n.select("message_id", F.date_format("internal_date", "yyyy-MM-dd HH:mm:ss").alias("internal_date"))
+
+
+@register("p09_base_time", _p(
+    "select message_id, case when doc_id % 5 <> 3 then strftime(epoch_ms(internal_date_ms - 300000), "
+    "'%Y-%m-%d %H:%M:%S') when doc_id % 43 <> 17 then strftime(epoch_ms(internal_date_ms), '%Y-%m-%d %H:%M:%S') "
+    "else '2024-02-01 00:00:00' end as base_time"))
+def p09_base_time(spark, sf_dir):
+    """Sent -> internal -> the job's run time."""
+    from mailsift.operators.repair import base_time
+    n = normalized(spark, sf_dir)
+    return n.select("message_id", F.date_format(base_time(F.lit("2024-02-01 00:00:00").cast("timestamp")),
+                                                "yyyy-MM-dd HH:mm:ss").alias("base_time"))

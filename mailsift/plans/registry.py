@@ -28,10 +28,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Regex work is CPU-bound: when a scan yields fewer partitions than the
     cluster has cores (few large files), spread rows round-robin first.
     Large inputs already arrive in many splits and are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. a Spark Connect session): leave as is
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 # ----------------------------------------------------------------- shared bases
