@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mailsift.functions import patterns as P
 from mailsift.functions import text as T
 from mailsift.functions.dates import infer_columns
 from mailsift.operators import analytics as A
@@ -12,8 +13,8 @@ from mailsift.operators import model_io as M
 from mailsift.operators import repair as R
 from mailsift.plans import sqlgen as S
 from mailsift.plans.fixtures import mail_view, model_output, table, with_mail
-from mailsift.plans.pipeline import triage
-from mailsift.plans.registry import messages, register, spread
+from mailsift.plans.triage import triage
+from mailsift.plans.registry import ORACLES, messages, register, spread
 
 RUN_TS = "2024-02-01 00:00:00"
 
@@ -95,8 +96,7 @@ def _ins(body: str) -> str:
 
 
 _DIMS = "(" + " union all ".join(
-    f"select '{c}' as category, '{k}' as key" for c, keys in __import__(
-        "mailsift.functions.patterns", fromlist=["TAXONOMY"]).TAXONOMY for k in keys) + ")"
+    f"select '{c}' as category, '{k}' as key" for c, keys in P.TAXONOMY for k in keys) + ")"
 
 
 @register("m05_taxonomy_report", _ins(
@@ -491,7 +491,7 @@ def r14_fill_meeting(spark, sf_dir):
                                             m["tz"].alias("tz"))
 
 
-@register("u01_replay_scorer", __import__("mailsift.plans.registry", fromlist=["ORACLES"]).ORACLES["full_triage"])
+@register("u01_replay_scorer", ORACLES["full_triage"])
 def u01_replay_scorer(spark, sf_dir):
     """The same triage with the answers behind a scorer function that
     receives each message's JSON context (T11)."""

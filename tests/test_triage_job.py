@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from mailsift.operators import tables as TB
 from mailsift.plans.fixtures import mail_messages, mail_view, model_output, table
-from mailsift.plans.pipeline import triage
+from mailsift.plans.triage import triage
 
 SF = "/root/testdata/sf0.001"
 
