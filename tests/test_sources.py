@@ -100,3 +100,12 @@ def test_reader_formats(spark):
     assert ids == ["m0", "m1", "m2", "m3", "m4"]
     lines = SM.read_messages(spark, os.path.join(d, "c.jsonl"), fmt="jsonl")
     assert lines.count() == 2
+
+
+def test_normalize_is_map_only(spark):
+    """Parse, contract check, MIME flatten and normalize add no shuffle."""
+    objs = [msg(0, node("multipart/alternative", leaf("text/plain", "x"), leaf("text/html", "<p>y</p>")))]
+    raw = SM.parse_raw(spark.createDataFrame([(0, json.dumps(objs[0]))], "position long, value string"))
+    good, bad = SM.validate_raw(raw)
+    for df in (SM.normalize(good), bad):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
