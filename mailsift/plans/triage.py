@@ -87,12 +87,16 @@ def finish(ins: DataFrame, run_ts: Column) -> DataFrame:
 
 
 def triage(msgs: DataFrame, answers, cfg: TriageConfig = DEFAULT_CONFIG,
-           run_ts: Column | None = None, persist: bool = True):
+           run_ts: Column | None = None, persist: bool = True, cached: list | None = None):
     """Returns (insights, errors). Every input message ends in exactly one
     of them. ``answers``: a table of model answers or a scorer (U1); bodies
-    are carried past the gate only for a scorer, which needs the context."""
+    are carried past the gate only for a scorer, which needs the context.
+    A persisted gate frame is appended to ``cached`` so the caller can
+    release it (e.g. after each micro-batch)."""
     run_ts = run_ts if run_ts is not None else F.current_timestamp()
     gated = gate_stage(msgs, cfg, persist, keep_bodies=callable(answers))
+    if persist and cached is not None:
+        cached.append(gated)
     caught, rest = G.route(gated)
     spam = G.spam_insights(caught, cfg, run_ts).select(
         *INSIGHT_COLS, F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
