@@ -264,4 +264,4 @@ def normalize(valid: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame
         py_strip(F.coalesce(F.try_variant_get(r, "$.snippet", "string"), F.lit(""))).alias("snippet"),
         text.alias("body_text"), html.alias("body_html"),
         F.try_variant_get(r, "$.labelIds", "array<string>").alias("label_ids"),
-        "parts")
+        "parts", "raw")
