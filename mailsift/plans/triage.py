@@ -42,6 +42,11 @@ def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column):
     handed the JSON context (T11) of each message and returns answers."""
     if callable(answers):
         answers = answers(contexts(rest, cfg))
+    # provider metadata is optional in an answers table
+    for c, t in (("input_tokens", "bigint"), ("output_tokens", "bigint"), ("response_id", "string"),
+                 ("provider", "string")):
+        if c not in answers.columns:
+            answers = answers.withColumn(c, F.lit(None).cast(t))
     rest = rest.withColumnRenamed("sub_action_key", "gate_sub_action_key").withColumnRenamed(
         "provider", "msg_provider")
     joined, missing = M.attach(rest, answers)
