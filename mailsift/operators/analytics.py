@@ -72,33 +72,39 @@ def rolling_count(events: DataFrame, ts: str = "ts", key: str = "event_id", seco
     <= t, computed as N(<= t) - N(<= t - seconds) without a global
     single-partition window.
 
-    Query points (t - seconds) are unioned with the data points. Time is cut
-    into ``buckets`` ranges at approximate quantiles (one small aggregation;
-    at most ``buckets`` values reach the driver), so a busy period is spread
-    over many tasks. Ranks are computed per bucket and bucket offsets (one
-    row per bucket, a proven size bound) are broadcast back. The bucket of a
-    row is a pure expression of its time, so every re-evaluation (retries,
-    lost executors) assigns the same bucket."""
+    Query points (t - seconds) are unioned with the data points and
+    collapsed to one row per distinct (time, kind) with a count (partial
+    aggregation: an instant holding a third of all events becomes one row).
+    The distinct times are cut into ``buckets`` ranges at approximate
+    quantiles (at most ``buckets`` values reach the driver); cumulative
+    counts are computed per bucket and bucket offsets (one row per bucket, a
+    proven size bound) are broadcast back. The bucket of a row is a pure
+    expression of its time, so re-evaluation (retries, lost executors)
+    assigns the same bucket. Each event then looks up its two cumulative
+    counts by (time, kind); a hot instant there is a skewed equi-join that
+    AQE splits."""
     spark = events.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     ev = events.select(F.col(key).alias("_k"), micros.alias("_m"))
     pts = ev.select("_k", "_m", F.lit(0).alias("_kind")).unionByName(
         ev.select("_k", (F.col("_m") - F.lit(seconds * 1_000_000)).alias("_m"), F.lit(1).alias("_kind")))
+    dist = pts.groupBy("_m", "_kind").agg(F.count(F.lit(1)).alias("_c"))
     qs = [i / n for i in range(1, n)]
-    row = pts.select(F.percentile_approx("_m", qs, 10_000).alias("q")).first() if qs else None
+    row = dist.select(F.percentile_approx("_m", qs, 10_000).alias("q")).first() if qs else None
     bounds = sorted(set(row["q"] or [])) if row is not None else []
     arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    pts = pts.withColumn("_b", F.size(F.filter(arr, lambda b: b <= F.col("_m"))))
-    # data rows counted up to and including their peers (RANGE frame)
+    dist = dist.withColumn("_b", F.size(F.filter(arr, lambda b: b <= F.col("_m"))))
+    data = F.when(F.col("_kind") == 0, F.col("_c")).otherwise(F.lit(0))
+    # data points counted up to and including their peers (RANGE frame)
     w = (Window.partitionBy("_b").orderBy("_m", "_kind")
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = pts.withColumn("_cum", F.sum(1 - F.col("_kind")).over(w))
-    sizes = pts.groupBy("_b").agg(F.sum(1 - F.col("_kind")).alias("_cnt"))
+    local = dist.withColumn("_cum", F.sum(data).over(w))
+    sizes = dist.groupBy("_b").agg(F.sum(data).alias("_cnt"))
     offs = sizes.select("_b", F.coalesce(F.sum("_cnt").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    glob = local.join(F.broadcast(offs), "_b").select("_k", "_kind", (F.col("_cum") + F.col("_off")).alias("_n"))
-    counts = glob.groupBy("_k").agg(
+    cum = local.join(F.broadcast(offs), "_b").select("_m", "_kind", (F.col("_cum") + F.col("_off")).alias("_n"))
+    counts = pts.join(cum, ["_m", "_kind"]).groupBy("_k").agg(
         (F.sum(F.when(F.col("_kind") == 0, F.col("_n"))) - F.sum(F.when(F.col("_kind") == 1, F.col("_n"))))
         .alias("n_window"))
     return events.join(counts.withColumnRenamed("_k", key), key)
