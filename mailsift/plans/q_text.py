@@ -25,10 +25,12 @@ def t01_html_to_text_markup(spark, sf_dir):
 
 
 # Oracle for the full T1: the driver's pages contain only these four named
-# entities; they are decoded with ``&amp;`` last so nothing is decoded twice
-# (the Spark side uses the standard library's complete decoder).
-_ENT = ("replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', chr(183)), '&copy;', chr(169)), "
-        "'&amp;', '&')")
+# entities, with or without the closing semicolon (legacy names are decoded
+# without it, e.g. a title cut after "&amp"); ``&amp`` is decoded last so
+# nothing is decoded twice. The Spark side uses the standard library's
+# complete decoder.
+_ENT = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&middot;?', "
+        "chr(183), 'g'), '&copy;?', chr(169), 'g'), '&amp;?', '&', 'g')")
 
 
 @register("t01_html_to_text", f"select page_id, {S.normalize_ws(_ENT.format(S.strip_tags('html')))} as text from pages")
