@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mailsift.config import DEFAULT_CONFIG, TriageConfig
 from mailsift.functions import patterns as P
+from mailsift.functions.dates import iso_with_offset
 from mailsift.functions.text import (cap_body, extract_links, extract_money, extract_time_phrases,
                                      has_unsubscribe, normalize_whitespace, party_line, py_strip)
 
@@ -79,7 +80,7 @@ def json_context(cfg: TriageConfig = DEFAULT_CONFIG) -> Column:
             F.col("thread_id").alias("threadId"), F.col("subject").alias("subject"),
             F.struct(F.col("from_name").alias("name"), F.col("from_email").alias("email")).alias("from"),
             F.col("to").alias("to"), F.col("cc").alias("cc"),
-            F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ssxxx").alias("sentAt"),
+            iso_with_offset("sent_at", "sent_offset_min").alias("sentAt"),
             F.col("snippet").alias("snippet"), F.col("ctx_body").alias("bodyText"),
             F.struct(*signals).alias("signals"))
     opts = {"ignoreNullFields": "false"}

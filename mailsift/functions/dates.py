@@ -194,3 +194,17 @@ def infer_array(texts: Column, base_ts: Column, base_offset_min: Column) -> Colu
     for st in STAGES:
         arr = F.transform(arr, st)
     return arr
+
+
+def iso_with_offset(ts, offset_min) -> Column:
+    """``isoformat()`` of an instant shown in the sender's own offset (as the
+    parsed Date header keeps it): wall clock in that offset, fraction only
+    when non-zero, then ``+HH:MM``."""
+    t = _c(ts)
+    o = F.coalesce(_c(offset_min), F.lit(0))
+    local = t + F.make_interval(mins=o)
+    frac = F.unix_micros(t) % 1_000_000
+    return F.when(t.isNotNull(), F.concat(
+        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(frac != 0, F.concat(F.lit("."), F.lpad(frac.cast("string"), 6, "0"))).otherwise(F.lit("")),
+        offset_zone_id(o)))

@@ -43,3 +43,17 @@ def test_plain_text_is_only_trimmed(spark):
     text, html = best_bodies("p", "h")
     r = df.select(text.alias("t"), html.alias("h")).first()
     assert r.t == "a\n\n\n\nb" and r.h is None
+
+
+def test_json_context_keeps_sender_offset(spark):
+    import json
+    from mailsift.functions.context import context_signals, json_context
+    df = spark.createDataFrame(
+        [("gmail", "m1", "t1", "Hi", "Sam", "s@x.com", ["a@x.com"], [], "2024-01-29 18:00:00", -480, "", "body",
+          None, "not_spam", 0, [])],
+        "provider string, message_id string, thread_id string, subject string, from_name string, from_email string, "
+        "to array<string>, cc array<string>, sent_at string, sent_offset_min int, snippet string, body_text string, "
+        "body_html string, verdict string, score_h int, fired array<string>").withColumn(
+        "sent_at", F.col("sent_at").cast("timestamp"))
+    ctx = df.select("*", *context_signals()).select(json_context().alias("c")).first().c
+    assert json.loads(ctx)["sentAt"] == "2024-01-29T10:00:00-08:00"
