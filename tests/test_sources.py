@@ -109,3 +109,18 @@ def test_normalize_is_map_only(spark):
     good, bad = SM.validate_raw(raw)
     for df in (SM.normalize(good), bad):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_log_fallbacks(spark):
+    from mailsift.operators.tables import run_log
+    rows = [(0, json.dumps({"id": "m0", "threadId": "t0", "snippet": "  a \n  b ",
+                            "payload": {"mimeType": "text/plain", "headers": [{"name": "SUBJECT", "value": " S "},
+                                                                              {"name": " To ", "value": "x@y"}]}})),
+            (1, json.dumps({"message_id": "alt", "thread_id": "t1", "snippet": "x" * 200})),
+            (2, "{broken")]
+    out = {r["index"]: r for r in run_log(SM.parse_raw(spark.createDataFrame(rows, "position long, value string")))
+           .collect()}
+    assert out[1].message_id == "m0" and out[1].subject == " S " and out[1].to == "(no to)"
+    assert out[1].snippet == "a b" and out[1].total == 3 and out[1].date == "(no date)"
+    assert out[2].message_id == "alt" and out[2].thread_id == "t1" and out[2].snippet == "x" * 180 + "…"
+    assert out[3].message_id == "index_2" and out[3].subject == "(no subject)"
