@@ -1,12 +1,71 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage reads what the one before it wrote, applies one operator with its
+production parameters to all of it, and lets the operator's decisions take
+effect. All stages but the last return the columns of documents; rows keep the
+values they came with, except that the substring stage renews text and n_chars
+of the documents it cuts. Null, empty and repeated rows follow the operators'
+own rules: a row without any letter has no language and goes, as does a null
+text; of repeated rows one stays."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailsift.llm.common import written
+from mailsift.llm.curve_packing import pack_along_curve
+from mailsift.llm.fm_substrings import remove_repeated_passages
+from mailsift.llm.ppm_langid import UNKNOWN, held_out, learn, with_language
+from mailsift.llm.queries import BYTE_BPE
+from mailsift.llm.simhash_covering import simhash_groups
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents for which no language can be told (no letter at all) go."""
+    model = learn(docs.select("doc_id", "text", "lang").filter(~held_out()))
+    return with_language(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the smallest id.
+    Rows that agree in id and text count once; of a group without any id all
+    different texts stay."""
+    def key(c):
+        return [F.coalesce(c, F.lit(0)).alias("_k"), c.isNull().alias("_null")]
+
+    stay = simhash_groups(docs, shingle=4, radius=4).filter("doc_id <=> component_id").select(*key(F.col("doc_id")))
+    rows = docs.select(*COLUMNS, *key(F.col("doc_id")), F.xxhash64("text").alias("_text"))
+    return (rows.join(stay, ["_k", "_null"], "left_semi").dropDuplicates(["_k", "_null", "_text"])
+            .select(*COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that stand at two places or more go from
+    all of them; documents they leave untouched stay as they are."""
+    done = remove_repeated_passages(docs, length=35, carry=("text", "lang", "source", "n_chars"))
+    cut = F.col("n_removed") > 0
+    kept = F.col("kept").cast("string")
+    return done.select("doc_id", F.when(cut, kept).otherwise(F.col("text")).alias("text"), "lang", "source",
+                       F.when(cut, F.length(kept).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048 ids, near documents beside each other."""
+    return pack_along_curve(docs, BYTE_BPE, end_id=1, length=2048).select(
+        "doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("language_id", language_id), ("simhash_dedup", simhash_dedup),
+          ("substring_dedup", substring_dedup), ("packing", packing)]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # none of the stages can be said in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
