@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .routing import Bytes, covered, document_id, keyed_documents, repeated_windows, shard_runner
 
-GRAM = 32
+GRAM = 64
 SHARD_BYTES = 1 << 19  # whole keys are added until a shard's part holds this much
 
 
@@ -165,8 +165,8 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "d
     everything; every row is a document, so repeated rows repeat each other, also
     those with equal or null ids; an empty table gives no rows; other columns
     are ignored."""
-    if length < 32 + 2:
-        raise ValueError("length must be 34 bytes or more")
+    if length < GRAM + 2:
+        raise ValueError(f"length must be {GRAM + 2} bytes or more")
     own = keyed_documents(docs, id_col, text_col)
     marked = repeated_windows(own, Bytes, GRAM, length, shard_runner(SHARD_BYTES, _decide(length)))
     return own.join(marked, ["k", "tk"], "left").select(document_id(), "text", "flags").mapInArrow(
