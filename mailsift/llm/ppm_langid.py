@@ -135,10 +135,14 @@ def learn(docs: DataFrame, sample_docs: int = 1500, max_nodes: int = 8_000) -> M
     of each language. Only the sample's gram counts, whose number is bounded by
     it, reach the driver."""
     labelled = docs.filter("text is not null and lang is not null")
-    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    # one row per language, as many as the model itself holds
+    shares = {r["lang"]: min(1.0, sample_docs / r["n"])
+              for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not shares:
+        return None
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = (labelled.withColumn("place", place).join(share, "lang").filter("place < share")
-              .select("lang", F.col("text").cast("binary").alias("text")))
+    chosen = labelled.filter(place < share).select("lang", F.col("text").cast("binary").alias("text"))
     counts = chosen.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow().to_pydict()
     rows = list(zip(table["lang"], table["gram"], table["n"], strict=True))
