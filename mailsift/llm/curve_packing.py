@@ -29,12 +29,14 @@ SPAN = 3.0  # projections beyond +-SPAN sit on the border of the cube
 
 def hashed_vector(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
     """Counts of the text's 4-byte shingles in hashed buckets, scaled to length 1."""
-    raw = np.frombuffer(text + b"\0\0\0", dtype=np.uint8)
-    total = np.zeros(buckets)
-    for part in range(0, len(raw) - 3, 1 << 20):
-        own = raw[part:part + (1 << 20) + 3].astype(np.uint32)
-        grams = own[:-3] | own[1:-2] << 8 | own[2:-1] << 16 | own[3:] << 24
-        total += np.bincount((grams * np.uint32(2654435761)) >> np.uint32(32 - buckets.bit_length() + 1), minlength=buckets)
+    padded = text + b"\0\0\0"
+    total = np.zeros(buckets, dtype=np.int64)
+    shift = np.uint32(33 - buckets.bit_length())
+    for offset in range(4):  # the shingles that begin at every fourth byte, as integers
+        count = (len(padded) - offset) // 4
+        for part in range(0, count, 1 << 18):
+            grams = np.frombuffer(padded, "<u4", min(1 << 18, count - part), offset + 4 * part)
+            total += np.bincount(grams * np.uint32(2654435761) >> shift, minlength=buckets)
     norm = np.linalg.norm(total)
     return total / norm if norm else total
 
