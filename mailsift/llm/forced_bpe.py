@@ -5,7 +5,7 @@ vocabulary can never be merged into one token, directly or later, so a cut
 between them is certain. A word is split at all such places, the fragments are
 encoded on their own (lowest merge rank first, leftmost among equals) and their
 ids are put together again. Words and fragments repeat, so each worker keeps
-the ids of those it has seen (``CACHED`` at most of each, then it starts anew).
+the ids of those it has seen, within a bound.
 
 Covers tokenizers files with a BPE model: a normalizer made of NFC, white-space
 replacement and lower-casing, a split pattern whose matches are kept, byte-level
@@ -26,34 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import SPACE
+from .tokens import SPACE, Kept, byte_symbols
 
-CACHED = 300_000
 _CODECS: dict[str, ForcedBpe] = {}
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level
-    vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
-    own = set(range(33, 127)) | set(range(161, 173)) | set(range(174, 256))
-    others = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
-
-
-class _Kept(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHED:
-            self.clear()
-        value = self.make(key)
-        if len(key) < 64:
-            self[key] = value
-        return value
-
-
 class ForcedBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -74,8 +51,8 @@ class ForcedBpe:
         self.find_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.chunks = regex.compile(f"[^{SPACE}]+").findall
         self.inside = self._inside()
-        self.fragment_ids = _Kept(self._merge)
-        self.chunk_ids = _Kept(self._encode_chunk)
+        self.fragment_ids = Kept(self._merge, 300_000)
+        self.chunk_ids = Kept(self._encode_chunk, 300_000)
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
 
