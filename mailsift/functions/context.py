@@ -36,7 +36,8 @@ def thread_context(msgs: DataFrame, thread="thread_id", order="order_key", sende
 def plain_context(message_id="message_id", thread_id="thread_id", subject="subject", from_parties="from_parties",
                   to_parties="to_parties", cc_parties="cc_parties", body="body_text",
                   cfg: TriageConfig = DEFAULT_CONFIG) -> Column:
-    """Plain-text context with optional signal sections."""
+    """Plain-text context with optional signal sections (titles are
+    fixed values)."""
     b = cap_body(py_strip(F.col(body)), cfg.max_body_chars, P.LEGACY_TRUNCATED_SUFFIX)
     links, money, times = extract_links(b), extract_money(b), extract_time_phrases(b)
     sect = lambda title, arr: F.when(F.size(arr) > 0, F.concat(

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from mailsift.functions import patterns as P
 from mailsift.functions.text import py_strip
 
-_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
-           "october", "november", "december"]
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_MONTH = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+          r"|nov(?:ember)?|dec(?:ember)?)")
 _ZONE_RE = r"\b(" + "|".join(a for a, _ in P.ZONE_WORDS) + r")\b"
 _DAY_RE = r"\b(" + "|".join(P.WEEKDAYS) + r")\b"
-_MON_RE = r"\b(" + "|".join(_MONTHS) + r")\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(\d{4}))?\b"
+_MON_RE = r"\b" + _MONTH + r"\.?\s+(\d{1,2})(?:st|nd|rd|th)?\b(?:,?\s+(\d{4})\b)?"
+_DAY_MON_RE = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+(?:of\s+)?" + _MONTH + r"\b\.?(?:,?\s+(\d{4})\b)?"
+_SLASH_RE = r"\b(\d{1,2})/(\d{1,2})(?:/(\d{4}|\d{2}))?\b"
 
 
 def _c(x) -> Column:
@@ -119,12 +122,18 @@ def day_stage(x: Column) -> Column:
     rel_day = (F.when(lower.contains("today"), bdate).when(lower.contains("tomorrow"), F.date_add(bdate, 1))
                .when(target.isNotNull(), F.date_add(bdate, delta)))
     iso_m = F.regexp_extract(lower, r"(\d{4})-(\d{2})-(\d{2})", 0)
-    mon_idx = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.regexp_extract(lower, _MON_RE, 1))
-    mon_day = F.try_make_timestamp(
-        F.coalesce(F.nullif(F.regexp_extract(lower, _MON_RE, 3), F.lit("")).try_cast("int"), F.year(bl)),
-        mon_idx.cast("int"), F.regexp_extract(lower, _MON_RE, 2).try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
-    abs_day = F.coalesce(F.try_to_date(F.nullif(iso_m, F.lit("")), "yyyy-MM-dd"),
-                         F.when(mon_idx > 0, mon_day.cast("date")))
+    def written(pattern, month, day):
+        """Date of a form whose groups are the month, the day and, last, the year."""
+        m = F.substring(F.regexp_extract(lower, pattern, month), 1, 3)
+        index = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in _MONTHS]), m), F.lit(0)),
+                           m.try_cast("int"))
+        year = F.nullif(F.regexp_extract(lower, pattern, 3), F.lit("")).try_cast("int")
+        year = F.when(year < 100, year + 2000).otherwise(F.coalesce(year, F.year(bl)))
+        return F.try_make_timestamp(year, index.cast("int"), F.regexp_extract(lower, pattern, day).try_cast("int"),
+                                    F.lit(0), F.lit(0), F.lit(0)).cast("date")
+
+    abs_day = F.coalesce(F.try_to_date(F.nullif(iso_m, F.lit("")), "yyyy-MM-dd"), written(_MON_RE, 1, 2),
+                         written(_DAY_MON_RE, 2, 1), written(_SLASH_RE, 1, 2))
     hour, minute, bad = time_fields(x)
     return F.struct(x["text"].alias("text"), x["zone"].alias("zone"), x["zone_name"].alias("zone_name"),
                     bl.alias("base_local"), rel_day.alias("rel_day"), abs_day.alias("abs_day"),

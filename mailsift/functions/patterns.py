@@ -117,6 +117,10 @@ ZONE_WORDS = [
 OFFSET_ZONES = [(-8, "America/Los_Angeles"), (-7, "America/Los_Angeles"), (-6, "America/Chicago"),
                 (-5, "America/New_York"), (0, "UTC")]
 
+# FIXED VALUES: zone names of Date headers, in minutes from UTC.
+DATE_ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420,
+              "MDT": -360, "PST": -480, "PDT": -420}
+
 # FIXED VALUES: weekday names, Monday first (scan order).
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
@@ -147,13 +151,13 @@ CATEGORIES = [c for c, _ in TAXONOMY]
 
 def spark_re(pattern: str, multiline: bool = False) -> str:
     """Java flags: case-insensitive; ``(?d)`` so ``.`` stops only at LF as in
-    the matched behaviour and in RE2."""
-    return ("(?idm)" if multiline else "(?id)") + pattern
+    the matched behaviour and in RE2; ``(?U)`` for Unicode words and spaces."""
+    return ("(?idmU)" if multiline else "(?idU)") + pattern
 
 
 def sql_re(pattern: str, multiline: bool = False) -> str:
-    """RE2 flags for the DuckDB oracles."""
-    return ("(?im)" if multiline else "(?i)") + pattern
+    """RE2 flags for the DuckDB oracles; RE2's own ``\\w`` is ASCII only."""
+    return ("(?im)" if multiline else "(?i)") + pattern.replace(r"\w", r"[\pL\pN_]")
 
 
 def sql_str(s: str) -> str:

@@ -65,12 +65,21 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def strip_tags(x) -> Column:
-    """Markup removal: comments/doctype, script/style/noscript with content,
-    then each run of tags becomes one newline (text nodes joined by LF)."""
-    s = F.regexp_replace(_c(x), r"(?s)<!--.*?-->|<!(?i:doctype)[^>]*>", "")
-    for tag in ("script", "style", "noscript"):
-        s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return F.regexp_replace(s, r"(?:<[^>]*>)+", "\n")
+    """Markup removal: comments/doctype, script/style/noscript with content
+    (to the end of the text if never closed), then each run of tags becomes
+    one newline (text nodes joined by LF).
+
+    Linear in the text whatever it holds: a region that never ends is taken in
+    one match; a tag is only looked for before the last ``>``, where each
+    ``<`` has its end; repeated groups are possessive, so they loop instead of
+    recursing."""
+    s = F.regexp_replace(_c(x), r"(?s)<!--.*?(?:-->|\z)", "")
+    s = F.regexp_replace(s, r"(?is)<(script|style|noscript)\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)", "")
+    back = F.reverse(s)
+    head = F.reverse(F.regexp_replace(back, r"\A[^>]*+", ""))
+    tail = F.reverse(F.regexp_extract(back, r"\A[^>]*+", 0))
+    head = F.regexp_replace(head, r"(?i)<!doctype[^>]*+>", "")
+    return F.concat(F.regexp_replace(head, r"(?:<[^>]*+>)++", "\n"), tail)
 
 
 def html_to_text(x, decode_entities: bool = True) -> Column:
@@ -131,7 +140,7 @@ def normalize_key(x) -> Column:
 
 # -------------------------------------------------------------------------- T13
 def subject_topic(x) -> Column:
-    s = F.regexp_replace(py_strip(F.coalesce(_c(x), F.lit(""))), r"(?i)^(?:\s*(?:re|fwd|fw)\s*:\s*)+", "")
+    s = F.regexp_replace(py_strip(F.coalesce(_c(x), F.lit(""))), r"(?i)^(?:\s*+(?:re|fwd|fw)\s*+:\s*+)++", "")
     return py_strip(s)
 
 

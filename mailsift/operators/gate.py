@@ -15,6 +15,7 @@ from mailsift.functions import patterns as P
 from mailsift.functions.text import keep_rows, py_strip, rx_find, rx_first
 
 SIGNAL_NAMES = [n for n, _ in P.SIGNALS]
+_PIXEL_IN_IMAGE = P.spark_re("^" + P.TRACKING_PIXEL_RE.removeprefix("<img"))
 
 
 def _hdr(headers: Column, key: str) -> Column:
@@ -27,8 +28,11 @@ def _nonempty(c: Column) -> Column:
 
 
 def signal_columns(headers="headers", from_email="from_email", from_name="from_name",
-                   subject="subject", body_text="body_text", body_html="body_html") -> dict:
-    """name -> (fired Column, detail Column), in evaluation order."""
+                   subject="subject", body_text="body_text", body_html="body_html",
+                   found: dict[str, Column] | None = None) -> dict:
+    """name -> (fired Column, detail Column), in evaluation order. ``found``:
+    the first matches of G9-G11, if they are columns already."""
+    found = found or first_matches(body_text)
     H = F.col(headers)
     fe, fn = F.col(from_email), F.col(from_name)
     text = F.coalesce(F.col(body_text), F.lit(""))
@@ -59,17 +63,16 @@ def signal_columns(headers="headers", from_email="from_email", from_name="from_n
     to_v = F.lower(py_strip(_hdr(H, "to")))
     f = (F.length(to_v) == 0) | to_v.contains("undisclosed")
     out["bcc_recipient"] = (f, F.when(f, F.substring(to_v, 1, 80)).otherwise(""))
-    # Search the body, detail is the stripped first match
-    for name, pat, cap in (("unsubscribe_body", P.UNSUBSCRIBE_BODY_RE, None),
-                           ("view_in_browser", P.VIEW_IN_BROWSER_RE, None),
-                           ("footer_pattern", P.FOOTER_RE, 80)):
-        f = rx_find(text, pat)
-        d = py_strip(rx_first(text, pat))
-        if cap:
-            d = F.substring(d, 1, cap)
-        out[name] = (f, F.when(f, d).otherwise(""))
-    # G12
-    out["tracking_pixels"] = (_nonempty(html) & rx_find(html, P.TRACKING_PIXEL_RE), F.lit(""))
+    # Search the body; no pattern matches the empty string, so the
+    # first match also tells the flag
+    for name, cap in (("unsubscribe_body", None), ("view_in_browser", None), ("footer_pattern", 80)):
+        hit = found[name]
+        d = py_strip(hit)
+        out[name] = (F.length(hit) > 0, F.substring(d, 1, cap) if cap else d)
+    # Each image's own piece is searched from its start only
+    images = F.split(F.coalesce(html, F.lit("")), "(?i)<img", -1)
+    out["tracking_pixels"] = (F.exists(F.slice(images, 2, F.greatest(F.size(images) - 1, F.lit(0))),
+                                       lambda p: p.rlike(_PIXEL_IN_IMAGE)), F.lit(""))
     # G13
     out["utm_params"] = (rx_find(F.concat(F.coalesce(html, F.lit("")), F.lit(" "), text), P.UTM_RE), F.lit(""))
     # Integer form of html/max(text,1) > 5
@@ -85,16 +88,25 @@ def signal_columns(headers="headers", from_email="from_email", from_name="from_n
     return out
 
 
-def spam_sub_action(body_text="body_text") -> Column:
-    """Newsletter words as plain substrings, else opt-out language, else
-    marketing."""
+def first_matches(body_text="body_text") -> dict[str, Column]:
+    """First matches of the G9-G11 patterns in the body, or ''."""
+    text = F.coalesce(F.col(body_text), F.lit(""))
+    return {name: rx_first(text, pat) for name, pat in (
+        ("unsubscribe_body", P.UNSUBSCRIBE_BODY_RE), ("view_in_browser", P.VIEW_IN_BROWSER_RE),
+        ("footer_pattern", P.FOOTER_RE))}
+
+
+def spam_sub_action(body_text="body_text", opt_out: Column | None = None) -> Column:
+    """Newsletter words as plain substrings, else opt-out language
+    (``opt_out`` if already known), else marketing."""
     low = F.lower(F.coalesce(F.col(body_text), F.lit("")))
     news = None
     for t in P.NEWSLETTER_TERMS:
         c = low.contains(t)
         news = c if news is None else (news | c)
     return (F.when(news, F.lit("SPAM_NEWSLETTER"))
-             .when(rx_find(F.col(body_text), P.UNSUBSCRIBE_BODY_RE), F.lit("SPAM_UNSUBSCRIBE"))
+             .when(opt_out if opt_out is not None else rx_find(F.col(body_text), P.UNSUBSCRIBE_BODY_RE),
+                   F.lit("SPAM_UNSUBSCRIBE"))
              .otherwise(F.lit("SPAM_MARKETING")))
 
 
@@ -103,18 +115,19 @@ def run_gate(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame:
     name/weight/fired/detail in evaluation order), ``score_h`` (hundredths,
     clamped to 0..100), ``score``, ``verdict``, ``skip_llm``,
     ``sub_action_key``, ``fired`` (names) and ``gate_evidence``."""
-    sig = signal_columns()
+    matches = first_matches()
+    sig = signal_columns(found={n: F.col(f"_m_{n}") for n in matches})
     base_cols = list(msgs.columns)
-    stage1 = msgs.select(*base_cols,
-                         *[f.alias(f"_f_{n}") for n, (f, _) in sig.items()],
-                         *[d.alias(f"_d_{n}") for n, (_, d) in sig.items()],
-                         spam_sub_action().alias("_spam_key"))
+    stage1 = msgs.select(*base_cols, *[c.alias(f"_m_{n}") for n, c in matches.items()]).select(
+        *base_cols, *[f.alias(f"_f_{n}") for n, (f, _) in sig.items()],
+        *[d.alias(f"_d_{n}") for n, (_, d) in sig.items()])
     signals = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight_h"),
                                  F.col(f"_f_{n}").alias("fired"), F.col(f"_d_{n}").alias("detail"))
                         for n, w in P.SIGNALS])
     raw = sum(F.when(F.col(f"_f_{n}"), F.lit(w)).otherwise(F.lit(0)) for n, w in P.SIGNALS)
     score_h = F.least(F.greatest(raw, F.lit(0)), F.lit(100))
-    stage2 = stage1.select(*base_cols, signals.alias("signals"), score_h.alias("score_h"), "_spam_key")
+    stage2 = stage1.select(*base_cols, signals.alias("signals"), score_h.alias("score_h"),
+                           F.col("_f_unsubscribe_body").alias("_opt_out"))
     verdict = (F.when(F.col("score_h") >= cfg.spam_threshold_h, F.lit("spam"))
                 .when(F.col("score_h") <= cfg.not_spam_threshold_h, F.lit("not_spam"))
                 .otherwise(F.lit("ambiguous")))
@@ -124,7 +137,7 @@ def run_gate(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame:
         (F.col("score_h") / F.lit(100.0)).alias("score"),
         verdict.alias("verdict"),
         (F.col("score_h") >= cfg.spam_threshold_h).alias("skip_llm"),
-        F.when(F.col("score_h") >= cfg.spam_threshold_h, F.col("_spam_key"))
+        F.when(F.col("score_h") >= cfg.spam_threshold_h, spam_sub_action(opt_out=F.col("_opt_out")))
          .otherwise(F.lit("SPAM_MARKETING")).alias("sub_action_key"),
         F.transform(fired, lambda s: s["name"]).alias("fired"),
         gate_evidence(fired).alias("gate_evidence"))
@@ -151,7 +164,8 @@ def route(gated: DataFrame):
 
 
 def spam_insights(caught: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, run_ts: Column | None = None) -> DataFrame:
-    """Insight rows for gate-caught spam without the model."""
+    """Insight rows for gate-caught spam without the model. Texts, keys
+    and labels are fixed values."""
     run_ts = run_ts if run_ts is not None else F.current_timestamp()
     subj = F.when(F.coalesce(F.length(F.col("subject")), F.lit(0)) > 0, F.col("subject")).otherwise("(no subject)")
     frm = F.when(F.coalesce(F.length(F.col("from_email")), F.lit(0)) > 0, F.col("from_email")).otherwise("unknown")
@@ -178,9 +192,15 @@ def spam_insights(caught: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, run_ts:
         F.col("gate_evidence").alias("evidence"),
         debug_struct(cfg, run_ts).alias("debug"),
         F.lit("gate").alias("provider"),
+        F.col("provider").alias("msg_provider"), message_time().alias("msg_time"),
+        F.col("position") if "position" in caught.columns else F.lit(None).cast("long").alias("position"),
     )
 
 
+def message_time() -> Column:
+    return F.coalesce("sent_at", "internal_date")
+
+
 def iso_utc(ts: Column) -> Column:
     """``isoformat()`` of an aware UTC datetime (fraction only when
     non-zero)."""

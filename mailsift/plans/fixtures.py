@@ -36,7 +36,7 @@ def mail_view(docs: DataFrame) -> DataFrame:
     body = F.when(m(21) == 10, F.lit("Short text")).otherwise(F.concat(
         opt(m(4) == 1, "Hi Sam, "),
         opt(m(8) == 5, "can you confirm Friday at 2pm PT? "),
-        F.substring("text", 1, 1500), F.lit("\n"),
+        F.col("text"), F.lit("\n"),
         opt(m(6) == 0, "Invoice total $1,234.56 due by Friday EOD; pay 50 USD today. "
                        "See https://ex.example/p?utm_source=mail&x=1 "),
         opt(m(5) == 0, "Click to unsubscribe or manage your email preferences. "),
@@ -46,7 +46,7 @@ def mail_view(docs: DataFrame) -> DataFrame:
     html = (F.when(m(21) == 10, F.repeat(F.lit("<div>x</div>"), 60))
              .when(m(14) == 0, F.concat(
                  F.lit('<html><img src="http://t.example/o.gif" width="1" height="1"><p>'),
-                 F.substring("text", 1, 600), F.lit("</p></html>"))))
+                 F.col("text"), F.lit("</p></html>"))))
     return docs.select(
         F.concat(F.lit("m"), _s(d)).alias("message_id"),
         F.concat(F.lit("t"), _s(d - m(5))).alias("thread_id"),
@@ -108,7 +108,7 @@ select 'm'||cast(doc_id as varchar) as message_id,
   case when doc_id % 21 = 10 then 'Short text' else
     case when doc_id % 4 = 1 then 'Hi Sam, ' else '' end
     || case when doc_id % 8 = 5 then 'can you confirm Friday at 2pm PT? ' else '' end
-    || substr(text, 1, 1500) || chr(10)
+    || text || chr(10)
     || case when doc_id % 6 = 0 then 'Invoice total $1,234.56 due by Friday EOD; pay 50 USD today. See https://ex.example/p?utm_source=mail&x=1 ' else '' end
     || case when doc_id % 5 = 0 then 'Click to unsubscribe or manage your email preferences. ' else '' end
     || case when doc_id % 10 = 7 then 'View this email in your browser. ' else '' end
@@ -116,7 +116,7 @@ select 'm'||cast(doc_id as varchar) as message_id,
     || case when doc_id % 12 = 0 then '12 Main Street, Springfield. All rights reserved.' else '' end
   end as body_text,
   case when doc_id % 21 = 10 then repeat('<div>x</div>', 60)
-       when doc_id % 14 = 0 then '<html><img src="http://t.example/o.gif" width="1" height="1"><p>' || substr(text, 1, 600) || '</p></html>'
+       when doc_id % 14 = 0 then '<html><img src="http://t.example/o.gif" width="1" height="1"><p>' || text || '</p></html>'
   end as body_html,
   case doc_id % 8 when 0 then 'Friday 2pm PT' when 1 then 'tomorrow EOD' when 2 then 'next Monday 14:30'
        when 3 then 'today' when 4 then 'asap' when 5 then 'Tuesday noon ET' when 6 then '13:00 sunday utc' end as deadline_text
@@ -184,8 +184,8 @@ _MODEL_JSON = (
     "\"Second point\", \"Third\", \"Fourth\"]' else '[\"Asked to confirm\"]' end) || '}'")
 
 MODEL_TEXT_EXPR = (
-    "(case when doc_id % 11 = 0 then '```json' || chr(10) else '' end) || substr(" + _MODEL_JSON
-    + ", 1, case when doc_id % 11 = 1 then 60 else 1000000 end) || (case when doc_id % 11 = 0 then chr(10) || '```' "
+    "(case when doc_id % 11 = 0 then '```json' || chr(10) else '' end) || (case when doc_id % 11 = 1 then substr("
+    + _MODEL_JSON + ", 1, 60) else " + _MODEL_JSON + " end) || (case when doc_id % 11 = 0 then chr(10) || '```' "
     "else '' end)")
 MODEL_OUTPUT_COLS = [
     "message_id",
@@ -253,13 +253,13 @@ def raw_messages(mail: DataFrame) -> DataFrame:
     html_only = m(21) == 10
     blank_plain = m(29) == 5
     html = F.when(blank_plain & F.col("body_html").isNull(),
-                  F.concat(F.lit("<p>"), F.substring("body_text", 1, 200), F.lit("</p>"))).otherwise(F.col("body_html"))
+                  F.concat(F.lit("<p>"), F.col("body_text"), F.lit("</p>"))).otherwise(F.col("body_html"))
     plain_bytes = (F.when(blank_plain, F.encode(F.lit("   "), "UTF-8"))
                    .when(m(37) == 9, F.concat(F.encode("body_text", "UTF-8"), F.unhex(F.lit("FF"))))
                    .otherwise(F.encode("body_text", "UTF-8")))
     enc = _b64url(plain_bytes)
     # junk characters inside the data: decoders skip them
-    pdata = F.when(m(31) == 7, F.concat(F.substring(enc, 1, 4), F.lit("!!\n"), F.substring(enc, 5, 100000000))) \
+    pdata = F.when(m(31) == 7, F.concat(F.substring(enc, 1, 4), F.lit("!!\n"), enc.substr(F.lit(5), F.length(enc)))) \
              .otherwise(enc)
     headers_json = _headers_json(mail)
     root_ok = bad != 33

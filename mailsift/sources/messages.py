@@ -8,10 +8,11 @@ message never shuffles: the whole step is a single map-only stage."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailsift.config import DEFAULT_CONFIG, TriageConfig
+from mailsift.functions import patterns as P
 from mailsift.functions.text import html_to_text, keep_rows, py_strip
 
 HEADER_TYPE = "array<struct<name:string,value:string>>"
@@ -19,16 +20,23 @@ HEADER_TYPE = "array<struct<name:string,value:string>>"
 
 # ------------------------------------------------------------------------- S1
 def read_messages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
-    """(position, value) text rows.
+    """(position, value) text rows; ``position`` is the dense 0-based place
+    in source order (file path, then place in the file), the same on every
+    run and retry.
 
     ``jsonl``: one message per line; files split across tasks, so this is
     the form to use at scale. ``auto``: per file, a JSON array, a single
     object or JSON lines (each file is read whole, so a single array file
     must fit one task)."""
     if fmt == "jsonl":
-        lines = spark.read.text(path).withColumn("_file", F.input_file_name())
-        lines = lines.filter(F.length(py_strip(F.col("value"))) > 0)
-        return lines.select(F.monotonically_increasing_id().alias("position"), "value")
+        lines = spark.read.text(path).select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+        lines = lines.filter(F.length(py_strip(F.col("value"))) > 0).withColumn("_row", F.monotonically_increasing_id())
+        # rows of a split are numbered one after another; splits, as many as there are tasks, by prefix sums
+        splits = lines.groupBy("_file", "_at").agg(F.min("_row").alias("_low"), F.count(F.lit(1)).alias("_n"))
+        base = _before(splits, ["_file", "_at"], "_n").select("_file", "_at", (F.col("_base") - F.col("_low")).alias("_add"))
+        return lines.join(F.broadcast(base), ["_file", "_at"]).select(
+            (F.col("_row") + F.col("_add")).alias("position"), "value")
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.input_file_name().alias("_file"), py_strip(F.col("value")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(py_strip(x)) > 0)
@@ -36,17 +44,22 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFra
     # otherwise the file is one (possibly pretty-printed) object
     is_lines = F.forall(lines, lambda x: F.coalesce(
         F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False)))
-    files = files.withColumn("_kind", F.when(F.col("t").startswith("["), F.lit("array"))
-                             .when(is_lines, F.lit("lines")).otherwise(F.lit("single")))
-    arr = files.filter(F.col("_kind") == "array").select(
-        "_file", F.posexplode(F.coalesce(F.try_variant_get(F.try_parse_json("t"), "$", "array<variant>"),
-                                         F.array().cast("array<variant>"))).alias("i", "v")) \
-        .select("_file", "i", F.to_json("v").alias("value"))
-    single = files.filter(F.col("_kind") == "single").select("_file", F.lit(0).alias("i"), F.col("t").alias("value"))
-    multi = files.filter(F.col("_kind") == "lines").select("_file", F.posexplode(lines).alias("i", "value"))
-    allr = arr.unionByName(single).unionByName(multi)
-    return allr.select(F.concat_ws("#", "_file", F.col("i").cast("string")).alias("source_ref"),
-                       F.monotonically_increasing_id().alias("position"), "value")
+    array = F.transform(F.coalesce(F.try_variant_get(F.try_parse_json("t"), "$", "array<variant>"),
+                                   F.array().cast("array<variant>")), lambda v: F.to_json(v))
+    files = files.select("_file", F.when(F.col("t").startswith("["), array).when(is_lines, lines)
+                         .otherwise(F.array("t")).alias("_values"))
+    base = _before(files.select("_file", F.size("_values").alias("_n")), ["_file"], "_n")
+    return files.join(F.broadcast(base.select("_file", "_base")), "_file").select(
+        "_file", "_base", F.posexplode("_values").alias("i", "value")).select(
+        F.concat_ws("#", "_file", F.col("i").cast("string")).alias("source_ref"),
+        (F.col("_base") + F.col("i")).alias("position"), "value")
+
+
+def _before(parts: DataFrame, order: list[str], count: str) -> DataFrame:
+    """``parts`` with ``_base``, the sum of ``count`` over the parts before (one
+    row per file or split: a window over that few rows in one task)."""
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_base", F.coalesce(F.sum(count).over(w), F.lit(0)))
 
 
 def parse_raw(df: DataFrame, text: str = "value") -> DataFrame:
@@ -97,32 +110,43 @@ def _children(frontier: Column) -> Column:
         lambda c, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), c.alias("node")))))
 
 
-def flatten_parts(raw: Column, max_depth: int = DEFAULT_CONFIG.max_depth) -> tuple[Column, Column]:
-    """(parts in depth-first pre-order including the root, too_deep).
+def parts_levels(text: Column) -> Column:
+    """A bound on the depth of a message's MIME tree, from its own JSON text:
+    each level below the root needs a ``"parts"`` key."""
+    return F.coalesce(F.regexp_count(text, F.lit(r'"parts"')), F.lit(0))
+
+
+def part_nodes(raw: Column, levels: Column) -> Column:
+    """(path, node) in depth-first pre-order including the root, at any
+    depth.
 
-    A (frontier, collected) state goes through one ``transform`` step per
-    level over a one-element array, so each level's children are extracted
-    once; the collected nodes are sorted by index path, which is exactly
-    pre-order."""
+    A (frontier, collected) state is folded once per possible level of the
+    row's own tree; the collected nodes are sorted by index path, which is
+    exactly pre-order."""
     root = F.try_variant_get(raw, "$.payload", "variant")
     level0 = F.when(root.isNotNull(), F.array(F.struct(F.array().cast("array<int>").alias("path"),
                                                        root.alias("node")))).otherwise(F.array().cast(_NODES))
-    st = F.array(F.struct(level0.alias("f"), level0.alias("acc")))
-    for _ in range(max_depth):
-        st = F.transform(st, lambda s: F.struct(_children(s["f"]).alias("f"), s["acc"].alias("acc")))
-        st = F.transform(st, lambda s: F.struct(s["f"].alias("f"), F.concat(s["acc"], s["f"]).alias("acc")))
-    st = F.transform(st, lambda s: F.struct(
-        F.exists(s["f"], lambda x: F.size(F.coalesce(F.try_variant_get(x["node"], "$.parts", "array<variant>"),
-                                                     F.array().cast("array<variant>"))) > 0).alias("deep"),
-        F.transform(F.array_sort(s["acc"], lambda a, b: F.when(a["path"] < b["path"], -1)
-                                 .when(a["path"] > b["path"], 1).otherwise(0)), lambda x: F.struct(
-            x["path"].alias("path"),
-            F.try_variant_get(x["node"], "$.mimeType", "string").alias("mime_type"),
-            F.try_variant_get(x["node"], "$.body.data", "string").alias("data"),
-            F.try_variant_get(x["node"], "$.body.attachmentId", "string").alias("attachment_id"),
-            F.try_variant_get(x["node"], "$.filename", "string").alias("filename"))).alias("parts")))
-    res = F.try_element_at(st, F.lit(1))
-    return res["parts"], res["deep"]
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    state = f"struct<f:{_NODES},acc:{_NODES}>"
+    nodes = F.aggregate(
+        steps, F.struct(level0.alias("f"), F.array().cast(_NODES).alias("acc")).cast(state),
+        lambda s, _: F.struct(_children(s["f"]).alias("f"), F.concat(s["acc"], s["f"]).alias("acc")).cast(state),
+        lambda s: F.concat(s["acc"], s["f"]))
+    return F.array_sort(nodes, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+
+
+def flatten_parts(raw: Column, levels: Column) -> Column:
+    """The parts of ``part_nodes`` with their typed fields."""
+    return part_fields(part_nodes(raw, levels))
+
+
+def part_fields(nodes: Column) -> Column:
+    return F.transform(nodes, lambda x: F.struct(
+        x["path"].alias("path"),
+        F.try_variant_get(x["node"], "$.mimeType", "string").alias("mime_type"),
+        F.try_variant_get(x["node"], "$.body.data", "string").alias("data"),
+        F.try_variant_get(x["node"], "$.body.attachmentId", "string").alias("attachment_id"),
+        F.try_variant_get(x["node"], "$.filename", "string").alias("filename")))
 
 
 # ------------------------------------------------------------------------- P5
@@ -157,14 +181,14 @@ def parse_addresses(value) -> Column:
     """Address list -> array<struct<name,email>>: quote-aware comma
     split, ``Name <addr>`` or bare address, group labels dropped."""
     v = F.col(value) if isinstance(value, str) else value
-    toks = F.regexp_extract_all(F.coalesce(v, F.lit("")), F.lit(r'(?:"[^"]*"|[^,])+'), F.lit(0))
+    toks = F.regexp_extract_all(F.coalesce(v, F.lit("")), F.lit(r'(?:"[^"]*+"|[^",]++|")++'), F.lit(0))
 
     def one(t):
         s = py_strip(t)
         angle = s.contains("<")
         name = py_strip(F.regexp_replace(py_strip(F.regexp_extract(s, r"^(.*?)<", 1)), r'^"|"$', ""))
         bare = py_strip(F.regexp_replace(F.regexp_replace(s, r'^[^:@"<]*:\s*', ""), ";", ""))
-        email = F.when(angle, py_strip(F.regexp_extract(s, r"<([^>]*)>", 1))).otherwise(bare)
+        email = F.when(angle, py_strip(F.regexp_extract(s, r"^[^<]*+<([^>]*+)>", 1))).otherwise(bare)
         return F.struct(F.when(angle, name).otherwise(F.lit("")).alias("name"), email.alias("email"))
     return F.transform(toks, one)
 
@@ -176,18 +200,29 @@ def address_list(value) -> Column:
 # ------------------------------------------------------------------------- P7
 def parse_date(value) -> tuple[Column, Column]:
     """(sent instant, sender offset minutes). Leading weekday and
-    trailing comment dropped; numeric offset, GMT/UTC/Z or none (UTC);
-    unparseable -> null."""
+    trailing comment dropped; day or month first, ISO or two-digit years;
+    numeric offset, named zone or none (UTC); unparseable -> null."""
     v = py_strip(F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit("")))
-    s = F.regexp_replace(F.regexp_replace(v, r"^[A-Za-z]{3,9},?\s+", ""), r"\s*\([^)]*\)\s*$", "")
-    off_s = F.regexp_extract(s, r"\s([+-]\d{4})$", 1)
-    main = F.regexp_replace(s, r"\s+(?:[+-]\d{4}|GMT|UTC|UT|Z)$", "")
-    local = F.coalesce(F.try_to_timestamp(main, F.lit("d MMM yyyy HH:mm:ss")),
-                       F.try_to_timestamp(main, F.lit("d MMM yyyy HH:mm")),
-                       F.try_to_timestamp(main, F.lit("yyyy-MM-dd HH:mm:ss")))
+    s = F.regexp_replace(F.regexp_replace(v, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[A-Za-z]*+,?\s++", ""),
+                         r"\s*+\([^)]*+\)\s*+$", "")
+    zone = r"(?:\s++|(?<=\d))([+-]\d{2}:?\d{2}|" + "|".join(P.DATE_ZONES) + r")$"
+    off_s = F.regexp_replace(F.upper(F.regexp_extract(s, "(?i)" + zone, 1)), ":", "")
+    main = F.regexp_replace(F.regexp_replace(s, "(?i)" + zone, ""), r"[,\s]++", " ")
+    main = F.regexp_replace(main, r"(?<=\d)T(?=\d)", " ")
+    # two-digit years: 69-99 are 19xx, the others 20xx
+    main = F.regexp_replace(main, r"^(\d{1,2}[ -][A-Za-z]{3}[ -])(?=(?:69|[7-9]\d) )", "$119")
+    main = F.regexp_replace(main, r"^(\d{1,2}[ -][A-Za-z]{3}[ -])(?=\d\d )", "$120")
+    day = F.initcap(F.regexp_replace(main, "-(?=[A-Za-z])|(?<=[A-Za-z])-", " "))
+    forms = [f"{d} {t}" for d in ("d MMM yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMMM yyyy")
+             for t in ("HH:mm:ss", "HH:mm")]
+    local = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in forms],
+                       *[F.try_to_timestamp(main, F.lit(f)) for f in (
+                           "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss.SSS", "M/d/yyyy HH:mm:ss",
+                           "M/d/yyyy HH:mm")])
     sign = F.when(F.substring(off_s, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    off = F.when(off_s != "", sign * (F.substring(off_s, 2, 2).try_cast("int") * 60
-                                      + F.substring(off_s, 4, 2).try_cast("int"))).otherwise(F.lit(0))
+    off = (F.when(off_s.rlike("^[+-]"), sign * (F.substring(off_s, 2, 2).try_cast("int") * 60
+                                                + F.substring(off_s, 4, 2).try_cast("int")))
+           .otherwise(F.coalesce(*[F.when(off_s == z, F.lit(m)) for z, m in P.DATE_ZONES.items()], F.lit(0))))
     sent = local - F.make_interval(mins=off)
     return F.when(local.isNotNull(), sent), F.when(local.isNotNull(), off)
 
@@ -200,39 +235,69 @@ def internal_date(value) -> Column:
 
 
 # ------------------------------------------------------------------------- S2
-def contract_violations(raw: Column, headers: Column, parts: Column, too_deep: Column,
-                        max_depth: int = DEFAULT_CONFIG.max_depth) -> Column:
-    """Every missing required path, not just the first."""
+def kind_of(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, DOUBLE, BOOLEAN, ...: the type of a
+    variant ('MISSING' where there is none, 'VOID' for a JSON null)."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0), F.lit("MISSING"))
+
+
+def _typed(v: Column, want: str, path, required: bool) -> Column:
+    """The violation of one value, or null: ``path`` as text or column."""
+    p = F.lit(path) if isinstance(path, str) else path
+    k = kind_of(v)
+    absent = k.isin("MISSING", "VOID")
+    return (F.when(absent, F.concat(p, F.lit(": missing")) if required else F.lit(None).cast("string"))
+            .when(k != want, F.concat(p, F.lit(f": not {_NAMES[want]}"))))
+
+
+_NAMES = {"STRING": "a string", "OBJECT": "an object", "ARRAY": "an array"}
+
+
+def contract_violations(raw: Column, nodes: Column) -> Column:
+    """Every missing or wrongly typed path, not just the first: the
+    message, each part of its tree (``path``, ``node``) and all their headers."""
     obj = F.coalesce(F.schema_of_variant(raw).startswith("OBJECT"), F.lit(False))
-    idv = F.try_variant_get(raw, "$.id", "string")
-    payload = F.try_variant_get(raw, "$.payload", "variant")
-    hdr_bad = F.transform(F.coalesce(headers, F.array().cast(HEADER_TYPE)), lambda h, i: F.concat_ws(
-        "; ", F.when(h["name"].isNull(), F.format_string("payload.headers[%d].name: missing", i)),
-        F.when(h["value"].isNull(), F.format_string("payload.headers[%d].value: missing", i))))
-    part_bad = F.transform(F.filter(parts, lambda p: p["mime_type"].isNull()), lambda p: F.concat(
-        F.lit("payload"), F.array_join(F.transform(p["path"], lambda i: F.format_string(".parts[%d]", i)), ""),
-        F.lit(".mimeType: missing")))
-    rules = F.concat(
-        F.array(F.when(raw.isNull(), F.lit("json: malformed")),
-                F.when(raw.isNotNull() & ~obj, F.lit("json: not an object")),
-                F.when(obj & idv.isNull(), F.lit("id: missing")),
-                F.when(obj & payload.isNull(), F.lit("payload: missing")),
-                F.when(too_deep, F.lit(f"payload: deeper than {max_depth} levels"))),
-        part_bad, hdr_bad)
-    return F.filter(rules, lambda x: x.isNotNull() & (F.length(x) > 0))
-
-
-def validate_raw(df: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG):
+    get = lambda path: F.try_variant_get(raw, path, "variant")
+    top = F.array(
+        F.when(raw.isNull(), F.lit("json: malformed")), F.when(raw.isNotNull() & ~obj, F.lit("json: not an object")),
+        F.when(obj, _typed(get("$.id"), "STRING", "id", True)),
+        F.when(obj, _typed(get("$.payload"), "OBJECT", "payload", True)),
+        *[F.when(obj, _typed(get(f"$.{c}"), "STRING", c, False)) for c in ("threadId", "snippet")])
+
+    def node_rules(x):
+        at = F.concat(F.lit("payload"), F.array_join(F.transform(x["path"], lambda i: F.format_string(".parts[%d]", i)), ""))
+        node = x["node"]
+        sub = lambda path: F.try_variant_get(node, path, "variant")
+        headers = F.coalesce(F.try_variant_get(node, "$.headers", "array<variant>"), F.array().cast("array<variant>"))
+
+        def header_rules(h, i):
+            here = F.concat(at, F.format_string(".headers[%d]", i))
+            return F.when(kind_of(h) != "OBJECT", F.array(F.concat(here, F.lit(": not an object")))).otherwise(F.array(*[
+                _typed(F.try_variant_get(h, f"$.{c}", "variant"), "STRING", F.concat(here, F.lit(f".{c}")), True)
+                for c in ("name", "value")]))
+        rules = F.array(
+            _typed(sub("$.mimeType"), "STRING", F.concat(at, F.lit(".mimeType")), True),
+            _typed(sub("$.headers"), "ARRAY", F.concat(at, F.lit(".headers")), False),
+            _typed(sub("$.parts"), "ARRAY", F.concat(at, F.lit(".parts")), False),
+            _typed(sub("$.body"), "OBJECT", F.concat(at, F.lit(".body")), False),
+            _typed(sub("$.body.data"), "STRING", F.concat(at, F.lit(".body.data")), False),
+            _typed(sub("$.filename"), "STRING", F.concat(at, F.lit(".filename")), False))
+        wrong = F.when(kind_of(node) != "OBJECT", F.array(F.concat(at, F.lit(": not an object"))))
+        return F.coalesce(wrong, F.concat(rules, F.flatten(F.transform(headers, header_rules))))
+    return F.filter(F.concat(top, F.flatten(F.transform(nodes, node_rules))), lambda x: x.isNotNull())
+
+
+def validate_raw(df: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, text: str = "value"):
     """(valid rows with ``headers`` and ``parts``, quarantine rows with
     ``violations``). A bad message is set aside; the rest go on."""
     headers = F.try_variant_get(F.col("raw"), "$.payload.headers", HEADER_TYPE)
-    parts, too_deep = flatten_parts(F.col("raw"), cfg.max_depth)
-    x = df.select("*", headers.alias("headers_list"), parts.alias("parts"), too_deep.alias("too_deep"))
-    x = x.withColumn("violations", contract_violations(F.col("raw"), F.col("headers_list"), F.col("parts"),
-                                                       F.col("too_deep"), cfg.max_depth))
+    nodes = part_nodes(F.col("raw"), parts_levels(F.col(text)))
+    x = df.select("*", headers.alias("headers_list"), nodes.alias("_nodes"))
+    x = x.select("*", part_fields(F.col("_nodes")).alias("parts"),
+                 contract_violations(F.col("raw"), F.col("_nodes")).alias("violations")).drop("_nodes")
     x = x.withColumn("_ok", F.size("violations") == 0).withColumn("_bad", F.size("violations") > 0)
-    good = keep_rows(x, "_ok").drop("_ok", "_bad", "violations", "too_deep")
-    bad = keep_rows(x, "_bad").drop("_ok", "_bad", "too_deep", "parts", "headers_list")
+    good = keep_rows(x, "_ok").drop("_ok", "_bad", "violations")
+    bad = keep_rows(x, "_bad").drop("_ok", "_bad", "parts", "headers_list")
     return good, bad
 
 
