@@ -5,24 +5,24 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
 class TriageConfig:
-    # Body cap, prompt version and thresholds equal the
-    # matched behaviour's defaults; model_version and contract are deployment
-    # labels (set them to what downstream readers expect).
+    # Body cap and thresholds equal the matched behaviour's
+    # defaults; the versions and the contract are deployment labels (set them
+    # to what downstream readers expect).
     max_body_chars: int = 12000
-    model_version: str = "email-triage-v3"
-    prompt_version: str = "triage-v3-2026-02"
-    contract: str = "gmail_insights.v3"
+    model_version: str = "model-1"
+    prompt_version: str = "prompt-1"
+    contract: str = "insights-1"
     spam_threshold_h: int = 70      # score >= 0.70 -> spam (hundredths)
     not_spam_threshold_h: int = 20  # score <= 0.20 -> not_spam (hundredths)
     provider: str = "gmail"
-    max_depth: int = 8              # MIME levels flattened in-row
 
 
 DEFAULT_CONFIG = TriageConfig()
@@ -45,7 +45,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+              .config("mailsift.input.partitions", str(shuffle_partitions)))
     spark = b.getOrCreate()
     try:
         spark.sparkContext.setLogLevel("ERROR")
@@ -60,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     unset (tests, local runs) create a scratch one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="mailsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -69,6 +72,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written once to a new folder under the shared dir."""
+    path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint dir for written intermediate
     tables (used to cut lineage instead of machine-local storage)."""

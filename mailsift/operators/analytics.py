@@ -16,7 +16,8 @@ from mailsift.functions import patterns as P
 # ------------------------------------------------------------------------ Q1
 def lookup(ids: DataFrame, msgs: DataFrame, key: str = "message_id"):
     """Q1: (found, missing). Job ids are a small side; the planner broadcasts
-    it only when its size estimate is under the broadcast threshold."""
+    it only when its size estimate is under the broadcast threshold. The error
+    text is a fixed value."""
     found = msgs.join(ids.select(key).distinct(), key, "left_semi")
     missing = (ids.select(key).distinct().join(msgs.select(key), key, "left_anti")
                .select(key, F.concat(F.lit("row not found for id="), F.col(key)).alias("error")))
@@ -61,53 +62,34 @@ def thread_groups(msgs: DataFrame, thread="thread_id", ts="internal_date", key="
     """Q7: one row per thread with size and latest message (partial
     aggregation: a hot thread costs one partial row per task)."""
     return msgs.groupBy(thread).agg(F.count(F.lit(1)).alias("n"),
-                                    F.max_by(F.col(key), F.col(ts)).alias("latest_id"),
+                                    F.max_by(F.col(key), F.struct(F.col(ts).isNotNull(), F.col(ts), F.col(key))).alias("latest_id"),
                                     F.max(ts).alias("latest_at"))
 
 
 # ------------------------------------------------------------------------ Q9
-def rolling_count(events: DataFrame, ts: str = "ts", key: str = "event_id", seconds: int = 300,
-                  buckets: int | None = None) -> DataFrame:
+def rolling_count(events: DataFrame, ts: str = "ts", key: str = "event_id", seconds: int = 300) -> DataFrame:
     """For every event at time t: the number of events with t - seconds < ts
-    <= t, computed as N(<= t) - N(<= t - seconds) without a global
-    single-partition window.
+    <= t, without a global single-partition window.
 
-    Query points (t - seconds) are unioned with the data points and
-    collapsed to one row per distinct (time, kind) with a count (partial
+    Events are collapsed to one row per distinct time with a count (partial
     aggregation: an instant holding a third of all events becomes one row).
-    The distinct times are cut into ``buckets`` ranges at approximate
-    quantiles (at most ``buckets`` values reach the driver); cumulative
-    counts are computed per bucket and bucket offsets (one row per bucket, a
-    proven size bound) are broadcast back. The bucket of a row is a pure
-    expression of its time, so re-evaluation (retries, lost executors)
-    assigns the same bucket. Each event then looks up its two cumulative
-    counts by (time, kind); a hot instant there is a skewed equi-join that
-    AQE splits."""
-    spark = events.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Time is cut into buckets as wide as the window, so t - seconds lies in the
+    bucket before t's, and the answer needs these two only: events up to t in
+    its own bucket, plus the earlier bucket's events after t - seconds. Both
+    are running counts within a bucket. Each event then looks its time up; a
+    hot instant there is a skewed equi-join that AQE splits."""
+    width = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    ev = events.select(F.col(key).alias("_k"), micros.alias("_m"))
-    pts = ev.select("_k", "_m", F.lit(0).alias("_kind")).unionByName(
-        ev.select("_k", (F.col("_m") - F.lit(seconds * 1_000_000)).alias("_m"), F.lit(1).alias("_kind")))
-    dist = pts.groupBy("_m", "_kind").agg(F.count(F.lit(1)).alias("_c"))
-    qs = [i / n for i in range(1, n)]
-    row = dist.select(F.percentile_approx("_m", qs, 10_000).alias("q")).first() if qs else None
-    bounds = sorted(set(row["q"] or [])) if row is not None else []
-    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    dist = dist.withColumn("_b", F.size(F.filter(arr, lambda b: b <= F.col("_m"))))
-    data = F.when(F.col("_kind") == 0, F.col("_c")).otherwise(F.lit(0))
-    # data points counted up to and including their peers (RANGE frame)
-    w = (Window.partitionBy("_b").orderBy("_m", "_kind")
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = dist.withColumn("_cum", F.sum(data).over(w))
-    sizes = dist.groupBy("_b").agg(F.sum(data).alias("_cnt"))
-    offs = sizes.select("_b", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    cum = local.join(F.broadcast(offs), "_b").select("_m", "_kind", (F.col("_cum") + F.col("_off")).alias("_n"))
-    counts = pts.join(cum, ["_m", "_kind"]).groupBy("_k").agg(
-        (F.sum(F.when(F.col("_kind") == 0, F.col("_n"))) - F.sum(F.when(F.col("_kind") == 1, F.col("_n"))))
-        .alias("n_window"))
-    return events.join(counts.withColumnRenamed("_k", key), key)
+    at = events.select(micros.alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_c"))
+    point = lambda t, own: F.struct((F.col("_t") - t).alias("m"), F.lit(own).alias("own"))
+    points = at.select("_t", "_c", F.explode(F.array(point(0, True), point(width, False))).alias("p")).select(
+        "_t", F.col("p.m").alias("_m"), F.col("p.own").alias("_own"),
+        F.when(F.col("p.own"), F.col("_c")).otherwise(F.lit(0)).alias("_c"))
+    bucket = Window.partitionBy((F.col("_m") - F.pmod(F.col("_m"), F.lit(width))).alias("_b"))
+    upto = F.sum("_c").over(bucket.orderBy("_m").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = points.select("_t", F.when(F.col("_own"), upto).otherwise(F.sum("_c").over(bucket) - upto).alias("_n"))
+    window = counted.groupBy("_t").agg(F.sum("_n").alias("n_window"))
+    return events.withColumn("_t", micros).join(window, "_t").drop("_t")
 
 
 def health(errors: DataFrame, seconds: int = 300, threshold: int = 10, ts: str = "ts",

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
-from mailsift.functions.text import keep_rows, strip_fence
+from mailsift.functions.text import keep_rows, py_strip, strip_fence
 from mailsift.operators.gate import ENTITIES_TYPE, TASK_TYPE
+from mailsift.operators.tables import latest_per_key
 
 ACTION_TYPE = "array<struct<key:string,label:string,kind:string,rank:int>>"
 URGENCY_TYPE = "struct<urgency:string,deadline_detected:boolean,deadline_text:string,reply_by:string,reason:string>"
@@ -38,6 +39,70 @@ def _get(v: Column, path: str, typ: str) -> Column:
     return F.try_variant_get(v, "$." + path, typ)
 
 
+# Types of the output contract: a trailing ``?`` allows null; a field may be
+# absent unless listed in REQUIRED_ITEMS. Numbers and booleans may come as text.
+FIELD_TYPES = {
+    "sub_action_key": "string", "major_category": "string", "explicit_task": "boolean", "confidence": "number",
+    "suggested_reply_action": "array", "task_proposal": "object?", "recommended_actions": "array",
+    "urgency_signals": "object", "extracted_summary": "object", "entities": "object", "evidence": "array",
+    "task_proposal.type": "string?", "task_proposal.title": "string", "task_proposal.description": "string",
+    "task_proposal.priority": "string", "task_proposal.status": "string", "task_proposal.scheduled_for": "string?",
+    "task_proposal.due_at": "string?", "task_proposal.waiting_on": "string?",
+    "urgency_signals.urgency": "string", "urgency_signals.deadline_detected": "boolean",
+    "urgency_signals.deadline_text": "string?", "urgency_signals.reply_by": "string?", "urgency_signals.reason": "string",
+    "extracted_summary.ask": "string", "extracted_summary.success_criteria": "string",
+    "extracted_summary.missing_info": "array", "entities.people": "array", "entities.dates": "array",
+    "entities.money": "array", "entities.docs": "array", "entities.meeting": "object?",
+    "entities.meeting.topic": "string?", "entities.meeting.start_at": "string?", "entities.meeting.tz": "string?",
+}
+ITEM_TYPES = {  # arrays: their items' type, or their items' fields
+    "suggested_reply_action": "string", "evidence": "string", "extracted_summary.missing_info": "string",
+    "recommended_actions": {"key": "string", "label": "string", "kind": "string", "rank": "integer"},
+    "entities.people": {"email": "string", "role": "string"},
+    "entities.dates": {"text": "string", "iso": "string?", "type": "string"},
+    "entities.money": {"text": "string", "amount": "number?", "currency": "string?"},
+    "entities.docs": {"title": "string?", "url": "string?", "type": "string?"},
+}
+REQUIRED_ITEMS = {"entities.money": ["text"]}  # those of actions, people and dates have rules of their own
+
+
+def _wrong(v: Column, want: str) -> Column:
+    """Is the variant there, but not of the wanted type?"""
+    kind = F.coalesce(F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0), F.lit("MISSING"))
+    want, null_ok = want.rstrip("?"), want.endswith("?")
+    number = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+    text = F.lower(py_strip(F.try_variant_get(v, "$", "string")))
+    ok = {"string": kind == "STRING", "array": kind == "ARRAY", "object": kind == "OBJECT",
+          "number": number | (kind == "STRING") & text.try_cast("double").isNotNull(),
+          "integer": (number | (kind == "STRING")) & (text.try_cast("double") == F.floor(text.try_cast("double"))),
+          "boolean": (kind == "BOOLEAN") | (number | (kind == "STRING")) & text.isin(
+              "true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n")}[want]
+    return ~F.coalesce(ok, F.lit(False)) & (kind != "MISSING") & ((kind != "VOID") if null_ok else F.lit(True))
+
+
+def _with(fn, *more):
+    return lambda x, i: fn(x, i, *more)
+
+
+def type_violations(v: Column) -> Column:
+    """M2: ``path: not <type>`` for every value of a wrong type, items included."""
+    field = lambda root, path: F.try_variant_get(root, "$." + path, "variant")
+    say = lambda path, want: path + ": not " + ("an " if want[0] in "aeiou" else "a ") + want.rstrip("?")
+    out = [F.array(*[F.when(_wrong(field(v, p), w), F.lit(say(p, w))) for p, w in FIELD_TYPES.items()])]
+    for path, want in ITEM_TYPES.items():
+        items = F.coalesce(F.try_variant_get(v, "$." + path, "array<variant>"), F.array().cast("array<variant>"))
+
+        def item_rules(x, i, path, want):
+            here = F.concat(F.lit(path), F.format_string("[%d]", i))
+            if isinstance(want, str):
+                return F.array(F.when(_wrong(x, want), F.concat(here, F.lit(say("", want)))))
+            return F.array(F.when(_wrong(x, "object"), F.concat(here, F.lit(": not an object"))), *[
+                F.when(_wrong(field(x, c), w), F.concat(here, F.lit(say("." + c, w)))) for c, w in want.items()], *[
+                F.when(field(x, c).isNull(), F.concat(here, F.lit(f".{c}: missing"))) for c in REQUIRED_ITEMS.get(path, [])])
+        out.append(F.flatten(F.transform(items, _with(item_rules, path, want))))
+    return F.filter(F.concat(*out), lambda m: m.isNotNull())
+
+
 def parse_model_text(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """M1: fence strip (T15), JSON parse, typed fields with the contract's
     defaults. Adds ``parse_ok`` and one column per output field."""
@@ -87,6 +152,7 @@ def parse_model_text(df: DataFrame, text: str = "raw_text") -> DataFrame:
                  F.coalesce(ents["docs"], empty("array<struct<title:string,url:string,type:string>>")).alias("docs"),
                  ents["meeting"].alias("meeting")).alias("entities"),
         F.coalesce(_get(vv, "evidence", "array<string>"), empty("array<string>")).alias("evidence"),
+        F.when(vv.isNotNull() & F.schema_of_variant(vv).startswith("OBJECT"), type_violations(vv)).alias("type_violations"),
     )
 
 
@@ -107,24 +173,34 @@ def contract_violations() -> Column:
          "entities.people: email/role missing"),
         (F.exists("entities.dates", lambda d: d["text"].isNull()), "entities.dates: text missing"),
     ]
-    return F.filter(F.array(*[F.when(c, F.lit(msg)) for c, msg in rules]), lambda x: x.isNotNull())
+    return F.concat(F.filter(F.array(*[F.when(c, F.lit(msg)) for c, msg in rules]), lambda x: x.isNotNull()),
+                    F.coalesce("type_violations", F.array().cast("array<string>")))
 
 
 def validate(parsed: DataFrame):
     """M2: (valid rows, invalid rows with ``violations``)."""
     v = parsed.withColumn("violations", contract_violations()).withColumn("_ok", F.size("violations") == 0)
     bad = v.withColumn("_bad", ~F.col("_ok"))
-    return (keep_rows(v, "_ok").drop("violations", "_ok"),
-            keep_rows(bad, "_bad").drop("_ok", "_bad"))
+    return (keep_rows(v, "_ok").drop("violations", "_ok", "type_violations"),
+            keep_rows(bad, "_bad").drop("_ok", "_bad", "type_violations"))
 
 
 def attach(msgs: DataFrame, model: DataFrame, key: str = "message_id"):
     """M3: left join of the messages that need the model to their answers;
-    (joined rows, ``no_model_output`` error rows)."""
+    (joined rows, ``no_model_output`` error rows). The key is the id, and the
+    message's provider too if the answers name it (``message_provider``). Of
+    several answers to a message the smallest by response id, then text,
+    counts."""
     m = model.withColumnRenamed("provider", "model_provider")
-    j = msgs.join(m, key, "left")
+    keys = [key]
+    if "message_provider" in m.columns and "msg_provider" in msgs.columns:
+        m = m.withColumnRenamed("message_provider", "msg_provider")
+        keys.append("msg_provider")
+    order = [c for c in ("response_id", "raw_text") if c in m.columns]
+    m = latest_per_key(m, keys, order, newest=False)
+    j = msgs.join(m, keys, "left")
     missing = j.filter(F.col("raw_text").isNull()).select(
-        key, F.lit("no_model_output").alias("error"))
+        *[c for c in (key, "msg_provider", "position") if c in j.columns], F.lit("no_model_output").alias("error"))
     return j.filter(F.col("raw_text").isNotNull()), missing
 
 

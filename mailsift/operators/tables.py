@@ -16,19 +16,23 @@ from pyspark.sql import functions as F
 from mailsift.functions import patterns as P
 from mailsift.functions.text import collapse_snippet, keep_rows
 
-# Insight columns an upsert replaces; the rest (identity, created_at) stay.
+# FIXED VALUES: insight columns an upsert replaces; the rest (identity, created_at) stay.
 REPLACED = ["reference", "predicted_at", "major_category", "sub_action_key", "reply_required", "explicit_task",
             "task_type", "confidence", "reason", "evidence", "entities", "full_response"]
-KEPT = ["provider", "provider_message_id", "provider_thread_id", "created_at"]
+KEPT = ["provider_message_id", "provider_thread_id", "created_at"]
+INSIGHT_KEY = ["provider", "email_message_id"]
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: str, newest: bool = True) -> DataFrame:
-    """One row per key: the row with the largest (or smallest) ``order``.
-    Partial aggregation keeps a hot key to one row per task before the
-    shuffle."""
+def latest_per_key(df: DataFrame, keys: list[str], order: str | list[str], newest: bool = True) -> DataFrame:
+    """One row per key: the row with the largest (or smallest) ``order``
+    (columns, compared in turn; a null comes last). Partial aggregation keeps a
+    hot key to one row per task before the shuffle."""
     cols = [c for c in df.columns]
     pick = F.max_by if newest else F.min_by
-    agg = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_r"))
+    names = [order] if isinstance(order, str) else order
+    place = F.struct(*[x for n in names for x in (
+        (F.col(n).isNotNull() if newest else F.col(n).isNull()).alias(f"_known_{n}"), F.col(n).alias(f"_by_{n}"))])
+    agg = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in cols]), place).alias("_r"))
     return agg.select("_r.*")
 
 
@@ -50,7 +54,7 @@ def message_store(msgs: DataFrame, raw_json: Column | None = None) -> DataFrame:
 def insight_rows(insights: DataFrame, cfg_contract: str) -> DataFrame:
     """Insight table rows (denormalized hot fields + full JSON, R19)."""
     return insights.select(
-        F.col("message_id").alias("email_message_id"), F.lit("gmail").alias("provider"),
+        F.col("message_id").alias("email_message_id"), F.col("msg_provider").alias("provider"),
         F.col("message_id").alias("provider_message_id"), F.col("thread_id").alias("provider_thread_id"),
         F.lit(cfg_contract).alias("reference"), F.col("predicted_at"), "major_category", "sub_action_key",
         "reply_required", "explicit_task", "task_type", "confidence", "reason",
@@ -62,23 +66,26 @@ def insight_rows(insights: DataFrame, cfg_contract: str) -> DataFrame:
         F.col("predicted_at").alias("created_at"))
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str = "email_message_id") -> DataFrame:
+def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = tuple(INSIGHT_KEY)) -> DataFrame:
     """Insert or replace the listed columns; identity columns and
-    ``created_at`` keep the stored value. Idempotent: merging the same new
-    rows again changes nothing."""
+    ``created_at`` keep the stored value. Of several new rows of a key the one
+    predicted last counts. Idempotent: merging the same new rows again changes
+    nothing."""
     e = existing.alias("e")
-    n = new.alias("n")
-    j = e.join(n, F.col(f"e.{key}") == F.col(f"n.{key}"), "full_outer")
-    cols = [F.coalesce(F.col(f"e.{key}"), F.col(f"n.{key}")).alias(key)]
-    cols += [F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")).alias(c)
+    n = latest_per_key(new, list(keys), ["predicted_at", "full_response"]).alias("n")
+    on = [F.col(f"e.{k}") == F.col(f"n.{k}") for k in keys]
+    j = e.join(n, on, "full_outer")
+    last = keys[-1]
+    cols = [F.coalesce(F.col(f"e.{k}"), F.col(f"n.{k}")).alias(k) for k in keys]
+    cols += [F.when(F.col(f"n.{last}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")).alias(c)
              for c in REPLACED]
-    cols += [F.when(F.col(f"e.{key}").isNotNull(), F.col(f"e.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in KEPT]
+    cols += [F.when(F.col(f"e.{last}").isNotNull(), F.col(f"e.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in KEPT]
     return j.select(*cols)
 
 
 def write_version(df: DataFrame, base_dir: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Write a table version to ``base_dir/v=<n>`` (readers pick the newest
-    complete version; the write itself is atomic per directory)."""
+    """Write a table version to ``base_dir/v=<n>``; readers follow the
+    version that ``publish`` names."""
     path = f"{base_dir}/v={version:06d}"
     w = df.write.mode("overwrite")
     if partition_by:
@@ -90,9 +97,9 @@ def write_version(df: DataFrame, base_dir: str, version: int, partition_by: list
 # ------------------------------------------------------------------------ S5
 def status_update(store: DataFrame, insights: DataFrame) -> DataFrame:
     """Processed + is_actionable for triaged messages; others untouched."""
-    i = insights.select(F.col("message_id").alias("provider_message_id"), F.col("is_actionable").alias("_act"),
-                        F.lit(True).alias("_hit"))
-    j = store.join(i, "provider_message_id", "left")
+    i = insights.groupBy(F.col("msg_provider").alias("provider"), F.col("message_id").alias("provider_message_id")).agg(
+        F.max("is_actionable").alias("_act"), F.lit(True).alias("_hit"))
+    j = store.join(i, ["provider", "provider_message_id"], "left")
     return j.select(*[c for c in store.columns if c not in ("is_actionable", "processing_status")],
                     F.when(F.col("_hit"), F.col("_act")).otherwise(F.col("is_actionable")).alias("is_actionable"),
                     F.when(F.col("_hit"), F.lit("processed")).otherwise(F.col("processing_status"))
@@ -103,7 +110,7 @@ def status_update(store: DataFrame, insights: DataFrame) -> DataFrame:
 def tasks(insights: DataFrame) -> DataFrame:
     """One task per (thread, hint) from insights with a task proposal.
     Our mapping: hint = task type (``task`` when empty); the newest
-    message's proposal wins."""
+    message's proposal wins (by message time, then id)."""
     t = F.col("task_proposal")
     rows = keep_rows(insights.withColumn("_has", t.isNotNull()), "_has").select(
         F.col("thread_id").alias("provider_thread_id"),
@@ -112,23 +119,29 @@ def tasks(insights: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(t["title"], F.lit("")), F.col("extracted_summary.ask")).alias("title"),
         t["description"].alias("instruction"), F.col("sub_action_key").alias("action_type"),
         t["priority"].alias("priority"), F.try_to_timestamp(t["due_at"]).alias("due_at"),
-        t["status"].alias("status"), F.col("message_id").alias("_order"))
-    return latest_per_key(rows, ["provider_thread_id", "task_id_hint"], "_order").drop("_order")
+        t["status"].alias("status"), F.col("msg_provider").alias("provider"), F.col("msg_time").alias("proposed_at"))
+    return newest_tasks(rows)
+
+
+def newest_tasks(rows: DataFrame) -> DataFrame:
+    """S6 over task rows, stored ones and new ones alike."""
+    return latest_per_key(rows, ["provider", "provider_thread_id", "task_id_hint"], ["proposed_at", "email_message_id"])
 
 
 # ------------------------------------------------------------------------ S7
-def item_results(insights: DataFrame, errors: DataFrame, positions: DataFrame) -> DataFrame:
-    """One result per input item: message id, 0-based index, status,
-    output JSON or error text (<= 500 chars)."""
-    ok = insights.select("message_id", F.lit("success").alias("status"),
+def item_results(insights: DataFrame, errors: DataFrame) -> DataFrame:
+    """One result per input item: message id, 0-based index (the position
+    that its message carries), status, output JSON or error text (<= 500
+    chars)."""
+    ok = insights.select("message_id", F.col("position").alias("index"), F.lit("success").alias("status"),
                          F.to_json(F.struct(*[F.col(c) for c in insights.columns if c not in (
-                             "message_id", "thread_id", "provider", "input_tokens", "output_tokens", "response_id",
-                             "reply_by_bad_time", "reply_by_unparsed", "predicted_at")])).alias("output"),
+                             "message_id", "thread_id", "provider", "msg_provider", "msg_time", "position", "input_tokens",
+                             "output_tokens", "response_id", "reply_by_bad_time", "reply_by_unparsed",
+                             "predicted_at")])).alias("output"),
                          F.lit(None).cast("string").alias("error"))
-    bad = errors.select("message_id", F.lit("error").alias("status"), F.lit(None).cast("string").alias("output"),
-                        F.substring("error", 1, P.ERROR_CHARS).alias("error"))
-    return ok.unionByName(bad).join(positions, "message_id").select(
-        "message_id", F.col("position").alias("index"), "status", "output", "error")
+    bad = errors.select("message_id", F.col("position").alias("index"), F.lit("error").alias("status"),
+                        F.lit(None).cast("string").alias("output"), F.substring("error", 1, P.ERROR_CHARS).alias("error"))
+    return ok.unionByName(bad)
 
 
 # ------------------------------------------------------------------------ S8
@@ -161,7 +174,8 @@ def run_log(raw: DataFrame) -> DataFrame:
     """Input reference per item from the raw JSON: 1-based index,
     total, id with fallbacks, thread, from/to/date/subject header values
     (case-insensitive, first match, untrimmed) with placeholders, and the
-    collapsed snippet (180 chars + ellipsis). ``total`` is a scalar
+    collapsed snippet (180 chars + ellipsis); placeholders are fixed values.
+    ``total`` is a scalar
     subquery, not a global window."""
     from mailsift.sources.messages import HEADER_TYPE, header_lookup
     r = F.col("raw")

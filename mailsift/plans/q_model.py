@@ -32,8 +32,8 @@ def parsed(spark, sf_dir):
 
 
 def triaged(spark, sf_dir):
-    # the narrow gate output is persisted: both branches read one gate pass
-    return triage(messages(spark, sf_dir), answers(spark, sf_dir), run_ts=run_ts(), persist=True)
+    msgs = messages(spark, sf_dir).withColumn("position", F.col("doc_id"))
+    return triage(msgs, answers(spark, sf_dir), run_ts=run_ts())
 
 
 def model_rows(spark, sf_dir):
@@ -255,7 +255,7 @@ def r19_denormalize(spark, sf_dir):
 
 
 @register("r16_debug", _m(
-    "select message_id, 'email-triage-v3' as model_version, 'triage-v3-2026-02' as prompt_version, verdict, "
+    "select message_id, 'model-1' as model_version, 'prompt-1' as prompt_version, verdict, "
     "round(score_h / 100.0, 3) as score, fired_csv as fired, '2024-02-01T00:00:00+00:00' as analysis_timestamp "
     "from repaired"))
 def r16_debug(spark, sf_dir):
@@ -290,7 +290,7 @@ def full_triage(spark, sf_dir):
     "where len(violations) > 0"))
 def triage_errors(spark, sf_dir):
     _, err = triaged(spark, sf_dir)
-    return err
+    return err.select("message_id", "stage", "error")
 
 
 # ------------------------------------------------------------ Q3-Q6 on insights
@@ -343,7 +343,7 @@ def q06_inbox_by_category(spark, sf_dir):
 
 
 # --------------------------------------------------------- S4-S9, Q2, Q8 (tables)
-from mailsift.config import DEFAULT_CONFIG  # noqa: E402
+from mailsift.config import DEFAULT_CONFIG, stored  # noqa: E402
 from mailsift.operators import tables as TB  # noqa: E402
 
 
@@ -353,15 +353,20 @@ def _ins_rows(spark, sf_dir):
 
 
 @register("s04_upsert", _ins(
-    "select message_id as email_message_id, '2024-02-01 00:00:00' as predicted_at, "
-    "'2024-01-31 00:00:00' as created_at, major_category from ins"))
+    "select message_id as email_message_id, '2024-0' || case when id % 5 <> 0 then '2-01' else '1-31' end || ' 00:00:00' "
+    "as predicted_at, '2024-0' || case when id % 3 <> 0 then '1-31' else '2-01' end || ' 00:00:00' as created_at, "
+    "case when id % 5 <> 0 then major_category else 'stored' end as major_category from (select *, "
+    "cast(substr(message_id, 2) as bigint) as id from ins) where id % 15 <> 0"))
 def s04_upsert(spark, sf_dir):
-    """The stored version (an earlier run) merged with this run's rows:
-    replaced columns come from the new run, ``created_at`` stays."""
-    new = _ins_rows(spark, sf_dir)
-    old = new.withColumns({"predicted_at": F.lit("2024-01-31 00:00:00").cast("timestamp"),
-                           "created_at": F.lit("2024-01-31 00:00:00").cast("timestamp")})
-    m = TB.upsert(old, new)
+    """A stored version (an earlier run, without every third message)
+    merged with this run's rows (without every fifth): replaced, inserted and
+    kept rows; ``created_at`` of stored rows stays."""
+    rows = stored(_ins_rows(spark, sf_dir), "s04")
+    number = F.substring("email_message_id", 2, 20).cast("long")
+    old = rows.filter(number % 3 != 0).withColumns({
+        "predicted_at": F.lit("2024-01-31 00:00:00").cast("timestamp"), "major_category": F.lit("stored"),
+        "created_at": F.lit("2024-01-31 00:00:00").cast("timestamp")})
+    m = TB.upsert(old, rows.filter(number % 5 != 0))
     return m.select("email_message_id", F.date_format("predicted_at", "yyyy-MM-dd HH:mm:ss").alias("predicted_at"),
                     F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "major_category")
 
@@ -381,13 +386,13 @@ def s05_status_update(spark, sf_dir):
 def _tasks_sql() -> str:
     hint = f"coalesce(nullif({S.sc('task0.type')}, ''), 'task')"
     pr = f"lower({S.strip("coalesce(nullif(task0.priority, ''), 'medium')")})"
-    return ("tk as (select thread_id as provider_thread_id, " + hint + " as task_id_hint, message_id, "
+    return ("tk as (select thread_id as provider_thread_id, " + hint + " as task_id_hint, message_id, (internal_date_ms, message_id) as newest, "
             f"{S.sc('task0.title')} as title, "
             f"case when {pr} in ('low', 'medium', 'high', 'critical') then {pr} else 'medium' end as priority, "
             "'open' as status from repaired where task0 is not null), "
-            "tasks as (select provider_thread_id, task_id_hint, arg_max(message_id, message_id) as email_message_id, "
-            "arg_max(title, message_id) as title, arg_max(priority, message_id) as priority, "
-            "arg_max(status, message_id) as status from tk group by 1, 2)")
+            "tasks as (select provider_thread_id, task_id_hint, arg_max(message_id, newest) as email_message_id, "
+            "arg_max(title, newest) as title, arg_max(priority, newest) as priority, "
+            "arg_max(status, newest) as status from tk group by 1, 2)")
 
 
 def _tasks_q(body: str) -> str:
@@ -430,8 +435,7 @@ def q02_message_insight_task(spark, sf_dir):
     "where len(violations) > 0) e join mail m on m.message_id = e.message_id"))
 def s07_item_results(spark, sf_dir):
     ins, err = triaged(spark, sf_dir)
-    pos = messages(spark, sf_dir).select("message_id", F.col("doc_id").alias("position"))
-    r = TB.item_results(ins, err, pos)
+    r = TB.item_results(ins, err)
     return r.select("message_id", "index", "status", F.col("output").isNotNull().alias("has_output"), "error")
 
 
@@ -442,8 +446,7 @@ def s07_item_results(spark, sf_dir):
     "where len(violations) > 0"))
 def s08_error_sink(spark, sf_dir):
     ins, err = triaged(spark, sf_dir)
-    pos = messages(spark, sf_dir).select("message_id", F.col("doc_id").alias("position"))
-    _, bad = TB.split_results(TB.item_results(ins, err, pos))
+    _, bad = TB.split_results(TB.item_results(ins, err))
     return bad
 
 
@@ -537,3 +540,25 @@ def q06_inbox_by_status(spark, sf_dir):
     ins, _ = triaged(spark, sf_dir)
     store = TB.message_store(messages(spark, sf_dir).withColumn("position", F.col("doc_id")))
     return TB.status_update(store, ins).groupBy("processing_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------------- R11
+@register("r11_absolute_dates",
+          "select doc_id, strftime(make_date(case doc_id % 6 when 2 then 2026 when 4 then 2025 when 5 then 2023 else 2024 "
+          "end, cast(1 + doc_id % 12 as integer), cast(1 + doc_id % 28 as integer)), '%Y-%m-%d') as date_iso from documents")
+def r11_absolute_dates(spark, sf_dir):
+    """Deadlines that name a day (month names and abbreviations, day
+    first, ordinals, slashes, ISO; the year of the base time if none)."""
+    from mailsift.functions.dates import infer_columns
+    d = F.col("doc_id")
+    day, month = 1 + d % 28, 1 + d % 12
+    name = F.date_format(F.make_date(F.lit(2024), month.cast("int"), F.lit(1)), "MMMM")
+    text = F.lit("")
+    forms = [F.concat(F.lit("by "), F.substring(name, 1, 3), F.lit(" "), day), F.concat(day, F.lit(" "), name),
+             F.concat(month, F.lit("/"), day, F.lit("/2026")), F.concat(F.lit("5pm on "), name, F.lit(" "), day),
+             F.concat(name, F.lit(" "), day, F.lit("th, 2025")),
+             F.date_format(F.make_date(F.lit(2023), month.cast("int"), day.cast("int")), "yyyy-MM-dd")]
+    for i, form in enumerate(forms):
+        text = F.when(d % 6 == i, form).otherwise(text)
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("phrase"), F.lit("2024-02-01 09:30:00").cast("timestamp").alias("base"))
+    return infer_columns(docs, "phrase", "base", F.lit(0)).select("doc_id", F.col("_dt.date_iso").alias("date_iso"))

@@ -27,7 +27,7 @@ def normalized(spark, sf_dir):
 # rows that pass the input contract (a part without mimeType only exists
 # in the depth-4 tree, i.e. doc_id % 4 = 3)
 _VALID = "not (doc_id % 97 in (11, 22, 33, 44, 55) or (doc_id % 97 = 66 and doc_id % 4 = 3))"
-_HTML = ("case when doc_id % 29 = 5 and body_html is null then '<p>' || substr(body_text, 1, 200) || '</p>' "
+_HTML = ("case when doc_id % 29 = 5 and body_html is null then '<p>' || body_text || '</p>' "
          "else body_html end")
 _OFF = "case doc_id % 5 when 1 then -480 when 2 then 330 when 4 then -300 else 0 end"
 
@@ -121,7 +121,7 @@ def _parts_sql() -> str:
 def p04_mime_parts(spark, sf_dir):
     """P4 as a parts table: one row per MIME part in pre-order."""
     r = raw(spark, sf_dir)
-    parts, _ = SM.flatten_parts(F.col("raw"))
+    parts = SM.flatten_parts(F.col("raw"), SM.parts_levels(F.col("value")))
     return r.select("position", F.posexplode(parts).alias("ord", "p")).select(
         "position", "ord", F.array_join(F.transform("p.path", lambda i: i.cast("string")), ".").alias("path"),
         F.col("p.mime_type").alias("mime_type"),
@@ -188,7 +188,7 @@ def p03_base64url_decode(spark, sf_dir):
     """P3 on the text/plain part of every parseable message (junk
     characters, missing padding and bad UTF-8 included)."""
     r = raw(spark, sf_dir).filter(F.col("raw").isNotNull())
-    parts, _ = SM.flatten_parts(F.col("raw"))
+    parts = SM.flatten_parts(F.col("raw"), SM.parts_levels(F.col("value")))
     plain = F.filter(parts, lambda p: (p["mime_type"] == "text/plain") & p["data"].isNotNull())
     return r.select("position", SM.b64url_text(F.try_element_at(plain, F.lit(1))["data"]).alias("text")) \
         .filter(F.size(plain) > 0)
@@ -219,6 +219,26 @@ def s01_read_messages(spark, sf_dir):
                                     (F.col("raw").isNotNull()).alias("parsed"))
 
 
+@register("s01_positions", "select count(*) as n, 0 as low, count(*) - 1 as high, count(*) as different from documents")
+def s01_positions(spark, sf_dir):
+    """Positions of messages read back from many files are dense."""
+    import os
+    import uuid
+    from mailsift.config import shared_dir
+    base = os.path.join(shared_dir(spark, f"s01-{uuid.uuid4().hex[:12]}"), "lines")
+    raw_messages(mail_view(spread(table(spark, sf_dir, "documents")))).select("value").write.text(base)
+    got = SM.read_messages(spark, base)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("low"), F.max("position").alias("high"),
+                   F.count_distinct("position").alias("different"))
+
+
+@register("p10_snippet", "select doc_id, case when length(s) > 180 then substr(s, 1, 180) || '…' else s end as snippet "
+          "from (select doc_id, " + S.strip(r"regexp_replace(text, '\s+', ' ', 'g')") + " as s from documents)")
+def p10_snippet(spark, sf_dir):
+    from mailsift.functions.text import collapse_snippet
+    return table(spark, sf_dir, "documents").select("doc_id", collapse_snippet("text").alias("snippet"))
+
+
 # --------------------------------------------------- P6-P9 as their own queries
 def _p(body: str) -> str:
     return with_mail(body + f" from mail where {_VALID}")

@@ -25,15 +25,11 @@ def register(name: str, sql: str | None = None):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Regex work is CPU-bound: when a scan yields fewer partitions than the
-    cluster has cores (few large files), spread rows round-robin first.
-    Large inputs already arrive in many splits and are left as they are."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD API (e.g. a Spark Connect session): leave as is
-        return df
-    return df.repartition(cores) if parts < cores else df
+    """Regex work is CPU-bound. A table in few large splits is dealt out over
+    ``mailsift.input.partitions`` partitions (a job parameter, e.g. the number
+    of cores; unset: the splits as they are read)."""
+    n = df.sparkSession.conf.get("mailsift.input.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 # ----------------------------------------------------------------- shared bases

@@ -2,27 +2,26 @@
 answers -> parse -> contract -> repair} -> insights + errors.
 
 Plan notes: the gate is the only CPU-heavy step; its result is projected to
-the narrow columns later steps need (bodies dropped) and persisted, so the
-two branches share one gate pass. The only shuffle is the key join to the
+the narrow columns later steps need (bodies dropped) and written to the shared
+folder, so the two branches share one gate pass. The only shuffle is the key join to the
 model answers (sort-merge on message_id, or broadcast when AQE sees a small
 side)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.config import DEFAULT_CONFIG, TriageConfig
+from mailsift.config import DEFAULT_CONFIG, TriageConfig, stored
 from mailsift.operators import gate as G
 from mailsift.operators import model_io as M
 from mailsift.operators import repair as R
 
 INSIGHT_COLS = ["message_id", "thread_id", "provider", "major_category", "sub_action_key", "explicit_task",
                 "confidence", "suggested_reply_action", "task_proposal", "recommended_actions", "urgency_signals",
-                "extracted_summary", "entities", "evidence", "debug"]
+                "extracted_summary", "entities", "evidence", "debug", "msg_provider", "msg_time", "position"]
 MSG_COLS = ["provider", "message_id", "thread_id", "subject", "from_name", "from_email", "sent_at",
-            "sent_offset_min", "internal_date"]
+            "sent_offset_min", "internal_date", "position"]
 GATE_COLS = ["score_h", "score", "verdict", "skip_llm", "sub_action_key", "fired", "gate_evidence"]
 
 
@@ -31,9 +30,11 @@ BODY_COLS = ["to", "cc", "snippet", "body_text", "body_html"]
 
 def gate_stage(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, persist: bool = True,
                keep_bodies: bool = False) -> DataFrame:
+    if "position" not in msgs.columns:
+        msgs = msgs.withColumn("position", F.lit(None).cast("long"))
     keep = MSG_COLS + (BODY_COLS if keep_bodies else [])
     g = G.run_gate(msgs, cfg).select(*[c for c in keep if c in msgs.columns], *GATE_COLS)
-    return g.persist(StorageLevel.MEMORY_AND_DISK) if persist else g
+    return stored(g, "gate") if persist else g
 
 
 def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column):
@@ -58,9 +59,10 @@ def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column):
         "major_category", "sub_action_key", F.coalesce(F.col("explicit_task"), F.lit(False)).alias("explicit_task"),
         "confidence", "suggested_reply_action", "task_proposal", "recommended_actions", "urgency_signals",
         "extracted_summary", "entities", "evidence", G.debug_struct(cfg, run_ts).alias("debug"),
+        "msg_provider", G.message_time().alias("msg_time"), "position",
         "input_tokens", "output_tokens", "response_id", "reply_by_bad_time", "reply_by_unparsed")
-    errors = missing.select("message_id", F.lit("model").alias("stage"), "error").unionByName(
-        invalid.select("message_id", F.lit("model").alias("stage"),
+    errors = missing.select("message_id", "msg_provider", "position", F.lit("model").alias("stage"), "error").unionByName(
+        invalid.select("message_id", "msg_provider", "position", F.lit("model").alias("stage"),
                        F.substring(F.concat(F.lit("invalid_model_output: "), F.array_join("violations", "; ")),
                                    1, 500).alias("error")))
     return out, errors
@@ -92,16 +94,14 @@ def finish(ins: DataFrame, run_ts: Column) -> DataFrame:
 
 
 def triage(msgs: DataFrame, answers, cfg: TriageConfig = DEFAULT_CONFIG,
-           run_ts: Column | None = None, persist: bool = True, cached: list | None = None):
+           run_ts: Column | None = None, persist: bool = True):
     """Returns (insights, errors). Every input message ends in exactly one
     of them. ``answers``: a table of model answers or a scorer (U1); bodies
     are carried past the gate only for a scorer, which needs the context.
-    A persisted gate frame is appended to ``cached`` so the caller can
-    release it (e.g. after each micro-batch)."""
+    With ``persist`` the narrow gate output is written to the shared folder
+    once and both branches read it back."""
     run_ts = run_ts if run_ts is not None else F.current_timestamp()
     gated = gate_stage(msgs, cfg, persist, keep_bodies=callable(answers))
-    if persist and cached is not None:
-        cached.append(gated)
     caught, rest = G.route(gated)
     spam = G.spam_insights(caught, cfg, run_ts).select(
         *INSIGHT_COLS, F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
