@@ -25,7 +25,7 @@ def _events(spark, n=900, seed=7):
 
 def test_rolling_count_matches_brute_force(spark):
     rows, df = _events(spark)
-    got = {r.event_id: r.n_window for r in A.rolling_count(df, buckets=7).collect()}
+    got = {r.event_id: r.n_window for r in A.rolling_count(df).collect()}
     for eid, t in rows:
         want = sum(1 for _, u in rows if t - dt.timedelta(seconds=300) < u <= t)
         assert got[eid] == want, eid
