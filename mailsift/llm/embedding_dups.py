@@ -126,7 +126,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, tables:
     grp = F.xxhash64("label", F.size("vec"))
     reps = written(one.select("h1", "h2", "rid", "n_copies", grp.alias("grp"), "vec").mapInArrow(
         _signatures(tables, bits, seed), "h1 long, h2 long, rid long, n_copies long, grp long, "
-        "vec array<float>, sigs array<int>"), "signatures")
+        f"vec {rows.schema['vec'].dataType.simpleString()}, sigs array<int>"), "signatures")
     slots = reps.select("h1", "h2", "grp", F.posexplode("sigs").alias("t", "sig"))
     shared = slots.groupBy("grp", "t", "sig").count().filter("count > 1").select(
         "grp", "t", "sig", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))

@@ -13,6 +13,7 @@ from .embedding_dups import near_duplicate_vectors
 from .fm_substrings import remove_repeated_passages
 from .forced_bpe import encode_decode
 from .license_templates import scan_licenses
+from .oracles import ORACLES  # noqa: F401  (read by the entry)
 from .ppm_langid import predict_languages
 from .simhash_covering import simhash_groups
 from .suffix_dedup import remove_repeated_strings
@@ -87,5 +88,3 @@ def op10_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_adaptive_scan, op2_token_files, op3_license_templates, op4_curve_packing, op5_embedding_dups,
     op6_suffix_dedup, op7_forced_bpe, op8_simhash_covering, op9_ppm_langid, op10_fm_substrings)}
-
-ORACLES: dict[str, str] = {}

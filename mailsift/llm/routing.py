@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, partitions, text_bytes, written
 
+ROWS = 20_000  # rows of a batch that a task hands on
 HOT = 4096  # different segments of one key that go to a shard together
 
 SEGMENT = "key long, sid long, k long, tk long, first int, windows int, twice boolean"
@@ -117,6 +118,10 @@ def segments_of(hashes: np.ndarray, gram: int, length: int) -> tuple[np.ndarray,
     return keys[first].view(np.int64), first, size, twice
 
 
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
 def _as_long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -150,6 +155,7 @@ def _window_rows(unit, length: int):
         import xxhash
 
         own = unit()
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
         for b in batches:
             out: list[tuple] = []
             for k, tk, text, segments in zip(*(b.column(c).to_pylist() for c in ("k", "tk", "text", "segments")), strict=True):
@@ -159,26 +165,31 @@ def _window_rows(unit, length: int):
                         window = cut(at, at + length)
                         out.append((_as_long(xxhash.xxh3_64_intdigest(window, 1)), _as_long(xxhash.xxh3_64_intdigest(window)),
                                     k, tk, at, 1, False))
+                    if len(out) >= ROWS:
+                        yield _batch(out, COLUMNS, kinds)
+                        out = []
             if out:
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                                                 COLUMNS)
+                yield _batch(out, COLUMNS, kinds)
     return run
 
 
 def _representatives(unit, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = unit()
+        names = ["key", "sid", "places", "windows", "units"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
             out: list[tuple] = []
             for text, segments in zip(b.column("text").to_pylist(), b.column("segments").to_pylist(), strict=True):
                 cut = own.cutter(own.units(text))
-                out.extend((s["key"], s["sid"], s["places"], s["windows"],
-                            cut(s["first"], s["first"] + s["windows"] + length - 1)) for s in segments)
+                for s in segments:
+                    out.append((s["key"], s["sid"], s["places"], s["windows"],
+                                cut(s["first"], s["first"] + s["windows"] + length - 1)))
+                    if len(out) >= ROWS:
+                        yield _batch(out, names, kinds)
+                        out = []
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                                                 ["key", "sid", "places", "windows", "units"])
+                yield _batch(out, names, kinds)
     return run
 
 

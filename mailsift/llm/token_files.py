@@ -60,6 +60,8 @@ def _write_part(folder: str, tokenizer: str, end_id: int):
             with fs.open_output_stream(f"{name}.{kind}.{attempt}") as out:
                 out.write(data.tobytes())
         for kind in ("bin", "idx", "doc"):
+            if fs.get_file_info(f"{name}.{kind}").is_file:  # an earlier run of this task, same content
+                fs.delete_file(f"{name}.{kind}")
             fs.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "docs": pa.array([len(counts)], pa.int64()),
