@@ -177,6 +177,11 @@ def contract_violations() -> Column:
                     F.coalesce("type_violations", F.array().cast("array<string>")))
 
 
+def checked(parsed: DataFrame) -> DataFrame:
+    """M2: the parsed rows with their ``violations`` (none: the row is valid)."""
+    return parsed.withColumn("violations", contract_violations()).drop("type_violations")
+
+
 def validate(parsed: DataFrame):
     """M2: (valid rows, invalid rows with ``violations``)."""
     v = parsed.withColumn("violations", contract_violations()).withColumn("_ok", F.size("violations") == 0)
@@ -191,6 +196,14 @@ def attach(msgs: DataFrame, model: DataFrame, key: str = "message_id"):
     message's provider too if the answers name it (``message_provider``). Of
     several answers to a message the smallest by response id, then text,
     counts."""
+    j = joined(msgs, model, key)
+    missing = j.filter(F.col("raw_text").isNull()).select(
+        *[c for c in (key, "msg_provider", "position") if c in j.columns], F.lit("no_model_output").alias("error"))
+    return j.filter(F.col("raw_text").isNotNull()), missing
+
+
+def joined(msgs: DataFrame, model: DataFrame, key: str = "message_id") -> DataFrame:
+    """M3: the messages with their answers, or a null ``raw_text``."""
     m = model.withColumnRenamed("provider", "model_provider")
     keys = [key]
     if "message_provider" in m.columns and "msg_provider" in msgs.columns:
@@ -198,10 +211,7 @@ def attach(msgs: DataFrame, model: DataFrame, key: str = "message_id"):
         keys.append("msg_provider")
     order = [c for c in ("response_id", "raw_text") if c in m.columns]
     m = latest_per_key(m, keys, order, newest=False)
-    j = msgs.join(m, keys, "left")
-    missing = j.filter(F.col("raw_text").isNull()).select(
-        *[c for c in (key, "msg_provider", "position") if c in j.columns], F.lit("no_model_output").alias("error"))
-    return j.filter(F.col("raw_text").isNotNull()), missing
+    return msgs.join(m, keys, "left")
 
 
 def usage(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.config import DEFAULT_CONFIG, TriageConfig, stored
+from mailsift.functions.text import keep_rows
 from mailsift.operators import gate as G
 from mailsift.operators import model_io as M
 from mailsift.operators import repair as R
@@ -37,8 +38,9 @@ def gate_stage(msgs: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, persist: boo
     return stored(g, "gate") if persist else g
 
 
-def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column):
+def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column, persist: bool = True):
     """(repaired model rows, error rows) for the messages the gate passed.
+    With ``persist`` the parsed and checked answers are written once.
     ``answers`` is a table of model answers, or a ``Scorer`` (U1) that is
     handed the JSON context (T11) of each message and returns answers."""
     if callable(answers):
@@ -50,9 +52,14 @@ def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column):
             answers = answers.withColumn(c, F.lit(None).cast(t))
     rest = rest.withColumnRenamed("sub_action_key", "gate_sub_action_key").withColumnRenamed(
         "provider", "msg_provider")
-    joined, missing = M.attach(rest, answers)
-    parsed = M.parse_model_text(joined)
-    valid, invalid = M.validate(parsed)
+    rows = M.checked(M.parse_model_text(M.joined(rest, answers))).withColumn("violations", F.when(
+        F.col("raw_text").isNull(), F.array(F.lit("no_model_output"))).otherwise(F.col("violations"))).drop("raw_text")
+    if persist:
+        rows = stored(rows, "answers")
+        valid, invalid = rows.filter(F.size("violations") == 0), rows.filter(F.size("violations") > 0)
+    else:
+        flagged = rows.withColumn("_ok", F.size("violations") == 0).withColumn("_bad", F.size("violations") > 0)
+        valid, invalid = keep_rows(flagged, "_ok").drop("_ok", "_bad"), keep_rows(flagged, "_bad").drop("_ok", "_bad")
     repaired = R.repair(valid, cfg, run_ts)
     out = repaired.select(
         "message_id", "thread_id", F.coalesce(F.col("model_provider"), F.lit("model")).alias("provider"),
@@ -61,10 +68,10 @@ def model_stage(rest: DataFrame, answers, cfg: TriageConfig, run_ts: Column):
         "extracted_summary", "entities", "evidence", G.debug_struct(cfg, run_ts).alias("debug"),
         "msg_provider", G.message_time().alias("msg_time"), "position",
         "input_tokens", "output_tokens", "response_id", "reply_by_bad_time", "reply_by_unparsed")
-    errors = missing.select("message_id", "msg_provider", "position", F.lit("model").alias("stage"), "error").unionByName(
-        invalid.select("message_id", "msg_provider", "position", F.lit("model").alias("stage"),
-                       F.substring(F.concat(F.lit("invalid_model_output: "), F.array_join("violations", "; ")),
-                                   1, 500).alias("error")))
+    failed = F.concat(F.lit("invalid_model_output: "), F.array_join("violations", "; "))
+    errors = invalid.select("message_id", "msg_provider", "position", F.lit("model").alias("stage"), F.when(
+        F.element_at("violations", 1) == "no_model_output", F.lit("no_model_output")).otherwise(
+        F.substring(failed, 1, 500)).alias("error"))
     return out, errors
 
 
@@ -107,6 +114,6 @@ def triage(msgs: DataFrame, answers, cfg: TriageConfig = DEFAULT_CONFIG,
         *INSIGHT_COLS, F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
         F.lit(None).cast("string").alias("response_id"), F.lit(False).alias("reply_by_bad_time"),
         F.lit(False).alias("reply_by_unparsed"))
-    model, errors = model_stage(rest, answers, cfg, run_ts)
+    model, errors = model_stage(rest, answers, cfg, run_ts, persist)
     insights = finish(spam.unionByName(model), run_ts)
     return insights, errors
