@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import SPACE, Kept, byte_symbols
+from .tokens import SPACE, Kept, byte_symbols, slices
 
 _CODECS: dict[str, ForcedBpe] = {}
 
@@ -129,11 +129,13 @@ class ForcedBpe:
         one by one."""
         if self.find_added is not None and self.find_added.search(text):
             return b"".join(array("i", [self.added[part]]).tobytes() if part in self.added
-                            else b"".join(map(self.chunk_ids.__getitem__, self.chunks(part)))
-                            for part in self.find_added.split(text))
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes these as white space too
-            return b"".join(map(self.chunk_ids.__getitem__, self.chunks(text)))
-        return b"".join(map(self.chunk_ids.__getitem__, text.split()))
+                            else self._encode_plain(part) for part in self.find_added.split(text))
+        return self._encode_plain(text)
+
+    def _encode_plain(self, text: str) -> bytes:
+        # str.split() takes four more characters as white space
+        split = self.chunks if any(c in text for c in "\x1c\x1d\x1e\x1f") else str.split
+        return b"".join([b"".join(map(self.chunk_ids.__getitem__, split(part))) for part in slices(text)])
 
     def decode(self, ids) -> str:
         """The tokens' strings joined by one space, as a file without decoder has it."""

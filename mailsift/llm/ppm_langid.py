@@ -153,9 +153,10 @@ def code_lengths(model: Model, text: bytes, step: int = 1 << 18) -> np.ndarray:
     """Bits of the whole text in each language."""
     bits = np.zeros(len(model.langs))
     k = model.classes
-    sym = np.concatenate([np.zeros(ORDER, dtype=np.int64), model.symbol[np.frombuffer(text, dtype=np.uint8)]])
+    before = np.zeros(ORDER, dtype=np.int64)
     for lo in range(0, len(text), step):
-        s = sym[lo:lo + step + ORDER]
+        s = np.concatenate([before, model.symbol[np.frombuffer(text, np.uint8, min(step, len(text) - lo), lo)]])
+        before = s[-ORDER:]
         at = model.node[(s[:-3] * k + s[1:-2]) * k + s[2:-1]].astype(np.int64) * k + s[3:]
         bits += model.cost[at].sum(axis=0, dtype=np.float64)
     return bits

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, partitions, text_bytes, written
 
+BLOCK = 1 << 20  # windows of one text that are hashed at a time
 ROWS = 20_000  # rows of a batch that a task hands on
 HOT = 4096  # different segments of one key that go to a shard together
 
@@ -135,15 +136,16 @@ def _segment_rows(unit, gram: int, length: int):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for k, tk, text in zip(*(b.column(c).to_pylist() for c in ("k", "tk", "text")), strict=True):
                 units = own.units(text)
-                if len(units) < length:
-                    continue
-                key, first, size, twice = segments_of(own.hashes(units), gram, length)
                 cut = own.cutter(units)
-                sid = np.fromiter((xxhash.xxh3_64_intdigest(cut(a, e)) for a, e in zip(
-                    first.tolist(), (first + size + length - 1).tolist(), strict=True)), dtype=np.uint64, count=len(first))
-                for to, v in zip(out, (key, sid.view(np.int64), np.full(len(key), k), np.full(len(key), tk),
-                                       first.astype(np.int32), size.astype(np.int32), twice), strict=True):
-                    to.append(v)
+                for at in range(0, len(units) - length + 1, BLOCK):  # a very long text goes block by block
+                    part = units[at:at + BLOCK + length - 1]
+                    key, first, size, twice = segments_of(own.hashes(part), gram, length)
+                    first = first + at
+                    sid = np.fromiter((xxhash.xxh3_64_intdigest(cut(a, e)) for a, e in zip(
+                        first.tolist(), (first + size + length - 1).tolist(), strict=True)), dtype=np.uint64, count=len(first))
+                    for to, v in zip(out, (key, sid.view(np.int64), np.full(len(key), k), np.full(len(key), tk),
+                                           first.astype(np.int32), size.astype(np.int32), twice), strict=True):
+                        to.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], COLUMNS)
     return run
@@ -295,4 +297,4 @@ def covered(n_units: int, length: int, segments: list[dict] | None) -> np.ndarra
         edge = np.diff(np.concatenate(([0], flag.view(np.int8), [0])))
         np.add.at(step, np.flatnonzero(edge == 1) + s["first"], 1)
         np.add.at(step, np.flatnonzero(edge == -1) + s["first"] - 1 + length, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int32) > 0

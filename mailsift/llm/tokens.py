@@ -15,6 +15,7 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import regex
 
@@ -70,6 +71,19 @@ class Kept(dict):
         return value
 
 
+_CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+
+
+def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A very long text in parts, cut before single spaces between words, where
+    a piece begins in any case."""
+    at = 0
+    while len(text) - at > size and (cut := _CUT.search(text, at + size)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class TextEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -103,6 +117,9 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if not self.by_piece or self.added is not None and self.added.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._encode_slice, slices(text)))
+
+    def _encode_slice(self, text: str) -> bytes:
         if self.odd(text):  # white space by its own class first, then the Unicode classes
             return b"".join([self.ids[piece] for unit in self.units(text) for piece in self.pieces(unit)])
         return b"".join(map(self.ids.__getitem__, self.plain_pieces(text)))

@@ -78,6 +78,17 @@ def test_matches_brute_force(spark, documents, kind, hot, monkeypatch):
     assert counted == sorted(str((i, *w)) for (i, _), w in zip(rows, want, strict=True))
 
 
+@pytest.mark.parametrize("kind", CASES)
+def test_texts_longer_than_a_block(spark, documents, kind, monkeypatch):
+    monkeypatch.setattr(routing, "BLOCK", 50)
+    remove, split, join, length = CASES[kind]
+    rows = made(random.Random(3), 30)
+    want = brute([t for _, t in rows], length, split, join)
+    got = remove(documents(rows), length).collect()
+    assert sorted((r["doc_id"], r[1], r["n_removed"], bytes(r["kept"])) for r in got) == sorted(
+        (i, n, gone, kept) for (i, _), (n, gone, _, kept) in zip(rows, want, strict=True))
+
+
 @pytest.mark.parametrize("kind", CASES)
 def test_odd_and_empty(spark, documents, kind):
     remove = CASES[kind][0]

@@ -10,7 +10,7 @@ from mailsift.llm.curve_packing import hilbert_key, pack_along_curve
 from mailsift.llm.forced_bpe import ForcedBpe, encode_decode
 from mailsift.llm.queries import BYTE_BPE, WORD_BPE, op2_token_files, op4_curve_packing, op7_forced_bpe
 from mailsift.llm.token_files import read_token_files, write_token_files
-from mailsift.llm.tokens import TextEncoder
+from mailsift.llm.tokens import TextEncoder, slices
 
 SF = "/root/testdata/sf0.001"
 STRANGE = ["", " ", "  a", "a  ", "\n\n a\t\tb ", "it's 'S we'LL x's", "a\xa0b  c　\x85d", "\x1c a\x1d\x1eb \x1f",
@@ -44,6 +44,15 @@ def test_forced_boundaries_equal_the_library():
         assert bpe.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_very_long_texts_are_encoded_in_slices():
+    text = "it's  a word,\n" * 200_000 + "x" * 50_000
+    enc, bpe = TextEncoder(BYTE_BPE), ForcedBpe(WORD_BPE)
+    assert len(list(slices(text))) > 1 and "".join(slices(text)) == text
+    for mine, path in ((enc, BYTE_BPE), (bpe, WORD_BPE)):
+        assert np.frombuffer(mine.encode(text), "<i4").tolist() == Tokenizer.from_file(path).encode(
+            text, add_special_tokens=False).ids
+
+
 def test_fragments_are_forced():
     bpe = ForcedBpe(WORD_BPE)
     word = [bpe.symbols[b] for b in "zqxjkvbéß漢".encode()]
