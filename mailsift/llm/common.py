@@ -49,6 +49,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few_rows(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows``: what a task makes of texts at a time
+    stays small beside the batch they came in."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str],
                  rows: int = 50_000) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows in which no group of ``keys`` is cut, from

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import few_rows
 from .routing import Words, covered, document_id, keyed_documents, repeated_windows, shard_runner
 
 GRAM = 8
@@ -138,7 +139,7 @@ def _decide(length: int):
 
 def _remove(length: int, own: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             n, removed, spans, kept = [], [], [], []
             for text, segments in zip(b.column("text").to_pylist(), b.column("flags").to_pylist(), strict=True):
                 words = text.split()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, partitions, text_bytes, written
+from .common import drop_written, few_rows, partitions, text_bytes, written
 
 BLOCK = 1 << 20  # windows of one text that are hashed at a time
 ROWS = 20_000  # rows of a batch that a task hands on
@@ -52,7 +52,7 @@ class Bytes:
 
 class Words:
     """Texts as white-space separated words, unchanged."""
-    def __init__(self, kept: int = 300_000):
+    def __init__(self, kept: int = 200_000):
         import xxhash
 
         class Hashes(dict):
@@ -132,7 +132,7 @@ def _segment_rows(unit, gram: int, length: int):
         import xxhash
 
         own = unit()
-        for b in batches:
+        for b in few_rows(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for k, tk, text in zip(*(b.column(c).to_pylist() for c in ("k", "tk", "text")), strict=True):
                 units = own.units(text)
@@ -158,7 +158,7 @@ def _window_rows(unit, length: int):
 
         own = unit()
         kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
-        for b in batches:
+        for b in few_rows(batches):
             out: list[tuple] = []
             for k, tk, text, segments in zip(*(b.column(c).to_pylist() for c in ("k", "tk", "text", "segments")), strict=True):
                 cut = own.cutter(own.units(text))
@@ -180,7 +180,7 @@ def _representatives(unit, length: int):
         own = unit()
         names = ["key", "sid", "places", "windows", "units"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for b in batches:
+        for b in few_rows(batches):
             out: list[tuple] = []
             for text, segments in zip(b.column("text").to_pylist(), b.column("segments").to_pylist(), strict=True):
                 cut = own.cutter(own.units(text))

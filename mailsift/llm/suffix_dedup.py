@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import few_rows
 from .routing import Bytes, covered, document_id, keyed_documents, repeated_windows, shard_runner
 
 GRAM = 64
@@ -138,7 +139,7 @@ def _decide(length: int):
 
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             n, removed, spans, kept = [], [], [], []
             for text, segments in zip(b.column("text").to_pylist(), b.column("flags").to_pylist(), strict=True):
                 gone = covered(len(text), length, segments) if segments else np.zeros(len(text), dtype=bool)
