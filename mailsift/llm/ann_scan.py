@@ -10,8 +10,10 @@ a hypothesis test on its partial distance says that the full distance is above
 the query's current k-th best: partial > best * (d/D) * (1 + eps/sqrt(d))^2.
 Survivors are ranked by the exact inner product of the original vectors.
 
-Every row is indexed. Lists are cut into chunks of at most about ``CHUNK``
-rows, queries of a list into blocks, so that no task holds a whole list.
+Every row is indexed, equal rows of one id once. Lists are cut into chunks of
+at most about ``CHUNK`` rows, queries of a list into blocks, so that no task
+holds a whole list. Rows of one id with different vectors are one candidate: the
+bound and the cut to k of a chunk count ids, and the best row of an id counts.
 """
 
 from __future__ import annotations
@@ -88,8 +90,16 @@ def _scan(norm2: float, turn: np.ndarray, k: int, eps: float, block: int):
         dims = turn.shape[0]
         rq = np.column_stack([q, np.zeros(len(q))]) @ turn
         rc = _turned(c, norm2, turn)
+        # the first row of each id stands before all others, so that the first bound is one over ids
+        new = np.unique(c_id, return_index=True)[1]
+        repeats = len(new) < len(c)
+        if repeats:
+            other = np.ones(len(c), dtype=bool)
+            other[new] = False
+            order = np.append(np.sort(new), np.flatnonzero(other))
+            c_id, c, rc = c_id[order], c[order], rc[order]
         blocks = [rc[:, at:at + block] for at in range(0, dims, block)]  # column blocks
-        heads = min(len(c), max(2 * k, 256))
+        heads = min(len(new), max(2 * k, 256))
         for n in range(len(q)):
             # full distances of the first candidates give the first bound
             first = ((rc[:heads] - rq[n]) ** 2).sum(axis=1)
@@ -110,8 +120,10 @@ def _scan(norm2: float, turn: np.ndarray, k: int, eps: float, block: int):
             left = left[c_id[left] != q_id[n]]
             score = c[left] @ q[n]
             if len(left) > k:
-                order = np.lexsort((c_id[left], -score))[:k]
-                left, score = left[order], score[order]
+                order = np.lexsort((c_id[left], -score))
+                if repeats:  # the best row of each id
+                    order = order[np.sort(np.unique(c_id[left][order], return_index=True)[1])]
+                left, score = left[order[:k]], score[order[:k]]
             yield q_id[n], c_id[left], score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,28 +158,33 @@ def search(vectors: DataFrame, is_query, k: int = 20, probe_share: float = 0.7,
     its ``k`` nearest other rows found by largest inner product: (query_id,
     rank, vec_id, score), ties to the smaller vec_id.
 
-    ``probe_share`` of the lists are probed (and more until 4k rows are seen);
+    ``probe_share`` of the lists are probed (and more until 4k ids are seen);
     the number of lists is the square root of the row count, ``MAX_LISTS`` at
-    most, and centres are fitted on a sample of about ``SAMPLE`` rows.
+    most, and centres are fitted on a sample of about ``SAMPLE`` rows; equal
+    rows of one id count once.
 
     Defined cases: a null id, or a vector that is null, empty, zero or holds
     null or non-finite parts, takes no part; vectors whose length is not the
-    most common one take no part; repeated rows of one id are one candidate;
-    fewer than ``k`` others give all of them; an empty table gives no rows."""
+    most common one take no part; repeated rows of one id are one candidate
+    with the score of its best row; fewer than ``k`` others give all of them; an empty table gives no rows."""
     spark = vectors.sparkSession
     rows = (vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
             .filter(F.col("vec_id").isNotNull() & usable("vec")))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     size = rows.groupBy(F.size("vec").alias("dim")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm2")).orderBy(F.desc("n"), "dim").first()
+        F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(norm).alias("norm2")).orderBy(F.desc("n"), "dim").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if size is None:
         return empty
     dim, n, norm2 = size["dim"], size["n"], size["norm2"]
     rows = rows.filter(F.size("vec") == dim)
+    if size["ids"] < n:  # equal rows of an id are one
+        rows = written(rows.dropDuplicates(["vec_id", "vec"]), "vectors")
+        n = rows.count()
+    parted = ["vec"] if size["ids"] < n else []  # rows of one id are dealt by their vectors, too
     turn = rotation(dim + 1, seed)
     share = min(1.0, SAMPLE / n)
-    picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed), *parted), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = picked.select("vec").toArrow()  # bounded by SAMPLE, in expectation
     if not sample.num_rows:
         sample = rows.limit(1).select("vec").toArrow()
@@ -175,15 +192,21 @@ def search(vectors: DataFrame, is_query, k: int = 20, probe_share: float = 0.7,
                           max(1, min(MAX_LISTS, int(np.sqrt(n)))), seed=seed)
     lists = len(centres)
     indexed = written(rows.mapInArrow(_assign(norm2, turn, centres), "vec_id long, vec array<double>, list int"), "lists")
-    counts = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-    sizes = np.zeros(lists, dtype=np.int64)
-    for r in counts.collect():  # at most MAX_LISTS rows
-        sizes[r["list"]] = r["n"]
+
+    def per_list(table):
+        sizes = np.zeros(lists, dtype=np.int64)
+        for r in table.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MAX_LISTS rows
+            sizes[r["list"]] = r["n"]
+        return sizes
+
+    sizes = per_list(indexed)
+    # an id with rows in several lists counts in one of them only
+    ids = per_list(indexed.groupBy("vec_id").agg(F.min("list").alias("list"))) if parted else sizes
     chunks = F.element_at(F.array(*[F.lit(int(max(1, -(-s // CHUNK)))) for s in sizes]), F.col("list") + 1)
-    data = indexed.select("list", F.pmod(F.xxhash64("vec_id"), chunks).cast("int").alias("chunk"), "vec_id", "vec")
+    data = indexed.select("list", F.pmod(F.xxhash64("vec_id", *parted), chunks).cast("int").alias("chunk"), "vec_id", "vec")
     asked = indexed.filter(is_query).select("vec_id", "vec").dropDuplicates(["vec_id"])
     queries = asked.mapInArrow(
-        _probe(turn, centres, sizes, max(1, int(np.ceil(probe_share * lists))), 4 * k + 1),
+        _probe(turn, centres, ids, max(1, int(np.ceil(probe_share * lists))), 4 * k + 1),
         "vec_id long, vec array<double>, lists array<int>")
     queries = queries.select("vec_id", "vec", F.explode("lists").alias("list"))
     n_queries = F.lit(int(max(1, -(-asked.count() // CHUNK))))

@@ -80,6 +80,27 @@ def test_search_odd_rows_is_exact_when_all_lists_are_probed(spark):
         assert {m[1] for m in mine} == {w[1] for w in want} or len(want) == 20
 
 
+@pytest.mark.parametrize("chunk", [4096, 64])
+def test_search_counts_ids_not_rows(spark, monkeypatch, chunk):
+    import mailsift.llm.ann_scan as m
+    monkeypatch.setattr(m, "MAX_LISTS", 1)  # one list of over 256 rows
+    monkeypatch.setattr(m, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((400, 8)).astype("float32")
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(base)]
+    rows += [(1001, (3 * base[0]).tolist(), 1)] * 30
+    rows += [(1002, ((2 + j / 20) * base[0]).tolist(), 1) for j in range(30)]
+    got = search(table(spark, rows), F.col("vec_id") == 0, k=20, probe_share=1.0, eps=1e9).collect()
+    best = {}
+    for i, v, _ in good(rows):
+        if i:
+            best[i] = max(best.get(i, -INF), float(v @ base[0].astype(np.float64)))
+    want = sorted((-s, i) for i, s in best.items())[:20]
+    mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got)
+    assert [x[:2] for x in mine] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+    assert [x[2] for x in mine] == pytest.approx([-w[0] for w in want])
+
+
 def test_search_recall(spark):
     import glob
     src = sorted(glob.glob("/root/testdata/sf0.1/embeddings.parquet"))
