@@ -18,7 +18,7 @@ from mailsift.llm.curve_packing import pack_along_curve
 from mailsift.llm.fm_substrings import remove_repeated_passages
 from mailsift.llm.ppm_langid import UNKNOWN, held_out, learn, with_language
 from mailsift.llm.queries import BYTE_BPE
-from mailsift.llm.simhash_covering import simhash_groups
+from mailsift.llm.simhash_covering import group_firsts, text_hash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,15 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the smallest id.
-    Rows that agree in id and text count once; of a group without any id all
-    different texts stay."""
-    def key(c):
-        return [F.coalesce(c, F.lit(0)).alias("_k"), c.isNull().alias("_null")]
-
-    stay = simhash_groups(docs, shingle=4, radius=4).filter("doc_id <=> component_id").select(*key(F.col("doc_id")))
-    rows = docs.select(*COLUMNS, *key(F.col("doc_id")), F.xxhash64("text").alias("_text"))
-    return (rows.join(stay, ["_k", "_null"], "left_semi").dropDuplicates(["_k", "_null", "_text"])
+    """One document of each group of near duplicates stays: the smallest id,
+    of equal ids the smallest hash of the text; a document without an id only if
+    no other of its group has one. Rows that agree in id and text count once."""
+    def key(hashed):
+        return [F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_null"), hashed.alias("_text")]
+
+    stay = group_firsts(docs, shingle=4, radius=4).select(*key(F.col("text_hash")))
+    rows = docs.select(*COLUMNS, *key(text_hash("text")))
+    return (rows.join(stay, ["_k", "_null", "_text"], "left_semi").dropDuplicates(["_k", "_null", "_text"])
             .select(*COLUMNS))
 
 

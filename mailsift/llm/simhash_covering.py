@@ -60,8 +60,9 @@ def _fingerprint(text: bytes, shingle: int) -> int:
     return sum(1 << i for i in range(64) if 2 * int(ones[i]) > n)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each whole text as a signed long.
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                 more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``more``: the 64-bit SimHash of each whole text as a signed long.
     Lower-cased words, ``shingle``-word shingles with repeats, XXH64 with seed
     42; a bit is set if it is set in more than half of the hashes. Fewer words
     than ``shingle`` make one shingle; no words (or null) make fingerprint 0."""
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     def simhash(texts):
         return texts.map(lambda t: _signed(_fingerprint(t, shingle))).astype("int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), simhash(text_bytes(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), simhash(text_bytes(text_col)).alias("fp"), *more)
 
 
 def _links(radius: int):
@@ -134,6 +135,18 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     return cells.mapInArrow(_links(radius), "a long, b long")
 
 
+def text_hash(column: str = "text") -> Column:
+    return F.xxhash64(column)
+
+
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct`` (one row per fingerprint ``fp``) with ``root``, the same for
+    all fingerprints of a group."""
+    comps = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    return distinct.join(comps, F.col("fp") == F.col("node"), "left").select(
+        *distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, fp, component_id), where component_id is
@@ -145,10 +158,21 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4,
     while another member has one; other columns are ignored; an empty table
     gives no rows."""
     fp = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comps = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    member = distinct.join(comps, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    member = _rooted(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), radius)
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = member.join(lowest, "root").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def group_firsts(docs: DataFrame, shingle: int = 4, radius: int = 4,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per group of ``simhash_groups``: (doc_id, text_hash) of its first
+    document by (id is null, id, hash of the text). Groups are told apart by
+    their fingerprints, so null and repeated ids neither join nor split them."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    fp = written(fingerprints(rows, shingle, more=("text_hash",)), "simhash")
+    member = _rooted(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), radius)
+    lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = member.join(lowest, "root").select("fp", "root", "component_id")
+    return (fp.join(named, "fp").filter("doc_id <=> component_id")
+            .groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash"))

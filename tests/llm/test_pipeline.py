@@ -37,3 +37,25 @@ def test_decisions_take_effect(spark, documents):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = corpus_pipeline.simhash_dedup(spark, docs, SF).collect()
     assert sorted(r["doc_id"] for r in left) == sorted(reps)
+
+
+def test_one_document_of_each_group_stays_with_null_and_repeated_ids(spark, documents):
+    def text(group, copy):  # near copies: one word of 600 differs
+        return " ".join(f"{group}{i}" for i in range(600)) + f" copy{copy}"
+
+    rows = [(None, text("a", 1)), (None, text("a", 2)), (None, text("a", 3)),   # a group without any id
+            (20, text("b", 1)), (None, text("b", 2)), (19, text("b", 3)),       # ids come before null
+            (30, text("c", 1)), (30, text("c", 2)),                             # one id, two texts of one group
+            (40, text("d", 1)), (3, text("d", 2)), (40, text("e", 1)), (41, text("e", 2)),  # one id in two groups
+            (50, text("f", 1)), (50, text("f", 1)),                             # equal rows
+            (None, text("g", 1)), (None, text("g", 1))]
+    from mailsift.llm.simhash_covering import fingerprints
+    near = {}
+    for r, (_, t) in zip(fingerprints(documents(rows)).collect(), rows, strict=True):
+        near.setdefault(t[0], []).append(r["fp"])
+    assert all(((x ^ y) & (2 ** 64 - 1)).bit_count() <= 4 for v in near.values() for x in v for y in v)
+    left = corpus_pipeline.simhash_dedup(spark, documents(rows), SF).collect()
+    assert sorted(r["text"][0] for r in left) == list("abcdefg")
+    assert {r["text"][0]: r["doc_id"] for r in left} == {"a": None, "b": 19, "c": 30, "d": 3, "e": 40, "f": 50, "g": None}
+    again = corpus_pipeline.simhash_dedup(spark, documents(rows[::-1]).repartition(5), SF).collect()
+    assert sorted(r["text"] for r in again) == sorted(r["text"] for r in left)
