@@ -14,6 +14,7 @@ from .fm_substrings import remove_repeated_passages
 from .forced_bpe import encode_decode
 from .license_templates import scan_licenses
 from .oracles import ORACLES  # noqa: F401  (read by the entry)
+from .piece_codec import encode_with_offsets
 from .ppm_langid import predict_languages
 from .simhash_covering import simhash_groups
 from .suffix_dedup import remove_repeated_strings
@@ -21,6 +22,7 @@ from .token_files import read_token_files, write_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +87,15 @@ def op10_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_with_offsets(_read(spark, sf_dir, "documents"), PIECE_BPE)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_adaptive_scan, op2_token_files, op3_license_templates, op4_curve_packing, op5_embedding_dups,
-    op6_suffix_dedup, op7_forced_bpe, op8_simhash_covering, op9_ppm_langid, op10_fm_substrings)}
+    op6_suffix_dedup, op7_forced_bpe, op8_simhash_covering, op9_ppm_langid, op10_fm_substrings,
+    op12_piece_offsets)}
