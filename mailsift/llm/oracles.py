@@ -38,4 +38,24 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_
 from d left join agg on d.doc_id = agg.doc_id
 """
 
-ORACLES = {"op5_embedding_dups": OP5_EMBEDDING_DUPS, "op6_suffix_dedup": OP6_SUFFIX_DEDUP, "op10_fm_substrings": OP10_FM_SUBSTRINGS}
+# all phrases counted as strings
+OP13_PHRASE_MINING = r"""with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+pieces as (select lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) as p from t),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+g as (select lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) as phrase from w where len(w) > 0),
+f as (select lang, phrase, count(*) as f from g group by all having count(*) >= 30),
+n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+c as (select lang, phrase, f as a, string_split(phrase, ' ') as w from f where contains(phrase, ' ')),
+cuts as (select lang, phrase, a, k, array_to_string(w[1:k], ' ') as x, array_to_string(w[k + 1:], ' ') as y from (select *, unnest(range(1, len(w))) as k from c)),
+s as (select cuts.lang, cuts.phrase, a, k, l.f as l, r.f as r, cast((2000000 * cast(a as hugeint)) // (l.f + r.f) as bigint) as score
+      from cuts join f l on l.lang = cuts.lang and l.phrase = x join f r on r.lang = cuts.lang and r.phrase = y),
+m as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+parts as (select lang, a, len(w) as m, unnest(flatten(list_transform(range(2, len(w)), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) as phrase from c),
+h as (select lang, phrase, max(a) as longer from parts group by all)
+select m.lang, row_number() over (partition by m.lang order by score desc, m.a desc, encode(m.phrase)) as rank, m.phrase, m.a, m.l, m.r, n.n, score
+from m left join h on h.lang = m.lang and h.phrase = m.phrase join n on n.lang = m.lang
+where longer is null or 100 * longer < 80 * m.a qualify rank <= 2000
+"""
+
+ORACLES = {"op5_embedding_dups": OP5_EMBEDDING_DUPS, "op6_suffix_dedup": OP6_SUFFIX_DEDUP, "op10_fm_substrings": OP10_FM_SUBSTRINGS,
+           "op13_phrase_mining": OP13_PHRASE_MINING}

@@ -14,6 +14,7 @@ from .fm_substrings import remove_repeated_passages
 from .forced_bpe import encode_decode
 from .license_templates import scan_licenses
 from .oracles import ORACLES  # noqa: F401  (read by the entry)
+from .phrase_mining import mine_collocations
 from .piece_codec import encode_with_offsets
 from .ppm_langid import predict_languages
 from .simhash_covering import simhash_groups
@@ -95,7 +96,11 @@ def op12_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(_read(spark, sf_dir, "documents"), threshold=30, longest=4, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_adaptive_scan, op2_token_files, op3_license_templates, op4_curve_packing, op5_embedding_dups,
     op6_suffix_dedup, op7_forced_bpe, op8_simhash_covering, op9_ppm_langid, op10_fm_substrings,
-    op12_piece_offsets)}
+    op12_piece_offsets, op13_phrase_mining)}
