@@ -38,6 +38,31 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_
 from d left join agg on d.doc_id = agg.doc_id
 """
 
+# every beginning of every rebuilt conversation as a string of turn hashes
+OP11_SPLITTER_TRIE = r"""with o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), h) - 1 as pos, h, n
+  from (select conv_id, turn, role, length(coalesce(text, '')) as n,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as h from conversations where conv_id is not null)),
+c as (select conv_id, conv_id - conv_id % 100 as base, count(*) as n,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda u, v: case when u & 1 = 1 then xor(u >> 1, 3988292384) else u >> 1 end)),
+    4294967295) % 6 as k from o group by conv_id),
+p as (select c.*, least(c.k, coalesce(b.n, 0)) as shared from c left join c b on b.conv_id = c.base),
+t as (select p.conv_id, o.pos + 1 as d, h, o.n from p join o on o.conv_id = p.base and o.pos < p.shared
+  union all select p.conv_id, o.pos - k + shared + 1, h, o.n from p join o on o.conv_id = p.conv_id and o.pos >= k),
+w as (select conv_id, d, n, string_agg(h, '') over (partition by conv_id order by d) as path from t
+  union all select conv_id, 0, 0, '' from p),
+node as (select path, d, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(n) as saved from w group by path, d),
+kids as (select substr(path, 1, 32 * (d - 1)) as path, count(*) as n_children from node where d > 0 group by 1),
+sub as (select substr(a.path, 1, 32 * a.k) as path, sum(a.leaf) as n_leaves, sum(a.saved) as saved from
+  (select n.path, n.saved, case when kids.path is null then 1 else 0 end as leaf, unnest(range(n.d + 1)) as k from node n left join kids on kids.path = n.path) a group by 1),
+last as (select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+  from (select conv_id, path from w qualify row_number() over (partition by conv_id order by d desc) = 1) group by path)
+select n.conv_id, n.d as depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(sub.n_leaves as bigint) as n_leaves,
+cast(sub.saved as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from node n left join node up on n.d > 0 and up.path = substr(n.path, 1, 32 * (n.d - 1)) left join kids on kids.path = n.path
+left join sub on sub.path = n.path left join last on last.path = n.path
+"""
+
 # all phrases counted as strings
 OP13_PHRASE_MINING = r"""with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
 pieces as (select lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) as p from t),
@@ -58,4 +83,4 @@ where longer is null or 100 * longer < 80 * m.a qualify rank <= 2000
 """
 
 ORACLES = {"op5_embedding_dups": OP5_EMBEDDING_DUPS, "op6_suffix_dedup": OP6_SUFFIX_DEDUP, "op10_fm_substrings": OP10_FM_SUBSTRINGS,
-           "op13_phrase_mining": OP13_PHRASE_MINING}
+           "op11_splitter_trie": OP11_SPLITTER_TRIE, "op13_phrase_mining": OP13_PHRASE_MINING}

@@ -17,6 +17,7 @@ from .oracles import ORACLES  # noqa: F401  (read by the entry)
 from .phrase_mining import mine_collocations
 from .piece_codec import encode_with_offsets
 from .ppm_langid import predict_languages
+from .prefix_trie import conversation_trie
 from .simhash_covering import simhash_groups
 from .suffix_dedup import remove_repeated_strings
 from .token_files import read_token_files, write_token_files
@@ -88,6 +89,10 @@ def op10_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_splitter_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op12_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_with_offsets(_read(spark, sf_dir, "documents"), PIECE_BPE)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -103,4 +108,4 @@ def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_adaptive_scan, op2_token_files, op3_license_templates, op4_curve_packing, op5_embedding_dups,
     op6_suffix_dedup, op7_forced_bpe, op8_simhash_covering, op9_ppm_langid, op10_fm_substrings,
-    op12_piece_offsets, op13_phrase_mining)}
+    op11_splitter_trie, op12_piece_offsets, op13_phrase_mining)}
