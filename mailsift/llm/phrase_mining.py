@@ -40,8 +40,8 @@ from .common import drop_written, partitions, written
 STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 NO_LANGUAGE = "und"
 #: Words of a block, texts of a slice, characters a hash partition stands for,
-#: most hash partitions, and bits of the largest survivor bitmap.
-BLOCK_WORDS, SLICE, PART_CHARS, MOST_PARTS, MOST_BITS = 1_500_000, 1 << 20, 1 << 23, 1 << 17, 28
+#: least and most hash partitions, and bits of the largest survivor bitmap.
+BLOCK_WORDS, SLICE, PART_CHARS, LEAST_PARTS, MOST_PARTS, MOST_BITS = 700_000, 1 << 19, 1 << 23, 1 << 11, 1 << 17, 28
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + STOPS + b"\t", bytes(range(97, 123)) + b"." * len(STOPS) + b" ")
 _CUT = re.compile(rb"[ .]")
@@ -139,11 +139,14 @@ def _counts(bits: int, longest: int):
     entries)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, longest):
-            hashes = np.concatenate([h for _, _, h in block.phrases(longest)] or [np.zeros(0, np.uint64)])
-            if not len(hashes):
+            hashes, n = np.empty(longest * len(block.ids), np.uint64), 0
+            for _, _, h in block.phrases(longest):
+                hashes[n:n + len(h)] = h >> np.uint64(32 - bits)
+                n += len(h)
+            if not n:
                 continue
-            hashes >>= np.uint64(32 - bits)
-            found, counts = _summed(hashes, None)
+            found, counts = _summed(hashes[:n], None)
+            del hashes
             if len(big := np.flatnonzero(counts > 255)):
                 times = np.ones(len(counts), np.int64)
                 times[big] = -(-counts[big] // 255)
@@ -163,9 +166,10 @@ def _counts(bits: int, longest: int):
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
+    """Distinct keys in order and the sums of their counts; without counts each
+    key counts one, and the keys are sorted in place."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
@@ -283,7 +287,7 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, text_col: st
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
                        F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(chars // PART_CHARS, 256), MOST_PARTS).bit_length()
+    bits = (min(max(chars // PART_CHARS, LEAST_PARTS), MOST_PARTS) - 1).bit_length()
     parts = written(rows.mapInArrow(_counts(bits, longest), "part long, mass long, rest binary, counts binary"), "phrase-counts")
     mass = parts.groupBy("part").agg(F.sum("mass").alias("part_mass"))
     dealt = (parts.select("part", "rest", "counts").join(F.broadcast(mass), "part")  # a row a partition, at most MOST_PARTS
