@@ -49,7 +49,14 @@ def rx_all(x, pattern: str) -> Column:
                       F.array().cast("array<string>"))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once: inside it the value is a
+    lambda variable, not a copy of its expression per use or per element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 # --------------------------------------------------------------------------- T2
+# the steps and their order are fixed values
 def normalize_whitespace(x) -> Column:
     s = F.regexp_replace(_c(x), r"\r\n|\r", "\n")
     s = F.regexp_replace(s, r"[\t\x0B\f]", " ")
@@ -100,16 +107,18 @@ def extract_money(x) -> Column:
     return F.array_distinct(F.transform(rx_all(x, P.MONEY_RE), lambda m: py_strip(m)))
 
 
-def ci_distinct(arr: Column) -> Column:
+def ci_distinct(arr: Column, limit: int) -> Column:
     """Ordered distinct that compares lowercased values, keeping the first
-    spelling."""
-    lowers = F.transform(arr, lambda v: F.lower(v))
-    return F.filter(arr, lambda v, i: F.array_position(lowers, F.lower(v)) == i + 1)
+    spelling; the first ``limit`` of them. Linear: distinct values come from a
+    hash set, and only ``limit`` of them look up their place."""
+    def first_spellings(a):
+        return bind(F.transform(a, lambda v: F.lower(v)), lambda low: F.transform(
+            F.slice(F.array_distinct(low), 1, limit), lambda d: F.element_at(a, F.array_position(low, d).cast("int"))))
+    return bind(arr, first_spellings)
 
 
 def extract_time_phrases(x, limit: int = P.TIME_PHRASE_LIMIT) -> Column:
-    found = F.transform(rx_all(x, P.TIME_PHRASE_RE), lambda m: py_strip(m))
-    return F.slice(ci_distinct(found), 1, limit)
+    return ci_distinct(F.transform(rx_all(x, P.TIME_PHRASE_RE), lambda m: py_strip(m)), limit)
 
 
 def has_unsubscribe(x) -> Column:
@@ -149,16 +158,21 @@ def clean_evidence(arr, limit: int = P.EVIDENCE_LIMIT, chars: int = P.EVIDENCE_C
     a = F.coalesce(_c(arr), F.array().cast("array<string>"))
     a = F.filter(F.transform(a, lambda e: py_strip(e)), lambda e: F.coalesce(F.length(e), F.lit(0)) > 0)
     a = F.transform(a, lambda e: F.substring(F.regexp_replace(e, r"\s+", " "), 1, chars))
-    return F.slice(ci_distinct(a), 1, limit)
+    return ci_distinct(a, limit)
 
 
 # -------------------------------------------------------------------------- T15
-_FENCE = r"(?s)^```(?:json)?\s*\n?(.*?)\n?\s*```$"
-
-
 def strip_fence(x) -> Column:
-    s = py_strip(F.coalesce(_c(x), F.lit("")))
-    return F.when(s.rlike(_FENCE), py_strip(F.regexp_extract(s, _FENCE, 1))).otherwise(s)
+    """The trimmed inside of a text that opens with a fence (and the word json)
+    and ends with one, else the trimmed text. Tested at the ends and cut by
+    position: linear."""
+    fence, word = F.lit("```"), "json"  # fixed values
+
+    def inside(s):
+        part = F.substring(s, F.lit(4), F.length(s) - 6)
+        return F.when((F.length(s) >= 6) & s.startswith(fence) & s.endswith(fence), py_strip(
+            F.when(part.startswith(word), F.substring(part, F.lit(len(word) + 1), F.length(part))).otherwise(part))).otherwise(s)
+    return bind(py_strip(F.coalesce(_c(x), F.lit(""))), inside)
 
 
 # --------------------------------------------------------------------------- P10

@@ -33,7 +33,7 @@ def mail_view(docs: DataFrame) -> DataFrame:
     local = _case(m(9), [(0, "noreply"), (1, "newsletter"), (2, "Alerts"), (3, "info")],
                   F.concat(F.lit("user"), _s(m(50))))
     opt = lambda cond, text: F.when(cond, F.lit(text)).otherwise(F.lit(""))
-    body = F.when(m(21) == 10, F.lit("Short text")).otherwise(F.concat(
+    body = F.when(m(21) == 10, F.col("text")).otherwise(F.concat(
         opt(m(4) == 1, "Hi Sam, "),
         opt(m(8) == 5, "can you confirm Friday at 2pm PT? "),
         F.col("text"), F.lit("\n"),
@@ -43,7 +43,9 @@ def mail_view(docs: DataFrame) -> DataFrame:
         opt(m(10) == 7, "View this email in your browser. "),
         opt(m(15) == 0, "Your weekly newsletter edition. "),
         opt(m(12) == 0, "12 Main Street, Springfield. All rights reserved.")))
-    html = (F.when(m(21) == 10, F.repeat(F.lit("<div>x</div>"), 60))
+    # an HTML message with far more markup than text
+    html = (F.when(m(21) == 10, F.concat(F.repeat(F.lit("<div></div>"), (F.length("text") / 2).cast("int") + 60),
+                                         F.lit("<div>"), F.col("text"), F.lit("</div>")))
              .when(m(14) == 0, F.concat(
                  F.lit('<html><img src="http://t.example/o.gif" width="1" height="1"><p>'),
                  F.col("text"), F.lit("</p></html>"))))
@@ -105,7 +107,7 @@ select 'm'||cast(doc_id as varchar) as message_id,
   case when doc_id % 7 = 0 then 'Bulk' when doc_id % 7 = 1 then 'normal' end as h_precedence,
   case when doc_id % 11 = 5 then 'auto-generated' when doc_id % 11 = 6 then 'no' end as h_auto_submitted,
   1706500000000 + doc_id * 600000 as internal_date_ms,
-  case when doc_id % 21 = 10 then 'Short text' else
+  case when doc_id % 21 = 10 then text else
     case when doc_id % 4 = 1 then 'Hi Sam, ' else '' end
     || case when doc_id % 8 = 5 then 'can you confirm Friday at 2pm PT? ' else '' end
     || text || chr(10)
@@ -115,7 +117,7 @@ select 'm'||cast(doc_id as varchar) as message_id,
     || case when doc_id % 15 = 0 then 'Your weekly newsletter edition. ' else '' end
     || case when doc_id % 12 = 0 then '12 Main Street, Springfield. All rights reserved.' else '' end
   end as body_text,
-  case when doc_id % 21 = 10 then repeat('<div>x</div>', 60)
+  case when doc_id % 21 = 10 then repeat('<div></div>', length(text) // 2 + 60) || '<div>' || text || '</div>'
        when doc_id % 14 = 0 then '<html><img src="http://t.example/o.gif" width="1" height="1"><p>' || text || '</p></html>'
   end as body_html,
   case doc_id % 8 when 0 then 'Friday 2pm PT' when 1 then 'tomorrow EOD' when 2 then 'next Monday 14:30'

@@ -121,7 +121,7 @@ def _parts_sql() -> str:
 def p04_mime_parts(spark, sf_dir):
     """P4 as a parts table: one row per MIME part in pre-order."""
     r = raw(spark, sf_dir)
-    parts = SM.flatten_parts(F.col("raw"), SM.parts_levels(F.col("value")))
+    parts = SM.flatten_parts(F.col("raw"), SM.parts_levels(F.col("raw")))
     return r.select("position", F.posexplode(parts).alias("ord", "p")).select(
         "position", "ord", F.array_join(F.transform("p.path", lambda i: i.cast("string")), ".").alias("path"),
         F.col("p.mime_type").alias("mime_type"),
@@ -188,7 +188,7 @@ def p03_base64url_decode(spark, sf_dir):
     """P3 on the text/plain part of every parseable message (junk
     characters, missing padding and bad UTF-8 included)."""
     r = raw(spark, sf_dir).filter(F.col("raw").isNotNull())
-    parts = SM.flatten_parts(F.col("raw"), SM.parts_levels(F.col("value")))
+    parts = SM.flatten_parts(F.col("raw"), SM.parts_levels(F.col("raw")))
     plain = F.filter(parts, lambda p: (p["mime_type"] == "text/plain") & p["data"].isNotNull())
     return r.select("position", SM.b64url_text(F.try_element_at(plain, F.lit(1))["data"]).alias("text")) \
         .filter(F.size(plain) > 0)

@@ -2,9 +2,9 @@
 (P1-P11).
 
 The message JSON is kept as one VARIANT column. The recursive MIME tree is
-flattened inside each row (one ``transform`` level per depth, up to a fixed
-depth) into an array of parts in depth-first pre-order, so normalizing a
-message never shuffles: the whole step is a single map-only stage."""
+flattened inside each row, at any depth, into an array of parts in depth-first
+pre-order, so normalizing a message never shuffles: the whole step is a single
+map-only stage."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mailsift.config import DEFAULT_CONFIG, TriageConfig
 from mailsift.functions import patterns as P
-from mailsift.functions.text import html_to_text, keep_rows, py_strip
+from mailsift.functions.text import bind, html_to_text, keep_rows, py_strip
 
 HEADER_TYPE = "array<struct<name:string,value:string>>"
 
@@ -76,8 +76,16 @@ def header_map(headers) -> Column:
     kv = F.filter(F.transform(F.coalesce(h, F.array().cast(HEADER_TYPE)), lambda x: F.struct(
         F.lower(py_strip(F.coalesce(x["name"], F.lit("")))).alias("key"),
         py_strip(F.coalesce(x["value"], F.lit(""))).alias("value"))), lambda x: F.length(x["key"]) > 0)
-    keys = F.transform(kv, lambda x: x["key"])
-    return F.map_from_entries(F.filter(kv, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
+
+    def firsts(a):
+        """The first entry of each key, in order: entries sorted by key and place,
+        those that open a run of equal keys sorted back by place."""
+        opens = F.filter(a, lambda x, i: (i == 0) | (a[F.greatest(i - 1, F.lit(0))]["key"] != x["key"]))
+        return F.transform(F.array_sort(F.transform(opens, lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key"),
+                                                                              x["value"].alias("value")))),
+                           lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    placed = F.transform(kv, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value")))
+    return F.map_from_entries(bind(F.array_sort(placed), firsts))
 
 
 def header_lookup(headers, name: str) -> Column:
@@ -101,6 +109,7 @@ def b64url_text(data) -> Column:
 
 
 # ------------------------------------------------------------------------- P4
+LEVELS_AT_ONCE = 32
 _NODES = "array<struct<path:array<int>,node:variant>>"
 
 
@@ -110,10 +119,11 @@ def _children(frontier: Column) -> Column:
         lambda c, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), c.alias("node")))))
 
 
-def parts_levels(text: Column) -> Column:
-    """A bound on the depth of a message's MIME tree, from its own JSON text:
-    each level below the root needs a ``"parts"`` key."""
-    return F.coalesce(F.regexp_count(text, F.lit(r'"parts"')), F.lit(0))
+def parts_levels(raw: Column) -> Column:
+    """A bound on the depth of a message's MIME tree, from the parsed message
+    written out again, where a key has one spelling: each level below the root
+    needs a ``"parts"`` key."""
+    return F.coalesce(F.regexp_count(F.to_json(raw), F.lit(r'"parts"')), F.lit(0))
 
 
 def part_nodes(raw: Column, levels: Column) -> Column:
@@ -121,16 +131,26 @@ def part_nodes(raw: Column, levels: Column) -> Column:
     depth.
 
     A (frontier, collected) state is folded once per possible level of the
-    row's own tree; the collected nodes are sorted by index path, which is
+    row's own tree, some levels at a time until the frontier is empty (a wide tree
+    has many possible levels and few real ones); the collected nodes are sorted by index path, which is
     exactly pre-order."""
     root = F.try_variant_get(raw, "$.payload", "variant")
     level0 = F.when(root.isNotNull(), F.array(F.struct(F.array().cast("array<int>").alias("path"),
                                                        root.alias("node")))).otherwise(F.array().cast(_NODES))
-    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
     state = f"struct<f:{_NODES},acc:{_NODES}>"
+
+    def steps(n):
+        return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+    def level(s, _):
+        return F.struct(_children(s["f"]).alias("f"), F.concat(s["acc"], s["f"]).alias("acc")).cast(state)
+
+    def some_levels(s, _):
+        return F.when(F.size(s["f"]) == 0, s).otherwise(
+            F.aggregate(steps(F.least(levels, F.lit(LEVELS_AT_ONCE))), s, level)).cast(state)
     nodes = F.aggregate(
-        steps, F.struct(level0.alias("f"), F.array().cast(_NODES).alias("acc")).cast(state),
-        lambda s, _: F.struct(_children(s["f"]).alias("f"), F.concat(s["acc"], s["f"]).alias("acc")).cast(state),
+        steps(F.ceil(levels / LEVELS_AT_ONCE).cast("int")),
+        F.struct(level0.alias("f"), F.array().cast(_NODES).alias("acc")).cast(state), some_levels,
         lambda s: F.concat(s["acc"], s["f"]))
     return F.array_sort(nodes, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
 
@@ -291,7 +311,7 @@ def validate_raw(df: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, text: str =
     """(valid rows with ``headers`` and ``parts``, quarantine rows with
     ``violations``). A bad message is set aside; the rest go on."""
     headers = F.try_variant_get(F.col("raw"), "$.payload.headers", HEADER_TYPE)
-    nodes = part_nodes(F.col("raw"), parts_levels(F.col(text)))
+    nodes = part_nodes(F.col("raw"), parts_levels(F.col("raw")))
     x = df.select("*", headers.alias("headers_list"), nodes.alias("_nodes"))
     x = x.select("*", part_fields(F.col("_nodes")).alias("parts"),
                  contract_violations(F.col("raw"), F.col("_nodes")).alias("violations")).drop("_nodes")

@@ -136,3 +136,55 @@ def test_unicode_words_in_signals(spark):
     from mailsift.functions import patterns as P
     df = spark.createDataFrame([("Hi Élodie, thanks",)], "t string")
     assert df.select(T.rx_find("t", P.PERSONAL_REPLY_RE, multiline=True).alias("f")).first().f
+
+
+def _timed(df):
+    df.selectExpr("1").collect()
+    t = time.time()
+    rows = df.collect()
+    return rows, time.time() - t
+
+
+LIMIT_S = 2.0  # seconds for one hostile row beside good ones
+
+
+def test_fence_of_a_hostile_answer_is_linear(spark):
+    from mailsift.functions.text import strip_fence
+    cases = {"```json\n{\"a\": 1}\n```": '{"a": 1}', "``````": "", "```json```": "", "`````": "`````", "```": "```",
+             " ```\n x \n``` ": "x", "```jsonx```": "x", "plain": "plain", "": "", "``` ``` ```": "```",
+             "```" + " " * 1_000_000 + "x": "```" + " " * 1_000_000 + "x",
+             "```" + " \n" * 500_000 + "x```": "x", "```json" + "`" * 1_000_000: "`" * (1_000_000 - 3)}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", strip_fence("t").alias("s"))
+    rows, took = _timed(df)
+    assert {r["t"]: r["s"] for r in rows} == cases and took < LIMIT_S
+
+
+def test_many_phrases_headers_and_evidence_are_linear(spark):
+    from mailsift.functions.text import clean_evidence, extract_time_phrases
+    from mailsift.sources.messages import HEADER_TYPE, header_map
+    text = " ".join(f"within {i} hours" for i in range(100_000))
+    rows, took = _timed(spark.createDataFrame([(text,), ("ASAP asap Today",)], "t string").select(
+        extract_time_phrases("t").alias("p")))
+    assert rows[0]["p"] == [f"within {i} hours" for i in range(10)] and rows[1]["p"] == ["ASAP", "Today"]
+    assert took < LIMIT_S
+    headers = [(f"H{i % 60_000}", str(i)) for i in range(100_000)]
+    rows, took = _timed(spark.createDataFrame([(headers,), ([("B ", " x "), ("a", "1"), ("b", "y"), (" ", "z"), (None, "n")],)],
+                                              f"h {HEADER_TYPE}").select(header_map("h").alias("m")))
+    assert rows[0]["m"] == {f"h{i}": str(i) for i in range(60_000)} and rows[1]["m"] == {"b": "x", "a": "1"}
+    assert took < LIMIT_S
+    rows, took = _timed(spark.createDataFrame([([f"Point {i % 50_000}" for i in range(100_000)],), (["A  b", "a b", " ", "c"],)],
+                                              "e array<string>").select(clean_evidence("e").alias("e")))
+    assert rows[0]["e"] == ["Point 0", "Point 1", "Point 2"] and rows[1]["e"] == ["A  b".replace("  ", " "), "c"]
+    assert took < LIMIT_S
+
+
+def test_tree_depth_comes_from_the_parsed_message(spark):
+    from pyspark.sql import functions as F
+
+    from mailsift.sources.messages import flatten_parts, parse_raw, parts_levels
+    escaped = '{"payload":{"mimeType":"a/b","\\u0070arts":[{"mimeType":"c/d","p\\u0061rts":[{"mimeType":"e/f"}]}]}}'
+    wide = '{"mimeType":"c/d","parts":[{"mimeType":"e/f"}]}'
+    flat = '{"payload":{"mimeType":"a/b","parts":[' + ",".join([wide] * 20_000) + "]}}"
+    df = parse_raw(spark.createDataFrame([(escaped,), (flat,)], "value string"))
+    rows, took = _timed(df.select(F.size(flatten_parts(F.col("raw"), parts_levels(F.col("raw")))).alias("n")))
+    assert [r["n"] for r in rows] == [3, 40_001] and took < 3 * LIMIT_S
