@@ -2,11 +2,12 @@
 tasks, per-item results, split sinks, output contract, run log, batch
 limit.
 
-Deduplication and "latest per key" use aggregate functions (``min_by`` /
-``max_by``) rather than windows, so a key holding a large share of the rows
-is pre-aggregated per task before the shuffle. Upserts are a full outer join
-on the key written to a new version directory (no table format with MERGE
-is assumed)."""
+"Latest per key" uses aggregate functions (``min_by`` / ``max_by``) rather
+than windows, so a key holding a large share of the rows is pre-aggregated per
+task before the shuffle; first copies are told from keys and positions alone.
+Upserts are a full outer join on the key (no table format with MERGE is
+assumed); ``keyed`` keeps the tables in buckets, of which a merge rewrites
+those that it touches."""
 
 from __future__ import annotations
 
@@ -36,18 +37,37 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str | list[str], newes
     return agg.select("_r.*")
 
 
+def first_by_key(df: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
+    """The row of each key with the smallest ``position`` (unique, not null).
+    Only keys and positions are grouped and compared; the other columns stay where
+    they are unless the later copies are too many to broadcast. ``df`` is read
+    three times: give a written table."""
+    narrow = df.select(*keys, position)
+    repeated = narrow.groupBy(*keys).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    later = narrow.join(repeated, keys).filter(F.col(position) > F.col("_first")).select(position)
+    return df.join(later, position, "left_anti").select(*df.columns)
+
+
 # ------------------------------------------------------------------------ S3
+MESSAGE_KEY = ["provider", "provider_message_id"]
+TASK_KEY = ["provider", "provider_thread_id", "task_id_hint"]
+
+
 def message_store(msgs: DataFrame, raw_json: Column | None = None) -> DataFrame:
     """S3: normalized columns + raw payload, unique on (provider, id), first
     ingested copy kept, status ``pending``."""
-    base = msgs.select(
+    return first_by_key(store_rows(msgs, raw_json), MESSAGE_KEY)
+
+
+def store_rows(msgs: DataFrame, raw_json: Column | None = None) -> DataFrame:
+    """S3 rows of messages that are unique already."""
+    return msgs.select(
         "provider", F.col("message_id").alias("provider_message_id"), F.col("thread_id").alias("provider_thread_id"),
         "subject", "from_name", "from_email", F.col("to").alias("to_emails"), F.col("cc").alias("cc_emails"),
         "internal_date", "snippet", "body_text", "body_html",
         (raw_json if raw_json is not None else F.lit(None).cast("string")).alias("raw_payload"),
         F.lit(None).cast("boolean").alias("is_actionable"), F.lit("pending").alias("processing_status"),
         F.col("position"))
-    return latest_per_key(base, ["provider", "provider_message_id"], "position", newest=False)
 
 
 # ------------------------------------------------------------------------ S4
@@ -125,7 +145,7 @@ def tasks(insights: DataFrame) -> DataFrame:
 
 def newest_tasks(rows: DataFrame) -> DataFrame:
     """S6 over task rows, stored ones and new ones alike."""
-    return latest_per_key(rows, ["provider", "provider_thread_id", "task_id_hint"], ["proposed_at", "email_message_id"])
+    return latest_per_key(rows, TASK_KEY, ["proposed_at", "email_message_id"])
 
 
 # ------------------------------------------------------------------------ S7

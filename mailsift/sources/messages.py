@@ -29,14 +29,8 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFra
     object or JSON lines (each file is read whole, so a single array file
     must fit one task)."""
     if fmt == "jsonl":
-        lines = spark.read.text(path).select(
-            "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
-        lines = lines.filter(F.length(py_strip(F.col("value"))) > 0).withColumn("_row", F.monotonically_increasing_id())
-        # rows of a split are numbered one after another; splits, as many as there are tasks, by prefix sums
-        splits = lines.groupBy("_file", "_at").agg(F.min("_row").alias("_low"), F.count(F.lit(1)).alias("_n"))
-        base = _before(splits, ["_file", "_at"], "_n").select("_file", "_at", (F.col("_base") - F.col("_low")).alias("_add"))
-        return lines.join(F.broadcast(base), ["_file", "_at"]).select(
-            (F.col("_row") + F.col("_add")).alias("position"), "value")
+        lines = placed_lines(source_lines(spark.read.text(path)))
+        return with_positions(lines).select("position", "value")
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.input_file_name().alias("_file"), py_strip(F.col("value")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(py_strip(x)) > 0)
@@ -49,12 +43,40 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFra
     files = files.select("_file", F.when(F.col("t").startswith("["), array).when(is_lines, lines)
                          .otherwise(F.array("t")).alias("_values"))
     base = _before(files.select("_file", F.size("_values").alias("_n")), ["_file"], "_n")
-    return files.join(F.broadcast(base.select("_file", "_base")), "_file").select(
+    return files.join(base.select("_file", "_base"), "_file").select(
         "_file", "_base", F.posexplode("_values").alias("i", "value")).select(
         F.concat_ws("#", "_file", F.col("i").cast("string")).alias("source_ref"),
         (F.col("_base") + F.col("i")).alias("position"), "value")
 
 
+def source_lines(lines: DataFrame) -> DataFrame:
+    """The non-blank lines of a text source (batch or stream) with their file and
+    the first byte of their split."""
+    lines = lines.select("value", F.col("_metadata.file_path").alias("source_file"),
+                         F.col("_metadata.file_block_start").alias("source_at"))
+    return lines.filter(F.length(py_strip(F.col("value"))) > 0)
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """``source_lines`` of a batch with a row number that grows within a split."""
+    return lines.withColumn("source_row", F.monotonically_increasing_id())
+
+
+def with_positions(placed: DataFrame) -> DataFrame:
+    """``position``: dense and 0-based by file and place; ``source_ref``: file and
+    line. Rows of a split are numbered one after another; splits, as many as
+    there are tasks, by prefix sums. ``placed`` is read twice: of a written table
+    that is two narrow columns, of a text source all of it."""
+    splits = placed.groupBy("source_file", "source_at").agg(F.min("source_row").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    base = _before(splits, ["source_file", "source_at"], "_n")
+    first = Window.partitionBy("source_file")
+    base = base.select("source_file", "source_at", (F.col("_base") - F.col("_low")).alias("_add"),
+                       F.min("_base").over(first).alias("_file_base"))
+    rows = placed.join(base, ["source_file", "source_at"]).withColumn("position", F.col("source_row") + F.col("_add"))
+    ref = F.concat_ws("#", "source_file", (F.col("position") - F.col("_file_base")).cast("string"))
+    return rows.withColumn("source_ref", ref).drop("_add", "_file_base", "source_file", "source_at", "source_row")
+
+
 def _before(parts: DataFrame, order: list[str], count: str) -> DataFrame:
     """``parts`` with ``_base``, the sum of ``count`` over the parts before (one
     row per file or split: a window over that few rows in one task)."""
@@ -307,24 +329,49 @@ def contract_violations(raw: Column, nodes: Column) -> Column:
     return F.filter(F.concat(top, F.flatten(F.transform(nodes, node_rules))), lambda x: x.isNotNull())
 
 
-def validate_raw(df: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, text: str = "value"):
-    """(valid rows with ``headers`` and ``parts``, quarantine rows with
-    ``violations``). A bad message is set aside; the rest go on."""
+def with_contract(df: DataFrame) -> DataFrame:
+    """S2 columns of parsed rows: ``headers_list``, ``parts``, ``violations``."""
     headers = F.try_variant_get(F.col("raw"), "$.payload.headers", HEADER_TYPE)
     nodes = part_nodes(F.col("raw"), parts_levels(F.col("raw")))
     x = df.select("*", headers.alias("headers_list"), nodes.alias("_nodes"))
-    x = x.select("*", part_fields(F.col("_nodes")).alias("parts"),
-                 contract_violations(F.col("raw"), F.col("_nodes")).alias("violations")).drop("_nodes")
-    x = x.withColumn("_ok", F.size("violations") == 0).withColumn("_bad", F.size("violations") > 0)
+    return x.select("*", part_fields(F.col("_nodes")).alias("parts"),
+                    contract_violations(F.col("raw"), F.col("_nodes")).alias("violations")).drop("_nodes")
+
+
+def validate_raw(df: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, text: str = "value"):
+    """(valid rows with ``headers`` and ``parts``, quarantine rows with
+    ``violations``). A bad message is set aside; the rest go on."""
+    x = with_contract(df).withColumn("_ok", F.size("violations") == 0).withColumn("_bad", F.size("violations") > 0)
     good = keep_rows(x, "_ok").drop("_ok", "_bad", "violations")
     bad = keep_rows(x, "_bad").drop("_ok", "_bad", "parts", "headers_list")
     return good, bad
 
 
+def checked_messages(raw_rows: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame:
+    """S2 + P11 of raw rows in one pass: the normalized columns, ``raw_json``,
+    ``corrupt`` and ``violations`` of every row, good or bad. Write it once, then
+    ``split_checked``: the text is parsed, flattened and decoded a single time."""
+    x = raw_rows if "raw" in raw_rows.columns else parse_raw(raw_rows)
+    place = [c for c in ("position", "source_file", "source_at", "source_row", "source_ref") if c in x.columns]
+    if "position" not in place:
+        x = x.withColumn("position", F.lit(None).cast("bigint"))
+    more = [c for c in place if c != "position"]
+    rows = normalize(with_contract(x), cfg, extra=["corrupt", "violations", *more])
+    rows = rows.withColumn("raw_json", F.to_json("raw")).drop("raw", "parts")
+    return rows if "position" in place else rows.drop("position")
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(normalized messages, quarantine rows) of a written checked table."""
+    good = checked.filter(F.size("violations") == 0).drop("violations", "corrupt")
+    place = [c for c in ("position", "source_ref") if c in checked.columns]
+    return good, checked.filter(F.size("violations") > 0).select(*place, "message_id", "corrupt", "raw_json", "violations")
+
+
 # ------------------------------------------------------------------------ P11
-def normalize(valid: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame:
+def normalize(valid: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG, extra: list[str] | None = None) -> DataFrame:
     """The normalized message row (13 fields plus the header map and
-    the sender offset), from rows that passed S2."""
+    the sender offset), from rows that passed S2; ``extra`` columns go along."""
     r = F.col("raw")
     plain_t, html_t = part_texts("parts")
     # one projection decodes every text part once; the next reads them
@@ -349,4 +396,4 @@ def normalize(valid: DataFrame, cfg: TriageConfig = DEFAULT_CONFIG) -> DataFrame
         py_strip(F.coalesce(F.try_variant_get(r, "$.snippet", "string"), F.lit(""))).alias("snippet"),
         text.alias("body_text"), html.alias("body_html"),
         F.try_variant_get(r, "$.labelIds", "array<string>").alias("label_ids"),
-        "parts", "raw")
+        "parts", "raw", *(extra or []))
