@@ -16,6 +16,7 @@ occurrence are reported.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,10 +138,29 @@ def _decide(length: int):
     return decide
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def _without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The text without runs of words; all other white space stays: a run goes
+    with what stands between it and the next word, the last run with what stands
+    before it."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for lo, hi in runs:
+        if hi < len(words):
+            out.append(text[at:words[lo][0]])
+            at = words[hi][0]
+        else:
+            out.append(text[at:words[lo - 1][1] if lo and at <= words[lo - 1][0] else words[lo][0]])
+            at = words[hi - 1][1]
+    return b"".join([*out, text[at:]])
+
+
 def _remove(length: int, own: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_rows(batches):
-            n, removed, spans, kept = [], [], [], []
+            n, removed, spans, kept, left = [], [], [], [], []
             for text, segments in zip(b.column("text").to_pylist(), b.column("flags").to_pylist(), strict=True):
                 words = text.split()
                 n.append(len(words))
@@ -149,6 +169,7 @@ def _remove(length: int, own: list[str]):
                     gone = covered(len(words), length, segments)
                     edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
                     runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+                left.append(_without(text, runs) if runs else None)
                 for lo, hi in reversed(runs):
                     del words[lo:hi]
                 removed.append(n[-1] - len(words))
@@ -157,16 +178,18 @@ def _remove(length: int, own: list[str]):
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in own), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                 pa.array(kept, pa.binary())], [*own, "n_words", "n_removed", "spans", "kept"])
+                 pa.array(kept, pa.binary()), pa.array(left, pa.binary())],
+                [*own, "n_words", "n_removed", "spans", "kept", "left"])
     return run
 
 
 def remove_repeated_passages(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text",
                              carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept) of every document: the words
+    """(doc_id, n_words, n_removed, spans, kept, left) of every document: the words
     that lie in a window of ``length`` words standing at two places or more are
     removed; ``spans`` are the removed runs of words, ``kept`` the words left,
-    joined by one space (UTF-8 bytes). Windows are judged on the input and never
+    joined by one space (UTF-8 bytes), ``left`` the text without the removed runs and
+    with its own white space (null: nothing was removed). Windows are judged on the input and never
     cross documents; words are split at ASCII white space and compared unchanged.
 
     Defined cases: null, empty and blank texts have no words; texts shorter than
@@ -181,6 +204,6 @@ def remove_repeated_passages(docs: DataFrame, length: int = 35, id_col: str = "d
     rows = own.join(marked, ["k", "tk"], "left").select(document_id(), *also, "text", "flags")
     kinds = ", ".join(["doc_id long", *(f"{c} {own.schema[c].dataType.simpleString()}" for c in also)])
     done = rows.mapInArrow(_remove(length, ["doc_id", *also]), f"{kinds}, n_words long, n_removed long, "
-                           "spans array<struct<first: bigint, end: bigint>>, kept binary")
+                           "spans array<struct<first: bigint, end: bigint>>, kept binary, left binary")
     return done.select("doc_id", *(F.col(a).alias(c) for a, c in zip(also, carry, strict=True)),
-                       "n_words", "n_removed", "spans", "kept")
+                       "n_words", "n_removed", "spans", "kept", "left")

@@ -10,7 +10,7 @@ order. A context that a language never saw passes to its shorter one for free.
 Since counts are frozen, the cost of each symbol at each context is worked out
 once, for all languages together; scoring a text is then one table look-up a
 byte. Trees are learnt from a bounded sample of labelled documents: about
-``sample_docs`` of each language, chosen by a hash of the id; every document
+``sample_docs`` of each language, chosen by a hash of id and text; every document
 is scored whole.
 """
 
@@ -86,7 +86,8 @@ def _costs(count: list[np.ndarray], parent: list[np.ndarray]) -> np.ndarray:
 
 def build(rows: list[tuple[str, int, int]], max_nodes: int) -> Model:
     """The frozen trees of all languages from their gram counts. Of the longest
-    contexts, the ``max_nodes`` most frequent are kept."""
+    contexts, the ``max_nodes`` with the largest share of a language's bytes, summed
+    over languages, are kept; a text in another one is coded from order 2."""
     langs = sorted({r[0] for r in rows})
     at = {lang: i for i, lang in enumerate(langs)}
     lang = np.array([at[r[0]] for r in rows])
@@ -107,7 +108,7 @@ def build(rows: list[tuple[str, int, int]], max_nodes: int) -> Model:
     for k in range(ORDER + 1):
         keys, inverse = np.unique(context[k], return_inverse=True)
         if k == ORDER and len(keys) > max_nodes:
-            weight = np.bincount(inverse, weights=n)
+            weight = np.bincount(inverse, weights=n / np.bincount(lang, weights=n)[lang])
             keys = np.sort(keys[np.argsort(-weight, kind="stable")[:max_nodes]])
         place = np.searchsorted(keys, context[k]).clip(max=len(keys) - 1)
         kept = keys[place] == context[k]
@@ -130,10 +131,15 @@ def build(rows: list[tuple[str, int, int]], max_nodes: int) -> Model:
     return Model(langs, symbol, node, cost.reshape(-1, len(langs)), classes)
 
 
-def learn(docs: DataFrame, sample_docs: int = 1500, max_nodes: int = 8_000) -> Model | None:
+def learn(docs: DataFrame, sample_docs: int = 1500, max_nodes: int = 24_000) -> Model | None:
     """Trees from ``docs`` (doc_id, text, lang): about ``sample_docs`` documents
-    of each language. Only the sample's gram counts, whose number is bounded by
-    it, reach the driver."""
+    of each language, drawn by a hash of id and text, so that neither a null nor a
+    repeated id brings more; rows that agree in both count once. Only the sample's
+    gram counts, whose number is bounded by it, reach the driver.
+
+    ``max_nodes`` bounds the contexts of order 3 of all languages together, and
+    with it the model (a cost for each context, byte class and language): languages
+    share it by the share of their own bytes. Shorter contexts are all kept."""
     labelled = docs.filter("text is not null and lang is not null")
     # one row per language, as many as the model itself holds
     shares = {r["lang"]: min(1.0, sample_docs / r["n"])
@@ -141,12 +147,14 @@ def learn(docs: DataFrame, sample_docs: int = 1500, max_nodes: int = 8_000) -> M
     if not shares:
         return None
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.filter(place < share).select("lang", F.col("text").cast("binary").alias("text"))
+    row = F.xxhash64(F.col("doc_id").cast("string"), F.lit("\n"), "text")
+    place = F.pmod(row, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = (labelled.select("lang", row.alias("row"), place.alias("place"), share.alias("share"), F.col("text").cast("binary").alias("text"))
+              .filter("place < share").dropDuplicates(["lang", "row"]).select("lang", "text"))
     counts = chosen.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow().to_pydict()
     rows = list(zip(table["lang"], table["gram"], table["n"], strict=True))
-    return build(rows, max(1, max_nodes * 4 // max(4, len({r[0] for r in rows})))) if rows else None
+    return build(rows, max_nodes) if rows else None
 
 
 def code_lengths(model: Model, text: bytes, step: int = 1 << 18) -> np.ndarray:

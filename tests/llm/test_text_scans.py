@@ -1,6 +1,8 @@
 import re
 import zlib
 
+import numpy as np
+
 from conftest import ODD
 from mailsift.llm.license_templates import compile_template, scan, scan_licenses, words_of
 from mailsift.llm.ppm_langid import build, code_lengths, predict_languages
@@ -87,3 +89,67 @@ def test_languages_of_odd_rows(spark, documents):
     unlabelled = documents(ODD).drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in predict_languages(unlabelled).collect()} == {"und"}
     assert predict_languages(documents([])).collect() == []
+
+
+def slow_bits(texts, text):
+    """Code length by the definition: contexts of 3, 2, 1 and 0 bytes before each
+    byte, escapes, and what longer contexts have ruled out."""
+    from collections import Counter, defaultdict
+    from math import log2
+    seen = sorted({b for t in sum(texts.values(), []) for b in t} - {0})
+
+    def symbols(t):
+        return [0, 0, 0, *((seen.index(b) + 1 if b in seen else len(seen) + 1) if b else 0 for b in t)]
+    out = []
+    for lang in sorted(texts):
+        count = defaultdict(Counter)
+        for t in texts[lang]:
+            s = symbols(t)
+            for i in range(3, len(s)):
+                for k in range(4):
+                    count[k, tuple(s[i - k:i])][s[i]] += 1
+        bits, s = 0.0, symbols(text)
+        for i in range(3, len(s)):
+            gone = set()
+            for k in (3, 2, 1, 0):
+                here = {x: n for x, n in count[k, tuple(s[i - k:i])].items() if x not in gone}
+                total, distinct = sum(here.values()), len(here)
+                if s[i] in here:
+                    bits -= log2(here[s[i]] / (total + distinct))
+                    break
+                if distinct:
+                    bits -= log2(distinct / (total + distinct))
+                gone |= set(here)
+            else:
+                bits += log2(max(1, 256 - len(gone)))
+        out.append(bits)
+    return out
+
+
+def test_code_lengths_equal_brute_force():
+    import random
+    from collections import Counter
+    rng = random.Random(3)
+    texts = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))).encode() for _ in range(12)]
+             for lang, letters in (("x", "abc "), ("y", "abdé "), ("z", "ba"))}
+    grams = Counter()
+    for lang, some in texts.items():
+        for t in some:
+            padded = b"\0\0\0" + t
+            grams.update((lang, int.from_bytes(padded[i:i + 4], "big")) for i in range(len(t)))
+    model = build([(lang, g, n) for (lang, g), n in grams.items()], 10_000)
+    for text in ["", "a", "abcabc", "bababab", "dé dé", "zzz", "a\u6f22b", *("".join(rng.choice("abcdé z") for _ in range(50)) for _ in range(10))]:
+        assert np.allclose(code_lengths(model, text.encode()), slow_bits(texts, text.encode()), atol=1e-2), text
+
+
+def test_null_and_repeated_ids_bring_no_larger_sample(spark):
+    rows = [(i, f"text number {n} of many", "en") for i in (None, 7) for n in range(3000)] + [(None, "same text", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    from unittest import mock
+
+    from mailsift.llm import ppm_langid
+    with mock.patch.object(ppm_langid, "build", lambda rows, most: seen.extend(rows)):
+        ppm_langid.learn(docs, sample_docs=200)
+    starts = sum(n for _, gram, n in seen if gram >> 8 == 0)  # the first byte of each sampled text
+    assert 0 < starts < 600
