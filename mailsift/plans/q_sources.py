@@ -5,12 +5,15 @@ check is a full encode -> parse round trip."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P
 from mailsift.operators import tables as TB
 from mailsift.plans import sqlgen as S
 from mailsift.plans.fixtures import mail_view, raw_messages, table, with_mail
+from mailsift.config import shared_dir
 from mailsift.plans.registry import register, spread
 from mailsift.sources import messages as SM
 
@@ -162,6 +165,21 @@ def s10_run_log(spark, sf_dir):
     return TB.run_log(raw(spark, sf_dir))
 
 
+@register("s01_array_files", with_mail(
+    "select row_number() over (order by doc_id) - 1 as position, case when doc_id % 97 <> 11 then message_id end as message_id "
+    "from mail where doc_id % 97 <> 55"))
+def s01_array_files(spark, sf_dir):
+    """Files that are one JSON array each (500 messages), read in splits:
+    every element at its place."""
+    rows = raw(spark, sf_dir).filter(F.try_parse_json("value").isNotNull())
+    files = rows.groupBy(F.format_string("%09d", F.floor(F.col("position") / 500)).alias("file")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "value"))).alias("m"))
+    path = shared_dir(spark, f"arrays-{uuid.uuid4().hex}")
+    files.select("file", F.concat(F.lit("[\n"), F.array_join("m.value", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("file").text(path)
+    got = SM.read_messages(spark, path, "array")
+    return got.select("position", F.get_json_object("value", "$.id").alias("message_id"))
+
+
 @register("s11_batch_limit", with_mail("select doc_id as position, message_id from mail order by doc_id limit 5"))
 def s11_batch_limit(spark, sf_dir):
     n = raw(spark, sf_dir).select("position", F.concat(F.lit("m"), F.col("position").cast("string"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mailsift.config import DEFAULT_CONFIG, TriageConfig
 from mailsift.functions import patterns as P
 from mailsift.functions.text import bind, html_to_text, keep_rows, py_strip
+from mailsift.sources.arrays import array_elements
 
 HEADER_TYPE = "array<struct<name:string,value:string>>"
 
@@ -25,12 +26,14 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFra
     run and retry.
 
     ``jsonl``: one message per line; files split across tasks, so this is
-    the form to use at scale. ``auto``: per file, a JSON array, a single
-    object or JSON lines (each file is read whole, so a single array file
-    must fit one task)."""
+    the form to use at scale. ``array``: every file is one JSON array, also read
+    in splits (``sources.arrays``). ``auto``: per file, a JSON array, a single
+    object or JSON lines; each file is read whole, so one must fit one task."""
     if fmt == "jsonl":
         lines = placed_lines(source_lines(spark.read.text(path)))
         return with_positions(lines).select("position", "value")
+    if fmt == "array":
+        return with_positions(array_elements(spark, path)).select("position", "value")
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.input_file_name().alias("_file"), py_strip(F.col("value")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(py_strip(x)) > 0)
