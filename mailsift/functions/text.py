@@ -71,6 +71,11 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: _html.unescape(v) if isinstance(v, str) else v)
 
 
+#: The inside of a tag: a ``>`` within a quoted attribute value does not end it;
+#: a quote that no value opens with, or that never closes, is a character.
+_IN_TAG = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+"""
+
+
 def strip_tags(x) -> Column:
     """Markup removal: comments/doctype, script/style/noscript with content
     (to the end of the text if never closed), then each run of tags becomes
@@ -81,12 +86,12 @@ def strip_tags(x) -> Column:
     ``<`` has its end; repeated groups are possessive, so they loop instead of
     recursing."""
     s = F.regexp_replace(_c(x), r"(?s)<!--.*?(?:-->|\z)", "")
-    s = F.regexp_replace(s, r"(?is)<(script|style|noscript)\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)", "")
+    s = F.regexp_replace(s, r"(?is)<(script|style|noscript)\b" + _IN_TAG + r"(?:>.*?(?:</\1\s*+>|\z)|\z)", "")
     back = F.reverse(s)
     head = F.reverse(F.regexp_replace(back, r"\A[^>]*+", ""))
     tail = F.reverse(F.regexp_extract(back, r"\A[^>]*+", 0))
     head = F.regexp_replace(head, r"(?i)<!doctype[^>]*+>", "")
-    return F.concat(F.regexp_replace(head, r"(?:<[^>]*+>)++", "\n"), tail)
+    return F.concat(F.regexp_replace(head, f"(?:<{_IN_TAG}>)++", "\n"), tail)
 
 
 def html_to_text(x, decode_entities: bool = True) -> Column:

@@ -24,6 +24,18 @@ def t01_html_to_text_markup(spark, sf_dir):
     return pages.select("page_id", T.html_to_text("html", decode_entities=False).alias("text"))
 
 
+_QUOTED = ["<p title=\"a > b\" data-u='c>d' hidden>", "<br alt=\"x>y\"/>it's <i class = '>'>5 = \"five\"</i>"]
+
+
+@register("t01_quoted_attributes", "select page_id, " + S.normalize_ws(S.strip_tags(
+    f"{S.lit(_QUOTED[0])} || html || {S.lit(_QUOTED[1])}")) + " as text from pages")
+def t01_quoted_attributes(spark, sf_dir):
+    """T1 with tags whose attribute values hold ``>``."""
+    pages = spread(table(spark, sf_dir, "pages"))
+    html = F.concat(F.lit(_QUOTED[0]), F.col("html"), F.lit(_QUOTED[1]))
+    return pages.select("page_id", T.html_to_text(html, decode_entities=False).alias("text"))
+
+
 # Oracle for the full T1: the driver's pages contain only these four named
 # entities, with or without the closing semicolon (legacy names are decoded
 # without it, e.g. a title cut after "&amp"); ``&amp`` is decoded last so

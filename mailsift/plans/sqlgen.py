@@ -122,11 +122,15 @@ def normalize_ws(e: str) -> str:
     return strip(s)
 
 
+#: The inside of a tag with quoted attribute values, in a SQL string.
+_IN_TAG = r"""(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*""".replace("'", "''")
+
+
 def strip_tags(e: str) -> str:
     s = f"regexp_replace({e}, '(?s)<!--.*?-->|<!(?i:doctype)[^>]*>', '', 'g')"
     for tag in ("script", "style", "noscript"):
-        s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
-    return f"regexp_replace({s}, '(?:<[^>]*>)+', chr(10), 'g')"
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b{_IN_TAG}>.*?</{tag}\\s*>', '', 'g')"
+    return f"regexp_replace({s}, '(?:<{_IN_TAG}>)+', chr(10), 'g')"
 
 
 def cap(e: str, n: int, suffix: str) -> str:

@@ -75,7 +75,9 @@ def test_any_mime_depth(spark, depth):
 
 HOSTILE = {
     "tags": "<b>" * 350_000, "open script": "<script " * 120_000, "script": "<script>" * 120_000, "angles": "<" * 1_000_000,
-    "comments": "<!--" * 250_000, "images": "<img " * 200_000, "mixed": "<br>x" * 200_000, "plain": "5 < 6 and 7 > 2"}
+    "comments": "<!--" * 250_000, "images": "<img " * 200_000, "mixed": "<br>x" * 200_000,
+    "quotes": '<a b="' * 150_000, "one quote": "<" * 500_000 + '="x>', "swallowed": "<" * 500_000 + '=">"',
+    "single": "<i a='\">" * 120_000, "equals": "<=" * 400_000 + ">", "open values": "<script a='" * 90_000, "plain": "5 < 6 and 7 > 2"}
 
 
 @pytest.mark.parametrize("kind", HOSTILE)
@@ -188,3 +190,11 @@ def test_tree_depth_comes_from_the_parsed_message(spark):
     df = parse_raw(spark.createDataFrame([(escaped,), (flat,)], "value string"))
     rows, took = _timed(df.select(F.size(flatten_parts(F.col("raw"), parts_levels(F.col("raw")))).alias("n")))
     assert [r["n"] for r in rows] == [3, 40_001] and took < 3 * LIMIT_S
+
+
+def test_quoted_attribute_values_do_not_end_a_tag(spark):
+    cases = {'<a title="x>y">in</a>': "in", "<a title='x>y' b=\"c>d\">in</a>out": "in\nout", '<a title="x>y>in': 'y>in',
+             "<p>it's</p><p>don't</p>": "it's\n\ndon't".replace("\n\n", "\n"), '<a b=">" c>x': "x", '<i = ">">x': "x",
+             '<script a="</script>">bad</script>ok': "ok", '5 = "five" > 4': '5 = "five" > 4', "<a b=c'>x": "x"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string").select("h", T.html_to_text("h").alias("t"))
+    assert {r["h"]: r["t"] for r in df.collect()} == cases
