@@ -272,6 +272,35 @@ def p06_addresses(spark, sf_dir):
                     F.array_join("cc", "|").alias("cc_list"))
 
 
+# address lists made of the mail view's names and addresses: (Spark and SQL text
+# of the value, SQL text of the names and addresses that it stands for)
+_ADDRESS_FORMS = [
+    ("'\"Doe, \\\\\"' || from_name || '\\\\\" (x)\" <' || from_email || '>, bob@x.example (Bob (the) Builder)'",
+     "'Doe, \"' || from_name || '\" (x)=' || from_email || '|Bob the Builder=bob@x.example'"),
+    ("from_name || ' (work) <' || from_email || '>'", "from_name || ' (work)=' || from_email"),
+    ("'team: ' || from_email || ', \"C, D\" <c@d.example>; late: e@f.example;, g@h.example'",
+     "'=' || from_email || '|C, D=c@d.example|=e@f.example|=g@h.example'"),
+    ("'(' || from_name || ') ' || from_email || ', \"odd one\"@x.example'", "from_name || '=' || from_email || '|=\"odd one\"@x.example'"),
+    ("from_name || ' <' || from_email || '>, plain@x.example'", "from_name || '=' || from_email || '|=plain@x.example'"),
+]
+
+
+def _form(i: int, spark: bool) -> str:
+    """The value or what it stands for, by document."""
+    texts = [f[i] if spark else f[i].replace("\\\\", "\\") for f in _ADDRESS_FORMS]
+    return "case doc_id % 5 " + " ".join(f"when {k} then {t}" for k, t in enumerate(texts)) + " end"
+
+
+@register("p06_address_forms", with_mail(f"select message_id, {_form(1, False)} as mailboxes from mail"))
+def p06_address_forms(spark, sf_dir):
+    """Escaped quotes, nested comments, several groups, comments as names,
+    quoted local parts."""
+    mail = mail_view(table(spark, sf_dir, "documents"))
+    found = mail.select("message_id", SM.parse_addresses(F.expr(_form(0, True))).alias("a"))
+    return found.select("message_id", F.array_join(F.transform("a", lambda x: F.concat(x["name"], F.lit("="), x["email"])), "|")
+                        .alias("mailboxes"))
+
+
 @register("p07_date_header", _p(
     "select message_id, case when doc_id % 5 = 3 then null else strftime(epoch_ms(internal_date_ms - 300000), "
     f"'%Y-%m-%d %H:%M:%S') end as sent_at, case when doc_id % 5 = 3 then null else {_OFF} end as offset_min"))

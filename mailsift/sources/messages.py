@@ -8,8 +8,10 @@ map-only stage."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsift.config import DEFAULT_CONFIG, TriageConfig
 from mailsift.functions import patterns as P
@@ -222,11 +224,101 @@ def best_bodies(plain, html) -> tuple[Column, Column]:
 
 
 # ------------------------------------------------------------------------- P6
+def mailboxes(text: str) -> list[tuple[str, str]]:
+    """(name, address) of an address list, one character at a time: quoted strings
+    with escapes, nested comments, groups (their label goes) and angle addresses,
+    in which only quotes count. A comment stands for a missing name, or follows a
+    name in brackets."""
+    out: list[tuple[str, str]] = []
+    words, notes, address = [], [], None  # of the mailbox in hand
+    i, n = 0, len(text)
+
+    def end() -> None:
+        nonlocal words, notes, address
+        phrase, note = " ".join("".join(words).split()), " ".join(" ".join(notes).split())
+        if address is not None:
+            out.append((f"{phrase} ({note})" if note and phrase else phrase or note, address.strip()))
+        elif phrase:
+            out.append((note, phrase))
+        words, notes, address = [], [], None
+
+    def quoted() -> str:
+        nonlocal i
+        got = []
+        i += 1
+        while i < n and text[i] != '"':
+            i += text[i] == "\\" and i + 1 < n
+            got.append(text[i])
+            i += 1
+        i += 1
+        return "".join(got)
+
+    def comment() -> str:
+        nonlocal i
+        got, depth = [], 0
+        while i < n:
+            c = text[i]
+            depth += (c == "(") - (c == ")")
+            if c == "\\" and i + 1 < n:
+                i += 1
+                got.append(text[i])
+            elif c not in "()":
+                got.append(c)
+            i += 1
+            if depth == 0:
+                break
+        return "".join(got)
+
+    while i < n:
+        c = text[i]
+        if c == '"':
+            inside = quoted()
+            words.append(f'"{inside}"' if text[i:i + 1] == "@" else inside)
+            continue
+        if c == "(":
+            notes.append(comment())
+            words.append(" ")
+            continue
+        if c == "<" and address is None:
+            got = []
+            i += 1
+            while i < n and text[i] != ">":
+                if text[i] == '"':
+                    got.append('"' + quoted() + '"')
+                    continue
+                got.append(text[i])
+                i += 1
+            address = "".join(got)
+        elif c in ",;":
+            end()
+        elif c == ":" and address is None:
+            words, notes = [], []  # the label of a group
+        elif c == "\\" and i + 1 < n:
+            i += 1
+            words.append(text[i])
+        elif address is None:
+            words.append(c)
+        i += 1
+    end()
+    return out
+
+
+MAILBOXES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("email", T.StringType())]))
+
+
+@F.pandas_udf(MAILBOXES)
+def _mailboxes(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: [{"name": name, "email": email} for name, email in mailboxes(v)] if isinstance(v, str) else None)
+
+
 def parse_addresses(value) -> Column:
-    """Address list -> array<struct<name,email>>: quote-aware comma
-    split, ``Name <addr>`` or bare address, group labels dropped."""
-    v = F.col(value) if isinstance(value, str) else value
-    toks = F.regexp_extract_all(F.coalesce(v, F.lit("")), F.lit(r'(?:"[^"]*+"|[^",]++|")++'), F.lit(0))
+    """Address list -> array<struct<name,email>>. Lists of ``Name <addr>``,
+    ``"Name" <addr>``, bare addresses and one group label are cut by patterns; only
+    a value with a comment or an escape, or with several labels, goes to the full
+    grammar (``mailboxes``, in Arrow batches; the others travel as nulls)."""
+    v = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
+    hard = v.rlike(r"[(\\\\]|:[^;]*+;.") | (F.length(v) - F.length(F.replace(v, F.lit(":"))) > 1)
+    toks = F.regexp_extract_all(v, F.lit(r'(?:"[^"]*+"|[^",]++|")++'), F.lit(0))
 
     def one(t):
         s = py_strip(t)
@@ -235,7 +327,7 @@ def parse_addresses(value) -> Column:
         bare = py_strip(F.regexp_replace(F.regexp_replace(s, r'^[^:@"<]*:\s*', ""), ";", ""))
         email = F.when(angle, py_strip(F.regexp_extract(s, r"^[^<]*+<([^>]*+)>", 1))).otherwise(bare)
         return F.struct(F.when(angle, name).otherwise(F.lit("")).alias("name"), email.alias("email"))
-    return F.transform(toks, one)
+    return F.coalesce(_mailboxes(F.when(hard, v)), F.transform(toks, one))
 
 
 def address_list(value) -> Column:

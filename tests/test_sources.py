@@ -124,3 +124,25 @@ def test_run_log_fallbacks(spark):
     assert out[1].snippet == "a b" and out[1].total == 3 and out[1].date == "(no date)"
     assert out[2].message_id == "alt" and out[2].thread_id == "t1" and out[2].snippet == "x" * 180 + "…"
     assert out[3].message_id == "index_2" and out[3].subject == "(no subject)"
+
+
+def test_full_address_grammar():
+    from mailsift.sources.messages import mailboxes
+    cases = {
+        '"Doe, \\"Sam\\" (x)" <a@b.c>, bob@x.y (Bob (the) Builder)': [('Doe, "Sam" (x)', "a@b.c"), ("Bob the Builder", "bob@x.y")],
+        "Ann (work) <ann@x>": [("Ann (work)", "ann@x")], "undisclosed-recipients:;": [], "": [], "(only)": [],
+        'team: a@b, "C, D" <c@d>; late: e@f;, g@h': [("", "a@b"), ("C, D", "c@d"), ("", "e@f"), ("", "g@h")],
+        '"odd one"@x': [("", '"odd one"@x')], "x@y (unclosed": [("unclosed", "x@y")], "a\\,b <c@d>": [("a,b", "c@d")],
+        "<a@b": [("", "a@b")], '"never closed <a@b>': [("", "never closed <a@b>")], ",,;": []}
+    for text, want in cases.items():
+        assert mailboxes(text) == want, text
+
+
+def test_hostile_addresses_are_linear():
+    import time
+
+    from mailsift.sources.messages import mailboxes
+    for text in ("(" * 500_000, '"' * 500_000, "<" * 500_000, "a:" * 250_000, "\\" * 500_000, "(a" * 250_000 + ")" * 250_000):
+        t = time.time()
+        mailboxes(text)
+        assert time.time() - t < 2
