@@ -1,15 +1,16 @@
 """Token-id output: flat unsigned integer files with 64-bit document offsets.
 
-Documents are range-partitioned by id and sorted, so file k holds lower ids
-than file k+1. Each task encodes its partition and writes three files to the
+Documents are range-partitioned by id, equal and null ids by a hash of the text,
+and sorted, so file k holds lower ids than file k+1 and a hot id fills several. Each task encodes its partition and writes three files to the
 shared folder: ``.bin`` (ids back to back, 16 bits if the vocabulary fits,
 else 32, little-endian), ``.idx`` (documents + 1 offsets into it, unsigned 64
 bits) and ``.doc`` (document ids, signed 64 bits; null ids come first and are
 counted). A task returns one manifest row; the prefix sums of the files' token
 counts are the bases that make offsets global. Readers memory-map the files.
 
-A file is written under an attempt's own name and then renamed, so a task that
-runs again after a lost executor replaces it with the same content.
+Files carry the name of the task attempt that wrote them, and the manifest names
+the attempt whose row came back: a task that runs twice, after a lost executor or
+beside itself, never touches files that a reader may have open.
 """
 
 from __future__ import annotations
@@ -25,13 +26,21 @@ from pyspark.sql import functions as F
 from .common import new_folder, partitions
 from .tokens import encoder
 
-MANIFEST = "part int, docs long, null_ids long, tokens long, width int"
+MANIFEST = "part int, attempt long, docs long, null_ids long, tokens long, width int"
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark itself resolves it: a path without scheme lies in the
+    cluster's default file system, not on each machine's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
 
 
 def _fs(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder)
 
 
 def _write_part(folder: str, tokenizer: str, end_id: int):
@@ -45,8 +54,8 @@ def _write_part(folder: str, tokenizer: str, end_id: int):
         width = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype="<u4").tobytes()
         counts, ids, nulls = [], [], 0
-        name = f"{root}/part-{part:06d}"
-        with fs.open_output_stream(f"{name}.bin.{attempt}") as out:
+        name = f"{root}/part-{part:06d}-{attempt}"
+        with fs.open_output_stream(f"{name}.bin") as out:
             for b in batches:
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     tokens = np.frombuffer(enc.encode(text) + end, dtype="<u4")
@@ -57,14 +66,10 @@ def _write_part(folder: str, tokenizer: str, end_id: int):
         offsets = np.zeros(len(counts) + 1, dtype="<u8")
         np.cumsum(counts, out=offsets[1:])
         for kind, data in (("idx", offsets), ("doc", np.array(ids, dtype="<i8"))):
-            with fs.open_output_stream(f"{name}.{kind}.{attempt}") as out:
+            with fs.open_output_stream(f"{name}.{kind}") as out:
                 out.write(data.tobytes())
-        for kind in ("bin", "idx", "doc"):
-            if fs.get_file_info(f"{name}.{kind}").is_file:  # an earlier run of this task, same content
-                fs.delete_file(f"{name}.{kind}")
-            fs.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part], pa.int32()), "docs": pa.array([len(counts)], pa.int64()),
+            "part": pa.array([part], pa.int32()), "attempt": pa.array([attempt], pa.int64()), "docs": pa.array([len(counts)], pa.int64()),
             "null_ids": pa.array([nulls], pa.int64()), "tokens": pa.array([int(offsets[-1])], pa.int64()),
             "width": pa.array([width], pa.int32())})
     return run
@@ -73,17 +78,20 @@ def _write_part(folder: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
                       id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the token files of all documents and their manifest; returns the
-    folder. ``tokenizer`` is a tokenizers file that every executor has.
+    folder. ``tokenizer`` is a tokenizers file that every executor has; a store that
+    pyarrow cannot open is refused before any work.
 
     Defined cases: null and empty texts hold the end id only; repeated rows
-    and equal ids are kept, in order of text; null ids come first; an empty
+    and equal ids are kept, in order of a hash of the text; null ids come first; an empty
     table writes a manifest without files; other columns are ignored."""
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "tokens")
+    folder = qualified(spark, folder or new_folder(spark, "tokens"))
     fs, root = _fs(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("place", F.xxhash64("text"))
+    rows = (rows.repartitionByRange(partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place", "text")
+            .select("doc_id", "text"))
     # one row per file: as many as there are partitions
     parts = sorted(rows.mapInArrow(_write_part(folder, tokenizer, end_id), MANIFEST).collect(), key=lambda r: r["part"])
     base = 0
@@ -109,7 +117,7 @@ def _read_part(folder: str):
         fs, root = _fs(folder)
         for b in batches:
             for r in b.to_pylist():
-                name = f"{root}/part-{r['part']:06d}"
+                name = f"{root}/part-{r['part']:06d}-{r['attempt']}"
                 tokens = _mapped(fs, f"{name}.bin", f"<u{r['width']}")
                 offsets = _mapped(fs, f"{name}.idx", "<u8").astype(np.int64)
                 ids = _mapped(fs, f"{name}.doc", "<i8")
@@ -135,13 +143,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, token_bytes) of every document in the files:
     ``start`` counts the ids of all documents before it, ``token_bytes`` are its
     ids as little-endian unsigned 32-bit integers."""
+    folder = qualified(spark, folder)
     fs, root = _fs(folder)
     with fs.open_input_file(f"{root}/manifest.json") as f:
         files = json.loads(f.read())["files"]
     out = "doc_id long, start long, n_tokens long, token_bytes binary"
     if not files:
         return spark.createDataFrame([], out)
-    names = ["part", "docs", "null_ids", "width", "base"]
+    names = ["part", "attempt", "docs", "null_ids", "width", "base"]
     rows = spark.createDataFrame([tuple(f[n] for n in names) for f in files],
-                                 "part int, docs long, null_ids long, width int, base long")
+                                 "part int, attempt long, docs long, null_ids long, width int, base long")
     return rows.repartitionByRange(len(files), "part").mapInArrow(_read_part(folder), out)

@@ -161,3 +161,22 @@ def test_word_bpe_query(spark):
 def test_other_kinds_are_refused():
     with pytest.raises((ValueError, KeyError)):
         ForcedBpe(BYTE_BPE)
+
+
+def test_a_third_of_null_ids_is_dealt_to_several_files(spark, documents):
+    import json
+
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i % 400}") for i in range(3000)]
+    folder = write_token_files(documents(rows), BYTE_BPE, 2)
+    got = read_token_files(spark, folder).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    with open(f"{folder.removeprefix('file://')}/manifest.json") as f:
+        files = json.load(f)["files"]
+    assert sum(f["null_ids"] > 0 for f in files) > 1 and max(f["docs"] for f in files) < 1000
+    assert folder.startswith("file:///")
