@@ -26,6 +26,8 @@ _ZONE_RE = r"\b(" + "|".join(a for a, _ in P.ZONE_WORDS) + r")\b"
 _DAY_RE = r"\b(" + "|".join(P.WEEKDAYS) + r")\b"
 _MON_RE = r"\b" + _MONTH + r"\.?\s+(\d{1,2})(?:st|nd|rd|th)?\b(?:,?\s+(\d{4})\b)?"
 _DAY_MON_RE = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+(?:of\s+)?" + _MONTH + r"\b\.?(?:,?\s+(\d{4})\b)?"
+_ORDINAL_RE = r"\b(\d{1,2})(?:st|nd|rd|th)\b"
+_MONTH_ALONE_RE = r"\b" + _MONTH + r"\b\.?(?:,?\s+(\d{4})\b)?"
 _SLASH_RE = r"\b(\d{1,2})/(\d{1,2})(?:/(\d{4}|\d{2}))?\b"
 
 
@@ -134,6 +136,18 @@ def day_stage(x: Column) -> Column:
 
     abs_day = F.coalesce(F.try_to_date(F.nullif(iso_m, F.lit("")), "yyyy-MM-dd"), written(_MON_RE, 1, 2),
                          written(_DAY_MON_RE, 2, 1), written(_SLASH_RE, 1, 2))
+    # single fields, only where none of the forms above is written: the day of the
+    # base month, a month (and year) with the base day or the month's last, a time
+    ordinal = F.nullif(F.regexp_extract(lower, _ORDINAL_RE, 1), F.lit(""))
+    month = F.array_position(F.array(*[F.lit(n) for n in _MONTHS]), F.substring(F.regexp_extract(lower, _MONTH_ALONE_RE, 1), 1, 3))
+    year = F.coalesce(F.nullif(F.regexp_extract(lower, _MONTH_ALONE_RE, 2), F.lit("")).try_cast("int"), F.year(bl))
+    last = F.last_day(F.make_date(year, F.greatest(month, F.lit(1)).cast("int"), F.lit(1)))
+    single = (F.when(ordinal.isNotNull(), F.try_make_timestamp(F.year(bl), F.month(bl), ordinal.try_cast("int"),
+                                                                F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+              .when(month > 0, F.date_sub(last, F.greatest(F.dayofmonth(last) - F.dayofmonth(bl), F.lit(0))))
+              .when(x["has12"] | x["ok24"], bdate))
+    named = lower.rlike("|".join([r"\d{4}-\d{2}-\d{2}", _MON_RE, _DAY_MON_RE, _SLASH_RE]))
+    abs_day = F.when(named, abs_day).otherwise(single)
     hour, minute, bad = time_fields(x)
     return F.struct(x["text"].alias("text"), x["zone"].alias("zone"), x["zone_name"].alias("zone_name"),
                     bl.alias("base_local"), rel_day.alias("rel_day"), abs_day.alias("abs_day"),

@@ -543,6 +543,29 @@ def q06_inbox_by_status(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------- R11
+_SINGLE_MONTH = ("make_date(case when doc_id % 5 = 4 then 2025 else 2024 end, cast(1 + doc_id % 12 as integer), "
+                 "least(31, day(last_day(make_date(case when doc_id % 5 = 4 then 2025 else 2024 end, cast(1 + doc_id % 12 as integer), 1)))))")
+
+
+@register("r11_single_fields",
+          "select doc_id, strftime(case when doc_id % 5 in (0, 3) then make_date(2024, 1, cast(1 + doc_id % 28 as integer)) "
+          f"when doc_id % 5 in (1, 4) then {_SINGLE_MONTH} else make_date(2024, 1, 31) end, '%Y-%m-%d') || 'T' || "
+          "case when doc_id % 5 = 2 then cast(13 + doc_id % 11 as varchar) || ':30' when doc_id % 5 = 3 then '14:05' else '09:30' "
+          "end || ':00+00:00' as iso from documents")
+def r11_single_fields(spark, sf_dir):
+    """Deadlines that name one field: a day of the month, a month (with a
+    year), a time; the others come from the base time."""
+    from mailsift.functions.dates import infer_columns
+    d = F.col("doc_id")
+    nth = F.concat(F.lit("the "), 1 + d % 28, F.lit("th"))
+    month = F.date_format(F.make_date(F.lit(2024), (1 + d % 12).cast("int"), F.lit(1)), "MMMM")
+    text = (F.when(d % 5 == 0, nth).when(d % 5 == 1, F.concat(F.lit("by "), month))
+            .when(d % 5 == 2, F.concat(1 + d % 11, F.lit("pm"))).when(d % 5 == 3, F.concat(nth, F.lit(" at 14:05")))
+            .otherwise(F.concat(month, F.lit(" 2025"))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("phrase"), F.lit("2024-01-31 09:30:00").cast("timestamp").alias("base"))
+    return infer_columns(docs, "phrase", "base", F.lit(0)).select("doc_id", F.col("_dt.iso").alias("iso"))
+
+
 @register("r11_absolute_dates",
           "select doc_id, strftime(make_date(case doc_id % 6 when 2 then 2026 when 4 then 2025 when 5 then 2023 else 2024 "
           "end, cast(1 + doc_id % 12 as integer), cast(1 + doc_id % 28 as integer)), '%Y-%m-%d') as date_iso from documents")

@@ -47,3 +47,14 @@ def test_absolute_dates_take_base_fields(spark):
     got = _infer(spark, [("March 5 2pm", "2024-01-29 21:16:40"), ("2024-04-01", "2024-01-29 21:16:40")])
     assert got["March 5 2pm"][0] == "2024-03-05T14:16:40+00:00"
     assert got["2024-04-01"][0] == "2024-04-01T21:16:40+00:00"
+
+
+def test_single_fields_take_the_rest_from_the_base(spark):
+    base = "2024-01-31 21:16:40"
+    got = _infer(spark, [(t, base) for t in ["the 5th", "March", "by Feb.", "June 2025", "5pm", "14:30", "the 31st 5pm", "Feb 31",
+                                             "before the 40th", "asap", "EOD", "100th"]])
+    assert got["the 5th"][0] == "2024-01-05T21:16:40+00:00" and got["March"][0] == "2024-03-31T21:16:40+00:00"
+    assert got["by Feb."][0] == "2024-02-29T21:16:40+00:00" and got["June 2025"][0] == "2025-06-30T21:16:40+00:00"
+    assert got["5pm"][0] == "2024-01-31T17:16:40+00:00" and got["14:30"][0] == "2024-01-31T14:30:40+00:00"
+    assert got["the 31st 5pm"][0] == "2024-01-31T17:16:40+00:00"
+    assert all(got[t][0] is None for t in ("Feb 31", "before the 40th", "asap", "EOD", "100th"))
