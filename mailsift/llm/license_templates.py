@@ -32,20 +32,57 @@ BASE_TEMPLATES = [
     ("reserved", "all rights reserved"),
 ]
 
-#: Wording of public licenses, as templates of our own.
+#: The shared conditions and disclaimer of the BSD licenses.
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above "
+    "copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+    "disclaimer in the documentation and <<beginOptional>>/or<<endOptional>> other materials provided with the distribution")
+_BSD_DISCLAIMER = (
+    "this software is provided by <<var;words=10>> as is and any express or implied warranties including but not limited "
+    "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+    "<<var;words=10>> be liable for any direct indirect incidental special exemplary or consequential damages including "
+    "but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or "
+    "otherwise arising in any way out of the use of this software even if advised of the possibility of such damage")
+
+#: Wording of public licenses, as templates of our own. A license's
+#: name is the label of its whole wording; its first words alone are an opening.
 LICENSE_TEMPLATES = [
     ("apache-notice", "licensed under the apache license <<beginOptional>>version 2.0<<endOptional>>"),
     ("apache-header", "licensed under the apache license version 2.0 <<beginOptional>>the license<<endOptional>> "
                       "you may not use this file except in compliance with the license"),
     ("mit-notice", "released under the "
                    "<<beginOptional>>terms of the<<endOptional>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the "
+            "rights to use copy modify merge publish distribute sublicense and <<beginOptional>>/or<<endOptional>> sell copies "
+            "of the software and to permit persons to whom the software is furnished to do so subject to the following "
+            "conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph"
+            "<<endOptional>> shall be included in all copies or substantial portions of the software the software is provided "
+            "as is without warranty of any kind express or implied including but not limited to the warranties of "
+            "merchantability fitness for a particular purpose and noninfringement in no event shall <<var;words=10>> be liable "
+            "for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
+            "or in connection with the software or the use or other dealings in the software"),
+    ("mit-opening", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "<<beginOptional>>/or<<endOptional>> associated documentation files <<beginOptional>>the software"
             "<<endOptional>> to deal in the software without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
+    ("bsd-2-clause", f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"{_BSD_CONDITIONS} <<beginOptional>>3<<endOptional>> neither the name of <<var;words=12>> nor the names of "
+                     "its contributors may be used to endorse or promote products derived from this software without specific "
+                     f"prior written permission {_BSD_DISCLAIMER}"),
+    ("bsd-opening", "redistribution and use in source and binary forms with or without modification are permitted "
             "<<beginOptional>>subject to the limitations in the disclaimer below<<endOptional>> provided that the "
             "following conditions are met"),
-    ("isc", "permission to use copy modify and <<beginOptional>>/or<<endOptional>> distribute this software for any "
+    ("isc", "permission to use copy modify and <<beginOptional>>/or<<endOptional>> distribute this software for any purpose "
+            "with or without fee is hereby granted provided that the above copyright notice and this permission notice appear "
+            "in all copies the software is provided as is and <<var;words=6>> disclaims all warranties with regard to this "
+            "software including all implied warranties of merchantability and fitness in no event shall <<var;words=6>> be "
+            "liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of "
+            "use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+            "connection with the use or performance of this software"),
+    ("isc-opening", "permission to use copy modify and <<beginOptional>>/or<<endOptional>> distribute this software for any "
             "purpose with or without fee is hereby granted"),
     ("gpl-notice", "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu "
                    "<<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license "

@@ -153,3 +153,41 @@ def test_null_and_repeated_ids_bring_no_larger_sample(spark):
         ppm_langid.learn(docs, sample_docs=200)
     starts = sum(n for _, gram, n in seen if gram >> 8 == 0)  # the first byte of each sampled text
     assert 0 < starts < 600
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {} BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the distribution. {} THIS SOFTWARE IS
+PROVIDED BY THE REGENTS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = """3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+
+
+def test_a_license_is_its_whole_wording(spark, documents):
+    whole = MIT.format("THE AUTHORS OR COPYRIGHT HOLDERS")
+    texts = {1: ("x\n" + whole + "\ny", {"mit", "mit-opening"}), 2: (whole.replace("TORT", "LOVE"), {"mit-opening"}),
+             3: (MIT.format(" ".join(["word"] * 11)), {"mit-opening"}), 5: (BSD.format(THIRD), {"bsd-3-clause", "bsd-opening"}),
+             4: ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+                 "documentation files (the Software), to deal in the Software without restriction, PROVIDED you pay the author "
+                 "100 dollars and never redistribute it", {"mit-opening"}),
+             6: (BSD.format(""), {"bsd-2-clause", "bsd-opening"}), 7: (BSD.format("3. Pay."), {"bsd-opening"}),
+             8: (whole[:-20], {"mit-opening"})}
+    got = scan_licenses(documents([(i, t) for i, (t, _) in texts.items()])).collect()
+    assert {r["doc_id"]: {s["label"] for s in r["spans"]} for r in got} == {i: want for i, (_, want) in texts.items()}
