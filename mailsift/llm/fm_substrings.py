@@ -2,12 +2,12 @@
 
 Finds every window of ``length`` words that also stands elsewhere and removes
 the words such windows cover. Shards hold all segments (see ``routing``) of
-their keys, equal segments once with their number of places. A shard puts its
+their keys, equal segments twice. A shard puts its
 segments behind one another, sorts their suffixes by the first ``length``
 words (doubling the compared length), and keeps the Burrows-Wheeler transform
 in a wavelet tree (level by level, one bit a symbol and level, with rank
-directories). The segments are then streamed through it from their last word
-to their first, all at once: one backward step extends each match by a word.
+directories). The segments, one of equal ones, are then streamed through it from
+their last word to their first, all at once: one backward step extends each match by a word.
 The matching statistic of a place is capped at ``length``: after a full match
 the interval is widened to the one of its first ``length`` - 1 words, so the
 next step answers for the next window. Intervals above the threshold of one
@@ -107,13 +107,14 @@ class FmIndex:
         return self.first[c] + self.tree.rank(c, low), self.first[c] + self.tree.rank(c, high)
 
 
-def repeated(segments: list[np.ndarray], windows: np.ndarray, length: int) -> np.ndarray:
-    """For each window of the segments: does the index of all of them hold it twice?"""
+def repeated(segments: list[np.ndarray], windows: np.ndarray, length: int, asked: np.ndarray) -> np.ndarray:
+    """For each window of the asked segments: does the index of all segments hold it twice?"""
     sizes = np.array([len(s) for s in segments])
     base = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int((sizes + 1).sum()), dtype=np.int64)  # 0 behind each segment
     text[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate(segments)
     index = FmIndex(text, length)
+    sizes, base, windows = sizes[asked], base[asked], windows[asked]
     out = np.zeros(int(windows.sum()), dtype=bool)
     slot = np.cumsum(windows) - windows
     by = np.argsort(-sizes, kind="stable")
@@ -131,10 +132,10 @@ def repeated(segments: list[np.ndarray], windows: np.ndarray, length: int) -> np
 
 
 def _decide(length: int):
-    def decide(segments: list[bytes], windows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def decide(segments: list[bytes], windows: np.ndarray, asked: np.ndarray) -> np.ndarray:
         known: dict[bytes, int] = {}
         coded = [np.array([known.setdefault(w, len(known) + 1) for w in s.split(b" ")], dtype=np.int64) for s in segments]
-        return repeated(coded, windows, length) | np.repeat(places > 1, windows)
+        return repeated(coded, windows, length, asked)
     return decide
 
 

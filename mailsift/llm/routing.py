@@ -10,10 +10,11 @@ windows alone.
 
 Only narrow rows move for all segments: (key, segment hash, document, first
 unit, windows). Keys with a single segment place, unless it
-may repeat itself, hold no repeat and go; of
-equal segments of a key one representative brings its text, with the number of
-places. A key with more than ``HOT`` different segments is split further, into
-one segment a window keyed by the window itself, which spreads any group.
+may repeat itself, hold no repeat and go. Of equal segments of a key two bring
+their text: what holds for them holds for all others, and a shard that has both
+finds by its own order or index that their windows stand twice. A key with more
+than ``HOT`` different segments is split further, into one segment a window
+keyed by the window itself, which spreads any group; its shard decides as any other.
 """
 
 from __future__ import annotations
@@ -178,15 +179,14 @@ def _window_rows(unit, length: int):
 def _representatives(unit, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = unit()
-        names = ["key", "sid", "places", "windows", "units"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["key", "sid", "windows", "units"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in few_rows(batches):
             out: list[tuple] = []
             for text, segments in zip(b.column("text").to_pylist(), b.column("segments").to_pylist(), strict=True):
                 cut = own.cutter(own.units(text))
                 for s in segments:
-                    out.append((s["key"], s["sid"], s["places"], s["windows"],
-                                cut(s["first"], s["first"] + s["windows"] + length - 1)))
+                    out.append((s["key"], s["sid"], s["windows"], cut(s["first"], s["first"] + s["windows"] + length - 1)))
                     if len(out) >= ROWS:
                         yield _batch(out, names, kinds)
                         out = []
@@ -224,8 +224,8 @@ def repeated_windows(docs: DataFrame, unit, gram: int, length: int, shard: Calla
     repeated windows, an array of (first, flags) with one bit a window that is
     set if the window stands at two places or more.
 
-    ``shard`` works on batches sorted by key of (key, sid, places, windows,
-    units), the different segments of whole keys, and returns (key, sid, flags)."""
+    ``shard`` works on batches sorted by key and sid of (key, sid, windows, units),
+    the segments of whole keys, equal ones at least twice, and returns (key, sid, flags)."""
     spark = docs.sparkSession
     docs = docs.select("k", "tk", "text")
     rows = written(docs.mapInArrow(_segment_rows(unit, gram, length), SEGMENT), "segments")
@@ -240,9 +240,9 @@ def repeated_windows(docs: DataFrame, unit, gram: int, length: int, shard: Calla
         split = split.mapInArrow(_window_rows(unit, length), SEGMENT)
         found = written(found.join(hot, "key", "left_anti").select(*split.columns).union(split), "repeats")
         kinds = _kinds(found)
-    brought = kinds.select("rep.k", "rep.tk", "key", "sid", "places", "rep.first", "rep.windows")
-    brought = _with_text(docs, brought, ["key", "sid", "places", "first", "windows"]).mapInArrow(
-        _representatives(unit, length), "key long, sid long, places long, windows int, units binary")
+    brought = kinds.select("key", "sid", F.explode(F.array_distinct(F.array("one", "other"))).alias("rep"))
+    brought = _with_text(docs, brought.select("key", "sid", "rep.*"), ["key", "sid", "first", "windows"]).mapInArrow(
+        _representatives(unit, length), "key long, sid long, windows int, units binary")
     flags = (brought.repartition(partitions(spark), "key").sortWithinPartitions("key", "sid")
              .mapInArrow(shard, "key long, sid long, flags binary"))
     marked = found.join(flags, ["key", "sid"]).groupBy("k", "tk").agg(
@@ -251,38 +251,44 @@ def repeated_windows(docs: DataFrame, unit, gram: int, length: int, shard: Calla
 
 
 def _kinds(found: DataFrame) -> DataFrame:
-    """The different segments of each key, with their places and one of them."""
-    return found.groupBy("key", "sid").agg(
-        F.count(F.lit(1)).alias("places"), F.min(F.struct("k", "tk", "first", "windows")).alias("rep"))
+    """The different segments of each key, with two of their places: one and the
+    same if there is only one, or if rows that agree in id and text hold them all
+    (each of these rows brings its text)."""
+    place = F.struct("k", "tk", "first", "windows")
+    return found.groupBy("key", "sid").agg(F.min(place).alias("one"), F.max(place).alias("other"))
 
 
 def shard_runner(batch_bytes: int, decide: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]):
     """A ``shard``: gathers whole keys up to about ``batch_bytes`` of text at a
-    time and lets ``decide`` flag their windows. decide(segments, windows,
-    places) returns one boolean per window, segment by segment."""
+    time, equal segments twice, and lets ``decide`` flag windows. decide(segments,
+    windows, asked) returns one boolean per window of the asked segments (the
+    first of equal ones), segment by segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        asked: list[int] = []
         size, last = 0, None
 
         def done():
-            places = np.array([h[2] for h in held])
-            windows = np.array([h[3] for h in held])
-            flag = decide([h[4] for h in held], windows, places)
-            ends = np.cumsum(windows).tolist()
-            bits = [np.packbits(flag[e - w:e]).tobytes() for e, w in zip(ends, windows.tolist(), strict=True)]
+            windows = np.array([h[2] for h in held])
+            flag = decide([h[3] for h in held], windows, np.array(asked))
+            count = windows[asked]
+            ends = np.cumsum(count).tolist()
+            bits = [np.packbits(flag[e - w:e]).tobytes() for e, w in zip(ends, count.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()),
+                [pa.array([held[i][0] for i in asked], pa.int64()), pa.array([held[i][1] for i in asked], pa.int64()),
                  pa.array(bits, pa.binary())], ["key", "sid", "flags"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "sid", "places", "windows", "units")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "sid", "windows", "units")), strict=True):
                 if row[0] != last and size >= batch_bytes:
                     yield done()
-                    held, size = [], 0
-                if held and row[:2] == held[-1][:2]:
-                    continue  # the same segment, brought by repeated rows
+                    held, asked, size = [], [], 0
+                if not held or row[:2] != held[-1][:2]:
+                    asked.append(len(held))
+                elif len(held) - asked[-1] > 1:
+                    continue  # a third of equal segments, brought by repeated rows
                 held.append(row)
-                size += len(row[4])
+                size += len(row[3])
                 last = row[0]
         if held:
             yield done()

@@ -2,7 +2,7 @@
 
 Finds every place whose next ``length`` bytes also stand elsewhere and removes
 the bytes such strings cover. Shards hold all segments (see ``routing``) of
-their keys, equal segments once with their number of places. A shard sorts its
+their keys, equal segments twice. A shard sorts its
 windows as suffixes compared over ``length`` bytes:
 
 1. sample the positions i with i mod 3 in {1, 2} (a difference cover of 3);
@@ -73,9 +73,9 @@ def sample_names(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return sample, names
 
 
-def repeated_prefixes(text: np.ndarray, starts: np.ndarray, length: int, places: np.ndarray) -> np.ndarray:
+def repeated_prefixes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """For each window start: does its ``length``-byte string start at another
-    of the ``starts`` too, or at several ``places`` itself?"""
+    of the ``starts`` too?"""
     if not len(starts):
         return np.zeros(0, dtype=bool)
     span = (length - 2) // 3 * 3
@@ -121,19 +121,21 @@ def repeated_prefixes(text: np.ndarray, starts: np.ndarray, length: int, places:
         m = np.flatnonzero((ka != clash) & (kb != clash) & ~same)
         if len(m):
             same[m] = key(starts[a[m]], before) == key(starts[b[m]], before)
-    flag = places > 1
+    flag = np.zeros(len(starts), dtype=bool)
     flag[a[same]] = True
     flag[b[same]] = True
     return flag
 
 
 def _decide(length: int):
-    def decide(segments: list[bytes], windows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def decide(segments: list[bytes], windows: np.ndarray, asked: np.ndarray) -> np.ndarray:
         text = np.frombuffer(b"".join(segments), dtype=np.uint8)
         sizes = windows + length - 1
         base = np.cumsum(sizes) - sizes
         starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(base, windows)
-        return repeated_prefixes(text, starts, length, np.repeat(places, windows))
+        wanted = np.zeros(len(segments), dtype=bool)
+        wanted[asked] = True
+        return repeated_prefixes(text, starts, length)[np.repeat(wanted, windows)]
     return decide
 
 

@@ -118,8 +118,7 @@ def test_difference_cover_order_finds_equal_prefixes(length):
     seen = {}
     for s in starts:
         seen.setdefault(raw[s:s + length], []).append(s)
-    places = np.ones(len(starts), dtype=np.int64)
-    got = repeated_prefixes(text, starts, length, places)
+    got = repeated_prefixes(text, starts, length)
     assert got.tolist() == [len(seen[raw[s:s + length]]) > 1 for s in starts]
 
 
@@ -142,4 +141,24 @@ def test_streamed_windows():
     segments = [rng.integers(1, 3, rng.integers(12, 40)) for _ in range(30)]
     windows = np.array([len(s) - 11 for s in segments])
     flat = [tuple(s[i:i + 12]) for s, w in zip(segments, windows, strict=True) for i in range(w)]
-    assert repeated(segments, windows, 12).tolist() == [flat.count(f) > 1 for f in flat]
+    assert repeated(segments, windows, 12, np.arange(30)).tolist() == [flat.count(f) > 1 for f in flat]
+    asked = np.array([3, 4, 17])  # the index holds all, some are streamed
+    ends = np.cumsum(windows)
+    want = [flat.count(f) > 1 for i in asked for f in flat[ends[i] - windows[i]:ends[i]]]
+    assert repeated(segments, windows, 12, asked).tolist() == want
+
+
+@pytest.mark.parametrize("kind", CASES)
+def test_only_the_order_or_the_index_tells_equal_segments(spark, documents, kind, monkeypatch):
+    """Copies go because a shard sees them twice, whatever ids they have."""
+    import importlib
+    remove, split, join, length = CASES[kind]
+    text = " ".join(f"own{i}" for i in range(120))
+    rows = [(1, text), (2, text), (None, text), (None, text), (7, text.replace("own", "two")),
+            (7, text.replace("own", "two")), (8, text.replace("own", "one")), (9, f"{text.replace('own', 'in')}  " * 2)]
+    want = brute([t for _, t in rows], length, split, join)
+    got = sorted(str((r["doc_id"], r["n_removed"])) for r in remove(documents(rows), length).collect())
+    assert got == sorted(str((i, w[1])) for (i, _), w in zip(rows, want, strict=True))
+    module = importlib.import_module(remove.__module__)
+    monkeypatch.setattr(module, "_decide", lambda n: lambda segments, windows, asked: np.zeros(windows[asked].sum(), dtype=bool))
+    assert {r["n_removed"] for r in remove(documents(rows), length).collect()} == {0}
