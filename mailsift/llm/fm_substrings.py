@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import few_rows
-from .routing import Words, covered, document_id, keyed_documents, repeated_windows, shard_runner
+from .routing import Words, covered, document_id, flagged_windows, keyed_documents, repeated_windows, shard_runner
 
 GRAM = 8
 SHARD_BYTES = 1 << 20
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     s = values[order]
     rank = np.empty(len(values), dtype=np.int64)
     rank[order] = np.cumsum(np.append(False, s[1:] != s[:-1]))
@@ -89,7 +89,7 @@ class FmIndex:
             name = _ranks(name << 32 | ahead(name, reach)) + 1
             reach *= 2
         order_key = name << 32 | ahead(name, length - reach)
-        order = np.argsort(order_key, kind="stable")
+        order = np.argsort(order_key)
         shorter = (name << 32 | ahead(name, length - 1 - reach))[order]
         edge = np.append(True, shorter[1:] != shorter[:-1])
         at = np.arange(n)
@@ -162,12 +162,12 @@ def _remove(length: int, own: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_rows(batches):
             n, removed, spans, kept, left = [], [], [], [], []
-            for text, segments in zip(b.column("text").to_pylist(), b.column("flags").to_pylist(), strict=True):
+            for text, starts in zip(b.column("text").to_pylist(), flagged_windows(b.column("flags")), strict=True):
                 words = text.split()
                 n.append(len(words))
                 runs = []
-                if segments:
-                    gone = covered(len(words), length, segments)
+                if starts is not None:
+                    gone = covered(len(words), length, starts)
                     edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
                     runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
                 left.append(_without(text, runs) if runs else None)

@@ -295,12 +295,31 @@ def shard_runner(batch_bytes: int, decide: Callable[[list[bytes], np.ndarray, np
     return run
 
 
-def covered(n_units: int, length: int, segments: list[dict] | None) -> np.ndarray:
-    """Which units of a text lie in a flagged window."""
-    step = np.zeros(n_units + 1, dtype=np.int32)
-    for s in segments or ():
-        flag = np.unpackbits(np.frombuffer(s["flags"], dtype=np.uint8), count=s["windows"])
-        edge = np.diff(np.concatenate(([0], flag.view(np.int8), [0])))
-        np.add.at(step, np.flatnonzero(edge == 1) + s["first"], 1)
-        np.add.at(step, np.flatnonzero(edge == -1) + s["first"] - 1 + length, -1)
-    return np.cumsum(step[:-1], dtype=np.int32) > 0
+def flagged_windows(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """The first units of each text's flagged windows, from a column of (first,
+    windows, flags) as ``repeated_windows`` makes it; None for a text without any."""
+    first, windows, flags = column.values.flatten()
+    first, windows = first.to_numpy(), windows.to_numpy()
+    _, ends, packed = flags.buffers()
+    at = np.frombuffer(ends, dtype=np.int32)[flags.offset:flags.offset + len(flags) + 1] if len(flags) else None
+    packed = np.frombuffer(packed, dtype=np.uint8) if len(flags) else None
+    bounds = column.offsets.to_pylist()
+    for ok, lo, hi in zip(column.is_valid().to_pylist(), bounds[:-1], bounds[1:], strict=True):
+        if not ok or lo == hi:
+            yield None
+            continue
+        bits = np.unpackbits(packed[at[lo]:at[hi]])  # each segment's bits fill whole bytes, the rest of them zero
+        room = np.diff(at[lo:hi + 1]) * 8
+        start = np.repeat(first[lo:hi] - (np.cumsum(room) - room), room)
+        hit = np.flatnonzero(bits)
+        yield start[hit] + hit
+
+
+def covered(n_units: int, length: int, starts: np.ndarray) -> np.ndarray:
+    """Which units of a text lie in a window that begins at one of the ``starts``."""
+    begun = np.zeros(n_units + 1, dtype=np.int32)
+    begun[starts + 1] = 1
+    np.cumsum(begun, out=begun)
+    gone = begun[1:] > 0
+    gone[length:] = begun[length + 1:] > begun[1:-length]
+    return gone

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import few_rows
-from .routing import Bytes, covered, document_id, keyed_documents, repeated_windows, shard_runner
+from .routing import Bytes, covered, document_id, flagged_windows, keyed_documents, repeated_windows, shard_runner
 
 GRAM = 64
 SHARD_BYTES = 1 << 19  # whole keys are added until a shard's part holds this much
@@ -34,7 +34,7 @@ SHARD_BYTES = 1 << 19  # whole keys are added until a shard's part holds this mu
 
 def _ranks(values: np.ndarray) -> np.ndarray:
     """Names of the values: their rank among the different ones."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     s = values[order]
     rank = np.empty(len(values), dtype=np.uint64)
     rank[order] = np.cumsum(np.append(False, s[1:] != s[:-1])).astype(np.uint64)
@@ -99,9 +99,9 @@ def repeated_prefixes(text: np.ndarray, starts: np.ndarray, length: int) -> np.n
     kind = starts % 3
     parts = {r: np.flatnonzero(kind == r) for r in range(3)}
     sampled = np.concatenate([parts[1], parts[2]])
-    by = np.argsort(key(starts[sampled], 0), kind="stable")
+    by = np.argsort(key(starts[sampled], 0))
     sampled = sampled[by]
-    rest = parts[0][np.argsort(key(starts[parts[0]], 1), kind="stable")]
+    rest = parts[0][np.argsort(key(starts[parts[0]], 1))]
     # merge: each remaining suffix goes behind the samples of both residues that are smaller
     place = np.zeros(len(rest), dtype=np.int64)
     for residue, before in ((1, 1), (2, 2)):
@@ -143,8 +143,8 @@ def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_rows(batches):
             n, removed, spans, kept = [], [], [], []
-            for text, segments in zip(b.column("text").to_pylist(), b.column("flags").to_pylist(), strict=True):
-                gone = covered(len(text), length, segments) if segments else np.zeros(len(text), dtype=bool)
+            for text, starts in zip(b.column("text").to_pylist(), flagged_windows(b.column("flags")), strict=True):
+                gone = np.zeros(len(text), dtype=bool) if starts is None else covered(len(text), length, starts)
                 edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
                 lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 n.append(len(text))
