@@ -37,3 +37,8 @@ def test_base64url_fast_way_equals_the_cleaned_way(spark):
     rows = spark.createDataFrame(list(cases.items()), "d string, want string")
     got = rows.select("d", "want", SM.b64url_text("d").alias("got")).collect()
     assert [r for r in got if r["got"] != r["want"]] == []
+
+
+def test_store_reads_a_written_table(spark, tmp_path):
+    plan = QUERIES["s03_message_store"](spark, docs(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" not in plan
