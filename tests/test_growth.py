@@ -2,6 +2,7 @@
 row, tables written before they are read again, as many files as splits."""
 
 import base64
+import glob
 import os
 
 import pytest
@@ -42,3 +43,18 @@ def test_base64url_fast_way_equals_the_cleaned_way(spark):
 def test_store_reads_a_written_table(spark, tmp_path):
     plan = QUERIES["s03_message_store"](spark, docs(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
     assert "parseJson" not in plan
+
+
+@pytest.mark.parametrize("name", ["line", "queue"])
+def test_stream_inputs_have_a_file_a_split(spark, tmp_path, monkeypatch, name):
+    from mailsift.plans import q_stream as Q
+    sf = docs(spark, str(tmp_path / "sf"), files=6)
+    monkeypatch.setattr(Q, "_scratch", lambda spark, n: str(tmp_path / "scratch"))
+    monkeypatch.setattr(Q, "spread", lambda df: df.repartition(5))
+    if name == "queue":
+        Q._write_inputs(spark, sf, str(tmp_path / "scratch"))
+    else:
+        monkeypatch.setattr(Q.W, "run_available", lambda *a: None)
+        monkeypatch.setattr(Q, "answers", lambda *a: None)
+        Q._line_run(spark, sf, 1)
+    assert len(glob.glob(str(tmp_path / "scratch" / "in" / "part-*"))) == 5
