@@ -143,3 +143,15 @@ def test_exports_are_compressed(spark, tmp_path, monkeypatch, name):
     files = glob.glob(str(tmp_path / "scratch" / "in" / "part-*"))
     assert files and all(f.endswith(".gz") for f in files)
     assert spark.read.text(str(tmp_path / "scratch" / "in")).count() == 240
+
+
+def test_dedupe_deals_the_text_only(spark, tmp_path):
+    """The parsed message does not travel with the text."""
+    from mailsift.streaming import jobs as W
+    spark.createDataFrame([(1, "{}")], "position long, value string").write.json(str(tmp_path / "in"))
+    stream = W.raw_dedupe_stream(W.message_stream(spark, str(tmp_path / "in")))
+    assert stream.columns == ["position", "value", "raw", "corrupt"]
+    plan = stream._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "DeduplicateWithinWatermark":
+        plan = plan.children().head()
+    assert "raw" not in plan.output().toString()
