@@ -146,3 +146,28 @@ def test_hostile_addresses_are_linear():
         t = time.time()
         mailboxes(text)
         assert time.time() - t < 2
+
+
+def test_every_message_is_written_and_read_back(spark, tmp_path, monkeypatch):
+    """s01_read_messages: objects, arrays and lines together hold every message,
+    malformed ones (55, 152) too."""
+    from mailsift.plans import q_sources as Q
+    monkeypatch.setattr(Q, "shared_dir", lambda spark, name: str(tmp_path / "out"))
+    spark.range(160).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"),
+                            F.lit("web").alias("source"), F.lit(9).cast("long").alias("n_chars")).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = Q.s01_read_messages(spark, str(tmp_path)).collect()
+    want = [(None if k % 97 in (11, 55) else f"m{k}", k % 97 != 55) for k in range(160)]
+    assert sorted(map(str, got)) == sorted(f"Row(message_id={m!r}, parsed={p})" for m, p in want)
+    objects = [open(os.path.join(d, f)).read() for d, _, names in os.walk(tmp_path / "out" / "objects")
+               for f in names if f.endswith(".txt")]
+    assert len(objects) == 4 and all(x.startswith("{\n") for x in objects)
+
+
+def test_a_bad_line_costs_no_other(spark, tmp_path):
+    for name, text in {"a": '{"id": "a"}\nnot json\n{"id": "b"}\n', "b": '{bad\n{"id": "c"}\n',
+                       "c": '{"id": "d",\n "x": [\n{"id": "e"},\n{"id": "f"}\n]}\n', "d": "{bad\n"}.items():
+        (tmp_path / name).write_text(text)
+    got = SM.parse_raw(SM.read_messages(spark, str(tmp_path), "auto"))
+    ids = [(r.p, r.i) for r in got.select(F.col("position").alias("p"), F.try_variant_get("raw", "$.id", "string").alias("i")).collect()]
+    assert sorted(ids) == [(0, "a"), (1, None), (2, "b"), (3, None), (4, "c"), (5, "d"), (6, None)]
